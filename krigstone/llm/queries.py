@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, mixing
+from . import bpe, compression_quality, mixing, secret_scan
 from .common import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,8 +63,8 @@ FROM rated
 
 
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op3_secrets": secret_scan.scan_sql(), "op10_mixing": OP10_SQL}
