@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, imatch, mixing, secret_scan
+from . import bpe, compression_quality, imatch, mixing, secret_scan, setsketch
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ FROM rated
 
 
 def queries() -> dict:
-    return {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
