@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, imatch, mixing, secret_scan, setsketch
+from . import bpe, compression_quality, imatch, media_chunks, mixing, secret_scan, setsketch
 from .common import table
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_features(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ FROM rated
 
 
 def queries() -> dict:
-    return {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op2_media": op2_media, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
