@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, imatch, media_chunks, mixing, secret_scan, setsketch
+from . import bpe, compression_quality, imatch, media_chunks, mixing, secret_scan, seed_extend, setsketch
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = seed_extend.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -75,7 +80,7 @@ FROM rated
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op10_mixing": op10_mixing}
+    return {"op2_media": op2_media, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op9_substrings": op9_substrings, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
