@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, imatch, media_chunks, mixing, secret_scan, seed_extend, setsketch
+from . import bpe, compression_quality, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.train(html_extract.labelled_pages(spark))
+    return html_extract.extract(table(spark, sf_dir, "pages"), model)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_chunks.media_features(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -80,7 +89,11 @@ FROM rated
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op6_imatch": op6_imatch, "op7_near_duplicates": op7_near_duplicates, "op8_quality": op8_quality, "op9_substrings": op9_substrings, "op10_mixing": op10_mixing}
+    found = (
+        op1_html, op2_media, op3_secrets, op4_bpe, op5_quotations, op6_imatch, op7_near_duplicates, op8_quality,
+        op9_substrings, op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
