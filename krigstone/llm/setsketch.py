@@ -7,15 +7,19 @@ sorted 64-bit hashes of shingles.
 1. Register i of a sketch is floor(1 - log_b m) of the least m among exponentially spaced hash
    values of the set, clipped to 16 bits; the sketch of a union is the register-wise maximum.
 2. Documents with one and the same set form a class, represented by its smallest doc_id.
-3. Bands of five registers are hashed.  In each bucket of a band key, one or more hubs are compared
-   with the members of other components: the hub is the member that shares most buckets with
-   others, which in a group of near copies is the common original.  Round k takes 4**k hubs of
-   a bucket that have not been hubs there, until no bucket holds two components that have not been
-   compared in full, so every candidate pair is decided or joined already; buckets of one component
-   are never expanded.
-4. A candidate pair is dropped only where the joint likelihood of its registers puts the
-   similarity far (SLACK standard errors) below the threshold; else both whole sets are compared.
-5. Components of the confirmed links spread the smallest doc_id by joins, with pointer jumping.
+3. Bands of five registers are hashed.  In each bucket of a band key, a hub is compared with all
+   members: the member that shares most buckets with others, which in a group of near copies is the
+   common original.  Round k takes 4**k hubs of a bucket.  A member whose distance (one minus
+   similarity) to a hub is at most NEAR / 2 leaves the bucket, as every link it has must be to
+   members within NEAR of that hub; rounds end when no bucket holds two components.
+4. Links among the members near a hub are found from their differences to it.  Of two linked sets,
+   one of them not linked to the hub, the differences share more than about half of either's elements.
+   Elements that differ for one member only, or within one component only, can't count; who is left
+   with too few is done, and of the others the rarest elements meet the rest.  So a large group of
+   copies with edits of their own makes no pairs.
+5. The joint likelihood of the registers estimates a candidate pair's similarity; pairs far (SLACK
+   standard errors) from being near are taken as far, all others are decided on both whole sets.
+6. Components of the confirmed links spread the smallest doc_id by joins, with pointer jumping.
 
 With 24 bands, a pair at similarity 0.85 is missed as a candidate with probability 1e-6.
 
@@ -38,6 +42,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, SCALE = 1.001, 20.0
 THRESHOLD = (85, 100)  # 100 * intersection >= 85 * union
+#: Distance to a hub within which links are found from differences; over twice that of a link.
+NEAR = 0.65
 SLACK = 6.0
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -101,38 +107,27 @@ def band_keys(sketch: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(rows[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, threshold: float) -> bool:
-    """Whether the sketches leave open that the sets' similarity is at least threshold.
+_GRID = np.linspace(0.005, 0.995, 199)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, float]:
+    """Similarity of two sketched sets of known sizes, and its standard error.
 
     With base b near 1, the numbers of registers that are greater in one, greater in the other or
     equal are multinomial with probabilities (n_a - i)/u, (n_b - i)/u, i/u for an intersection i and
-    a union u = n_a + n_b - i.  Their joint likelihood is greatest at a similarity that is found
-    by bisection of its derivative; its curvature there gives the standard error.
+    a union u = n_a + n_b - i; the estimate is the similarity i/u of the greatest joint likelihood.
     """
-    if min(n_a, n_b) < threshold * max(n_a, n_b):
-        return False  # the sizes alone bound it
     more, less = int((a > b).sum()), int((a < b).sum())
     equal = len(a) - more - less
+    i = _GRID * (n_a + n_b) / (1 + _GRID)
+    u = n_a + n_b - i
+    log = lambda p: np.log(np.maximum(p, 1e-9))
+    j = float(_GRID[np.argmax(more * log((n_a - i) / u) + less * log((n_b - i) / u) + equal * np.log(_GRID))])
+    return j, float(np.sqrt(max(j * (1 - j), 0.02) / len(a)))
 
-    def slope(j: float, h: float = 1e-5) -> float:
-        return (value(j + h) - value(j - h)) / (2 * h)
-
-    def value(j: float) -> float:
-        i = j * (n_a + n_b) / (1 + j)
-        u = n_a + n_b - i
-        return sum(k * np.log(max(p, 1e-9)) for k, p in ((more, (n_a - i) / u), (less, (n_b - i) / u), (equal, j)) if k)
-
-    lo, hi = 1e-4, min(n_a, n_b) / max(n_a, n_b) - 1e-4
-    for _ in range(20):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
-    error = np.sqrt(max(lo * (1 - lo), 0.02) / len(a))
-    return lo + SLACK * error >= threshold
 
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both)
+def linked(both: int, n_x: int, n_y: int) -> bool:
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (n_x + n_y - both)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -154,36 +149,92 @@ def sketch(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _confirm(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked.  own: rep, text; one row for each."""
-    joined = (
-        pairs.join(own.withColumnRenamed("rep", "a").withColumnRenamed("text", "text_a"), "a")
-        .join(own.withColumnRenamed("rep", "b").withColumnRenamed("text", "text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    limit = THRESHOLD[0] / THRESHOLD[1]
+def _with_texts(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) with text_a and text_b.  own: rep, text."""
+    joined = pairs.join(own.withColumnRenamed("rep", "a").withColumnRenamed("text", "text_a"), "a")
+    return joined.join(own.withColumnRenamed("rep", "b").withColumnRenamed("text", "text_b"), "b")
 
-    def run(batches):
-        last: dict[int, tuple] = {}
 
-        def known(rep: int, text: str):
-            if rep not in last:
-                if len(last) >= 256:
-                    last.clear()
-                elements = shingle_set(text)
-                last[rep] = (elements, registers(elements))
-            return last[rep]
+class _Known:
+    """Sets and sketches of the texts that a task has met last."""
+
+    def __init__(self):
+        self.last: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if text not in self.last:
+            if len(self.last) >= 256:
+                self.last.clear()
+            elements = shingle_set(text)
+            self.last[text] = elements, registers(elements)
+        return self.last[text]
+
+
+def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """a, b, linked, near (within NEAR) and close (within NEAR / 2) for each pair."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("close", pa.bool_())])
+
+    def run(batches):
+        known = _Known()
         for batch in batches:
             out = []
-            for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (x, rx), (y, ry) = known(a, s), known(b, t)
-                if may_reach(rx, ry, len(x), len(y), limit) and linked(x, y):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=schema)
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                (x, rx), (y, ry) = known(s), known(t)
+                j, error = estimate(rx, ry, len(x), len(y))
+                if j + SLACK * error < 1 - NEAR:
+                    out.append((False, False, False))
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                distance = 1 - both / (len(x) + len(y) - both)
+                out.append((linked(both, len(x), len(y)), distance <= NEAR, distance <= NEAR / 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.bool_()) for i in range(3))], schema=schema)
+
+    return _with_texts(pairs, own).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, near boolean, close boolean")
+
+
+def _differences(stars: DataFrame, own: DataFrame) -> DataFrame:
+    """hub, rep, comp, unlinked, m (size of the symmetric difference), gain (how much larger the
+    member is), elements of the difference; for stars(a: hub, b: rep, comp, unlinked)."""
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("unlinked", pa.bool_()), ("m", pa.int64()), ("gain", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
-    return joined.mapInArrow(run, "a long, b long")
+    def run(batches):
+        known = _Known()
+        for batch in batches:
+            m, gain, lists = [], [], []
+            for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = known(s)[0], known(t)[0]
+                found = np.setxor1d(x, y, assume_unique=True)
+                m.append(len(found))
+                gain.append(len(y) - len(x))
+                lists.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m, pa.int64()), pa.array(gain, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+
+    return _with_texts(stars, own).select("a", "b", "comp", "unlinked", "text_a", "text_b").mapInArrow(
+        run, "hub long, rep long, comp long, unlinked boolean, m long, gain long, elements array<long>")
+
+
+def _near_pairs(stars: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a star, of different components, that may be linked.
+
+    Two sets of sizes p and q are linked if their difference has at most t (p + q) elements, with
+    t = (100 - 85) / (100 + 85).  So with u not linked to the hub, the differences m_u and m_v to the
+    hub overlap in more than (m_v - t gain_v) / 2 elements.
+    """
+    less, more = THRESHOLD[1] - THRESHOLD[0], THRESHOLD[1] + THRESHOLD[0]
+    found = materialize(_differences(stars, own))
+    each = found.select("hub", "rep", "comp", F.explode("elements").alias("e"))
+    counted = materialize(each.groupBy("hub", "e").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub", "e", "n"))
+    shared = materialize(found.select("hub", "rep", "comp", "unlinked", "m", "gain", F.explode("elements").alias("e")).join(counted, ["hub", "e"]))
+    need = F.floor((more * F.col("m") - less * F.col("gain")) / (2 * more)).cast("int")
+    # a member's list is at most its difference
+    strong = (
+        shared.groupBy("hub", "rep", "comp", "m", "gain").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("l"))
+        .withColumn("more", F.size("l") - F.greatest(need, F.lit(0))).where("more > 0")
+        .select("hub", "rep", "comp", F.explode(F.slice("l", F.lit(1), F.col("more"))).alias("x")).select("hub", F.col("x.e").alias("e"), F.col("rep").alias("v"), F.col("comp").alias("comp_v"))
+    )
+    strong = materialize(strong)
+    met = shared.where("unlinked").select("hub", "e", "rep", "comp").join(strong, ["hub", "e"]).where((F.col("rep") != F.col("v")) & (F.col("comp") != F.col("comp_v")))
+    return met.select(F.least("rep", "v").alias("a"), F.greatest("rep", "v").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,26 +274,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts(docs).join(nodes.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("which")).agg(F.first("text").alias("text")).drop("which")
     )
-    edges, tried, comps = None, None, None
+    results, comps = None, None
     active, hubs_each = members, 1
-    while True:
-        by_rank = Window.partitionBy("band").orderBy(F.col("popular").desc(), "rep")
-        hubs = materialize(active.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= hubs_each).select("band", F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"), "rank"))
-        # a hub meets members of other components; two hubs meet once
-        met = active.join(hubs, "band").where((F.col("rep") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")))
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Adds to results and comps; returns the pairs that are new."""
+        nonlocal results, comps
+        if results is not None:
+            pairs = pairs.join(results, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.limit(1).count():
-            found = materialize(_confirm(pairs, own))
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            edges = found if edges is None else edges.unionByName(found)
-            comps = materialize(components(nodes, edges))
-        # hubs are done in their buckets; buckets stay while two components are left in them
-        left = active.drop("comp").join(hubs.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti")
-        left = left.join(comps, "rep") if comps is not None else left.withColumn("comp", F.col("rep"))
-        left = materialize(left)
+            found = materialize(_compare(pairs, own))
+            results = found if results is None else results.unionByName(found)
+            comps = materialize(components(nodes, results.where("linked")))
+        return pairs
+
+    while True:
+        by_rank = Window.partitionBy("band").orderBy(F.col("popular").desc(), "rep")
+        hubs = materialize(active.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= hubs_each).select("band", F.col("rep").alias("a")))
+        met = materialize(active.select("band", F.col("rep").alias("b")).join(hubs, "band").where("a != b"))
+        new = compare(met.select("a", "b").distinct())
+        if results is None:
+            break
+        # stars of hubs with a new member and a near member of another component
+        star = results.where("near").join(new.select("a").distinct(), "a", "left_semi").join(comps.select(F.col("rep").alias("b"), "comp"), "b").join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("hub_comp")), "a")
+        star = materialize(star.select("a", "b", "comp", (~F.col("linked")).alias("unlinked"), (F.col("comp") != F.col("hub_comp")).alias("apart")))
+        open_hubs = materialize(star.groupBy("a").agg(F.max("apart").alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("a"))
+        if open_hubs.limit(1).count():
+            compare(_near_pairs(materialize(star.join(open_hubs, "a").select("a", "b", "comp", "unlinked")), own))
+        # hubs, and members close to a hub of theirs, are done in the bucket
+        close = met.join(results.where("close").select("a", "b"), ["a", "b"], "left_semi").select("band", F.col("b").alias("rep"))
+        done = close.unionByName(hubs.select("band", F.col("a").alias("rep"))).distinct()
+        left = materialize(active.drop("comp").join(done, ["band", "rep"], "left_anti").join(comps, "rep"))
         open_bands = materialize(left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"))
         if not open_bands.limit(1).count():
             break
