@@ -64,13 +64,15 @@ def _signatures(terms: Column) -> Column:
     sorted by sub-lexicon, which closes a signature where the next sub-lexicon begins."""
 
     def one(level: int, shift: int) -> Column:
-        mixed = F.transform(terms, lambda t: F.xxhash64(t, F.lit(level)))
-        kept = F.filter(mixed, lambda u: F.shiftrightunsigned(u, 64 - shift) == 0) if shift else mixed
-        place = lambda u: F.shiftrightunsigned(u, 64 - CELL_BITS - shift).cast("int") + (level << CELL_BITS)
-        return F.transform(kept, lambda u: F.struct(place(u).alias("place"), u.alias("term")))
+        # the low bits of a term's hash deal it out: of each level its own bits
+        skip = level * CELL_BITS + sum(SHIFTS[:level])
+        bits = lambda t, start, n: F.shiftrightunsigned(t, start).bitwiseAND((1 << n) - 1)
+        kept = F.filter(terms, lambda t: bits(t, skip, shift) == 0) if shift else terms
+        place = lambda t: bits(t, skip + shift, CELL_BITS).cast("int") + (level << CELL_BITS)
+        return F.transform(kept, lambda t: F.struct(place(t).alias("place"), t.alias("term")))
 
     levels = [one(level, shift) for level, shift in enumerate(SHIFTS)]
-    ordered = F.array_sort(F.concat(*levels))
+    ordered = F.sort_array(F.concat(*levels))
     closed = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["place"].alias("place"), acc["signature"].alias("signature"))))
 
     def add(acc, x):
@@ -93,20 +95,19 @@ def fingerprints(frame: DataFrame, bits: DataFrame, **named: str) -> DataFrame:
     for name in named:
         frame = frame.withColumn(f"_bits_{name}", bits.scalar())
 
-    def marked(name: str, column: str) -> Column:
+    def inside(name: str, column: str) -> Column:
         def member(t: Column) -> Column:
             word = F.get(F.col(f"_bits_{name}"), F.shiftright(_slot(t), 6).cast("int"))
             return F.getbit(word, (_slot(t) % 64).cast("int")) == 1
 
-        return F.transform(term_hashes(F.col(column)), lambda t: F.struct(member(t).alias("member"), t.alias("term"))).alias(name)
+        return F.filter(term_hashes(F.col(column)), member).alias(name)
 
-    def chosen(name: str) -> Column:
+    def chosen(name: str, column: str) -> Column:
         """Members, or all terms where no term is a member."""
-        inside = F.filter(name, lambda x: x["member"])
-        return F.transform(F.when(F.size(inside) > 0, inside).otherwise(F.col(name)), lambda x: x["term"]).alias(name)
+        return F.when(F.size(name) > 0, F.col(name)).otherwise(term_hashes(F.col(column))).alias(name)
 
-    frame = frame.select(*keep, *(marked(name, column) for name, column in named.items()))
-    frame = frame.select(*keep, *map(chosen, named))
+    frame = frame.select(*keep, *(inside(name, column) for name, column in named.items()))
+    frame = frame.select(*keep, *(chosen(name, column) for name, column in named.items()))
     return frame.select(*keep, *(_signatures(F.col(name)).alias(name) for name in named))
 
 
