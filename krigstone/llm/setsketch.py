@@ -10,8 +10,8 @@ sorted 64-bit hashes of shingles.
 3. Bands of five registers are hashed.  In each bucket of a band key, a hub is compared with all
    members: the member that shares most buckets with others, which in a group of near copies is the
    common original.  Round k takes 4**k hubs of a bucket.  A member whose distance (one minus
-   similarity) to a hub is at most NEAR / 2 leaves the bucket, as every link it has must be to
-   members within NEAR of that hub; rounds end when no bucket holds two components.
+   similarity) to a hub is at most CLOSE leaves the bucket, as every link it has must be to members
+   within NEAR of that hub; rounds end when no bucket holds two components.
 4. Links among the members near a hub are found from their differences to it.  Of two linked sets,
    one of them not linked to the hub, the differences share more than about half of either's elements.
    Elements that differ for one member only, or within one component only, can't count; who is left
@@ -42,8 +42,9 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, SCALE = 1.001, 20.0
 THRESHOLD = (85, 100)  # 100 * intersection >= 85 * union
-#: Distance to a hub within which links are found from differences; over twice that of a link.
-NEAR = 0.65
+#: Distances to a hub: up to CLOSE a member leaves the bucket, and links of members up to NEAR are found
+#: from differences.  NEAR is CLOSE and the greatest distance of a link, which is a metric, together.
+CLOSE, NEAR = 0.2, 0.35
 SLACK = 6.0
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -171,7 +172,7 @@ class _Known:
 
 
 def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b, linked, near (within NEAR) and close (within NEAR / 2) for each pair."""
+    """a, b, linked, near (within NEAR) and close (within CLOSE) for each pair."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("close", pa.bool_())])
 
     def run(batches):
@@ -186,7 +187,7 @@ def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 distance = 1 - both / (len(x) + len(y) - both)
-                out.append((linked(both, len(x), len(y)), distance <= NEAR, distance <= NEAR / 2))
+                out.append((linked(both, len(x), len(y)), distance <= NEAR, distance <= CLOSE))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.bool_()) for i in range(3))], schema=schema)
 
     return _with_texts(pairs, own).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, near boolean, close boolean")
@@ -194,23 +195,24 @@ def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 def _differences(stars: DataFrame, own: DataFrame) -> DataFrame:
     """hub, rep, comp, unlinked, m (size of the symmetric difference), gain (how much larger the
-    member is), elements of the difference; for stars(a: hub, b: rep, comp, unlinked)."""
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("unlinked", pa.bool_()), ("m", pa.int64()), ("gain", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    member is), size (the member's), elements of the difference; for stars(a: hub, b: rep, comp, unlinked)."""
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("comp", pa.int64()), ("unlinked", pa.bool_()), ("m", pa.int64()), ("gain", pa.int64()), ("size", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def run(batches):
         known = _Known()
         for batch in batches:
-            m, gain, lists = [], [], []
+            m, gain, size, lists = [], [], [], []
             for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 x, y = known(s)[0], known(t)[0]
                 found = np.setxor1d(x, y, assume_unique=True)
                 m.append(len(found))
                 gain.append(len(y) - len(x))
+                size.append(len(y))
                 lists.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m, pa.int64()), pa.array(gain, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m, pa.int64()), pa.array(gain, pa.int64()), pa.array(size, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     return _with_texts(stars, own).select("a", "b", "comp", "unlinked", "text_a", "text_b").mapInArrow(
-        run, "hub long, rep long, comp long, unlinked boolean, m long, gain long, elements array<long>")
+        run, "hub long, rep long, comp long, unlinked boolean, m long, gain long, size long, elements array<long>")
 
 
 def _near_pairs(stars: DataFrame, own: DataFrame) -> DataFrame:
@@ -224,16 +226,20 @@ def _near_pairs(stars: DataFrame, own: DataFrame) -> DataFrame:
     found = materialize(_differences(stars, own))
     each = found.select("hub", "rep", "comp", F.explode("elements").alias("e"))
     counted = materialize(each.groupBy("hub", "e").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub", "e", "n"))
-    shared = materialize(found.select("hub", "rep", "comp", "unlinked", "m", "gain", F.explode("elements").alias("e")).join(counted, ["hub", "e"]))
+    shared = materialize(found.select("hub", "rep", "comp", "unlinked", "m", "gain", "size", F.explode("elements").alias("e")).join(counted, ["hub", "e"]))
     need = F.floor((more * F.col("m") - less * F.col("gain")) / (2 * more)).cast("int")
     # a member's list is at most its difference
     strong = (
-        shared.groupBy("hub", "rep", "comp", "m", "gain").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("l"))
+        shared.groupBy("hub", "rep", "comp", "m", "gain", "size").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("l"))
         .withColumn("more", F.size("l") - F.greatest(need, F.lit(0))).where("more > 0")
-        .select("hub", "rep", "comp", F.explode(F.slice("l", F.lit(1), F.col("more"))).alias("x")).select("hub", F.col("x.e").alias("e"), F.col("rep").alias("v"), F.col("comp").alias("comp_v"))
+        .select("hub", "rep", "comp", "m", "size", F.explode(F.slice("l", F.lit(1), F.col("more"))).alias("x"))
+        .select(F.col("hub").alias("hub_v"), F.col("x.e").alias("e_v"), F.col("rep").alias("v"), F.col("comp").alias("comp_v"), F.col("m").alias("m_v"), F.col("size").alias("size_v"))
     )
     strong = materialize(strong)
-    met = shared.where("unlinked").select("hub", "e", "rep", "comp").join(strong, ["hub", "e"]).where((F.col("rep") != F.col("v")) & (F.col("comp") != F.col("comp_v")))
+    # the sizes, and how far both are from the hub, bound the similarity as well
+    apart = F.greatest(F.abs(F.col("m") - F.col("m_v")), F.abs(F.col("size") - F.col("size_v")))
+    may = (F.col("rep") != F.col("v")) & (F.col("comp") != F.col("comp_v")) & (more * apart <= less * (F.col("size") + F.col("size_v")))
+    met = shared.where("unlinked").select("hub", "e", "rep", "comp", "m", "size").join(strong, (F.col("hub") == F.col("hub_v")) & (F.col("e") == F.col("e_v")) & may)
     return met.select(F.least("rep", "v").alias("a"), F.greatest("rep", "v").alias("b")).distinct()
 
 
