@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "materialize", "partitions", "shared_dir", "table", "texts", "unused"]
+
 #: White space that separates words, and its complement, as Java and RE2 regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,33 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent a local master gets a folder of its own; a cluster without a
-    shared folder is refused, as its executors could not read each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage, survives lost executors, and gives later joins a scan whose size
-    Spark knows and whose exchange adaptive execution may split when one key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,3 +25,11 @@ def partitions(spark: SparkSession) -> int:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text, a null one as the empty text; other columns only if named."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -70,9 +70,9 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ce
     )
 
 
-def plan_mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, budget: float = BUDGET, ceiling: int = CEILING) -> DataFrame:
-    """The columns of docs with size, source_size, target, rate and copies."""
-    sized = docs.withColumn("size", n_words(F.col("text")))
+def plan_mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, budget: float = BUDGET, ceiling: int = CEILING, carry: str | None = None) -> DataFrame:
+    """doc_id, text, source (and the column named carry) of docs with size, source_size, target, rate and copies."""
+    sized = docs.select("doc_id", "text", "source", *([carry] if carry else [])).withColumn("size", n_words(F.col("text")))
     targets = materialize(source_targets(sized.select("source", "size"), weights, budget, ceiling))
     targets = targets.withColumnRenamed("source", "of_source")
     whole = F.floor("rate")
@@ -86,6 +86,8 @@ def plan_mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, budget: float
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
-    taken = plan_mix(docs, **options).where("copies > 0")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    return taken.select(*docs.columns, each).drop("copy")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("0"), *others).alias("carried"))
+    taken = plan_mix(packed, carry="carried", **options).where("copies > 0")
+    each = taken.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select(*(F.col("carried")[c].alias(c) if c in others else F.col(c) for c in docs.columns))

@@ -24,7 +24,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, unused
 
 
 @dataclass(frozen=True)
@@ -150,17 +150,18 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(items, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
 
 
-def find_spans(docs: DataFrame, rules=RULES) -> DataFrame:
+def find_spans(docs: DataFrame, rules=RULES, name: str = "secret_spans") -> DataFrame:
     """docs with a column of sorted spans: array of (start, kind as a place in rules, end)."""
-    found = candidates(build_index(docs, rules), rules).withColumnRenamed("doc_id", "of_doc")
+    key, kinds_ = unused(docs, "candidate_doc"), unused(docs, "candidate_kinds")
+    found = candidates(build_index(docs, rules), rules).select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds_))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     each = []
     for k, rule in enumerate(rules):
-        sought = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+        sought = F.array_contains(kinds_, rule.kind) if trigram_query(rule.pattern) else F.lit(True)
         each.append(F.when(sought & text.rlike(rule.pattern), _spans(text, rule, k)).otherwise(none))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
-    return joined.select(*docs.columns, F.array_sort(F.concat(*each)).alias("secret_spans"))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    return joined.select(*docs.columns, F.sort_array(F.concat(*each)).alias(name))
 
 
 def _written(spans: Column, rules) -> Column:
@@ -181,7 +182,8 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with every span (overlapping ones joined) replaced by MASK; n_chars follows, if there."""
-    found = find_spans(docs, rules)
+    spans = unused(docs, "secret_spans")
+    found = find_spans(docs, rules, spans)
     text = F.col("text")
 
     def add(acc, s):
@@ -190,13 +192,13 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     whole = F.aggregate(
-        "secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.when(F.size("secret_spans") > 0, whole).otherwise(text)
+    clean = F.when(F.size(spans) > 0, whole).otherwise(text)
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
