@@ -61,7 +61,7 @@ def refine_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFr
     vbar = materialize(solve_backward(factors, cotangent))
     own = factors.select("batch", "idx", "s")
     initial_bar = vbar.join(own, ["batch", "idx"], "left_anti").select("batch", "idx", F.col("vbar").alias("initial_bar"))
-    xi_bar = own.join(vbar, ["batch", "idx"]).select("batch", "idx", (F.col("s") * F.col("vbar")).alias("xi_bar"))
+    xi_bar = own.join(vbar, ["batch", "idx"], "left").select("batch", "idx", (F.col("s") * F.coalesce("vbar", F.lit(0.0))).alias("xi_bar"))
     slots = factors.select("batch", "idx", F.posexplode("nbs").alias("slot", "nb"))
     held = slots.join(values.select("batch", F.col("idx").alias("nb"), "v"), ["batch", "nb"]).groupBy("batch", "idx").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("l"))
     rows = held.join(vbar, ["batch", "idx"]).join(xi, ["batch", "idx"]).join(local_sets(graph).select("idx", "at"), "idx")

@@ -7,12 +7,10 @@ transpose goes down the levels.  The inverse and the log-determinant need no lev
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import Growing, materialize
 from .factor import spread
 
 
@@ -21,40 +19,35 @@ def _levels(factors: DataFrame) -> list[int]:
     return [r["depth"] for r in factors.select("depth").distinct().orderBy("depth").collect()]
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame) -> DataFrame:
     """batch, idx, v with v = initial, and above it v_i = sum_j w_ij v_nb(j) + source_i."""
     levels = _levels(factors)
     edges = materialize(spread(factors).select("batch", "idx", "depth", "nb", "w"), by="depth")
     sources = materialize(factors.select("batch", "idx", "depth").join(source, ["batch", "idx"], "left").select("batch", "idx", "depth", F.coalesce("source", F.lit(0.0)).alias("source")), by="depth")
-    done = [initial.select("batch", "idx", "v")]
+    done = Growing(factors.sparkSession, "batch int, idx long, v double", by="depth")
+    done.add(initial.select("batch", "idx", "v", F.lit(0).alias("depth")))
     for level in levels:
-        known = _union(done).select("batch", F.col("idx").alias("nb"), "v")
+        known = done.read().where(F.col("depth") < level).select("batch", F.col("idx").alias("nb"), "v")
         mean = edges.where(F.col("depth") == level).join(known, ["batch", "nb"]).groupBy("batch", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("mean"))
-        own = sources.where(F.col("depth") == level).select("batch", "idx", "source")
-        done.append(materialize(own.join(mean, ["batch", "idx"]).select("batch", "idx", (F.col("mean") + F.col("source")).alias("v"))))
-    return _union(done)
+        own = sources.where(F.col("depth") == level)
+        done.add(own.join(mean, ["batch", "idx"]).select("batch", "idx", (F.col("mean") + F.col("source")).alias("v"), "depth"))
+    return done.read().select("batch", "idx", "v")
 
 
 def solve_backward(factors: DataFrame, cotangent: DataFrame) -> DataFrame:
     """batch, idx, vbar: cotangent (batch, idx, vbar) plus what flows back from later points."""
     levels = _levels(factors)
     edges = materialize(spread(factors).select("batch", "idx", "depth", "nb", "nb_depth", "w"), by="depth")
-    given = materialize(factors.select("batch", "idx", "depth").join(cotangent, ["batch", "idx"], "left").select("batch", "idx", "depth", F.coalesce("vbar", F.lit(0.0)).alias("vbar")), by="depth")
-    flows, done = [], []
+    own = cotangent.join(factors.select("batch", "idx", "depth"), ["batch", "idx"], "left")
+    # what each point receives, laid out by its depth: its cotangent, then the flows from above
+    received = Growing(factors.sparkSession, "batch int, idx long, vbar double", by="depth")
+    received.add(own.select("batch", "idx", "vbar", F.coalesce("depth", F.lit(0)).alias("depth")))
     for level in reversed(levels):
-        parts = [given.where(F.col("depth") == level).select("batch", "idx", "vbar"), *(f.where(F.col("depth") == level).select("batch", "idx", "vbar") for f in flows)]
-        own = materialize(_union(parts).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar")))
-        done.append(own)
-        sent = edges.where(F.col("depth") == level).join(own, ["batch", "idx"])
-        flows.append(materialize(sent.groupBy("batch", "nb", "nb_depth").agg(F.sum(F.col("w") * F.col("vbar")).alias("vbar")).select("batch", F.col("nb").alias("idx"), F.col("nb_depth").alias("depth"), "vbar"), by="depth"))
-    later = factors.select("batch", "idx")
-    first = cotangent.join(later, ["batch", "idx"], "left_anti").select("batch", "idx", "vbar")
-    flowed = [f.where("depth = 0").select("batch", "idx", "vbar") for f in flows]
-    return _union([_union([first, *flowed]).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar")), *done])
+        total = received.read().where(F.col("depth") == level).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
+        sent = edges.where(F.col("depth") == level).join(total, ["batch", "idx"])
+        flow = sent.groupBy("batch", "nb", "nb_depth").agg(F.sum(F.col("w") * F.col("vbar")).alias("vbar"))
+        received.add(flow.select("batch", F.col("nb").alias("idx"), "vbar", F.col("nb_depth").alias("depth")))
+    return received.read().groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
 
 
 def refine(factors: DataFrame, initial: DataFrame, xi: DataFrame) -> DataFrame:
@@ -67,7 +60,7 @@ def refine_transpose(factors: DataFrame, cotangent: DataFrame) -> tuple[DataFram
     """(batch, idx, initial_bar) and (batch, idx, xi_bar) from a cotangent (batch, idx, vbar)."""
     vbar = solve_backward(factors, cotangent)
     own = factors.select("batch", "idx", "s")
-    xi_bar = own.join(vbar, ["batch", "idx"]).select("batch", "idx", (F.col("s") * F.col("vbar")).alias("xi_bar"))
+    xi_bar = own.join(vbar, ["batch", "idx"], "left").select("batch", "idx", (F.col("s") * F.coalesce("vbar", F.lit(0.0))).alias("xi_bar"))
     return vbar.join(own, ["batch", "idx"], "left_anti").select("batch", "idx", F.col("vbar").alias("initial_bar")), xi_bar
 
 

@@ -28,6 +28,25 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table in the shared folder that rounds add to, laid out by the integer column ``by``.
+
+    Reading it is one scan, however many rounds there have been, and prunes by ``by``.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, by: str):
+        self.spark, self.by = spark, by
+        self.schema = f"{schema}, {by} int"
+        self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        spark.createDataFrame([], self.schema).write.partitionBy(by).parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").partitionBy(self.by).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def numbered(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
     """df with each row's place, from 0, in the order of keys, which must be unique together.
 
