@@ -9,9 +9,10 @@ sorted 64-bit hashes of shingles.
 2. Documents with one and the same set form a class, represented by its smallest doc_id.
 3. Bands of five registers are hashed.  In each bucket of a band key, a hub is compared with all
    members: the member that shares most buckets with others, which in a group of near copies is the
-   common original.  Round k takes 4**k hubs of a bucket.  A member whose distance (one minus
-   similarity) to a hub is at most CLOSE leaves the bucket, as every link it has must be to members
-   within NEAR of that hub; rounds end when no bucket holds two components.
+   common original.  A member whose distance (one minus similarity) to its hub is at most CLOSE is
+   done in the bucket, as every link it has must be to members within NEAR of the hub (step 4).
+   Where other members of several components are left, their registers are compared in blocks of
+   bounded size, and only pairs whose estimate allows a link go on to step 5.
 4. Links among the members near a hub are found from their differences to it.  Of two linked sets,
    one of them not linked to the hub, the differences share more than about half of either's elements.
    Elements that differ for one member only, or within one component only, can't count; who is left
@@ -32,10 +33,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import materialize, partitions, texts
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -46,6 +47,8 @@ THRESHOLD = (85, 100)  # 100 * intersection >= 85 * union
 #: from differences.  NEAR is CLOSE and the greatest distance of a link, which is a metric, together.
 CLOSE, NEAR = 0.2, 0.35
 SLACK = 6.0
+#: Members of a bucket that are compared in one place with as many others.
+BLOCK = 512
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL_A, _MUL_B = (_rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -132,22 +135,24 @@ def linked(both: int, n_x: int, n_y: int) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys (both null for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, digest of the set, band keys, registers (the last three null for an empty set)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
 
     def run(batches):
         import hashlib
 
         for batch in batches:
-            n, digests, bands = [], [], []
+            n, digests, bands, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text)
                 n.append(len(found))
+                own = registers(found) if len(found) else None
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                bands.append(band_keys(registers(found)) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                bands.append(None if own is None else band_keys(own))
+                sketches.append(None if own is None else own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, registers binary")
 
 
 def _with_texts(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -243,6 +248,48 @@ def _near_pairs(stars: DataFrame, own: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "v").alias("a"), F.greatest("rep", "v").alias("b")).distinct()
 
 
+def _block_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members left in a bucket whose registers allow a link.
+
+    left: band, rep, comp, near (to the bucket's hub).  Pairs of one component, and those of two
+    members near the hub, are settled.  A bucket is cut into blocks of about BLOCK members, each pair
+    of blocks is compared in one place, and many small buckets share a group.
+    """
+    spark = left.sparkSession
+    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = left.join(sizes, "band").join(sketches, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "near", "n_set", "registers")
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(8 * partitions(spark))))
+    limit = THRESHOLD[0] / THRESHOLD[1]
+
+    def run(table: pa.Table) -> pa.Table:
+        key = np.column_stack([table.column(c).to_numpy() for c in ("band", "lo", "hi")])
+        order = np.lexsort(key.T[::-1])
+        key = key[order]
+        rep, comp, size, own, near = (table.column(c).to_numpy()[order] for c in ("rep", "comp", "n_set", "own", "near"))
+        sketch_ = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        first, second = [], []
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = key[start, 1], key[start, 2]
+            for i in range(start, end):
+                if own[i] != lo:
+                    continue
+                # within one block every pair once; else this block's members against the other's
+                j = np.arange(i + 1, end) if lo == hi else start + np.flatnonzero(own[start:end] == hi)
+                j = j[(comp[j] != comp[i]) & ~(near[j] & near[i]) & (np.minimum(size[j], size[i]) >= limit * np.maximum(size[j], size[i]))]
+                if len(j):
+                    share = (sketch_[j] == sketch_[i]).mean(axis=1)
+                    j = j[share + SLACK * np.sqrt(np.maximum(share * (1 - share), 0.02) / REGISTERS) >= limit]
+                    first.append(np.full(len(j), rep[i]))
+                    second.append(rep[j])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rep and its component, the least rep that it reaches over edges(a, b).
 
@@ -267,55 +314,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = materialize(sketch(docs))
     classes = materialize(
         sketched.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_set"))
     )
     banded = classes.select("rep", F.explode("bands").alias("band"))
     sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialize(banded.join(sizes, "band").select("band", "rep", "n"))
     popular = members.groupBy("rep").agg(F.sum("n").alias("popular"))
-    members = materialize(members.select("band", "rep").distinct().join(popular, "rep").withColumn("comp", F.col("rep")))
+    members = materialize(members.select("band", "rep").distinct().join(popular, "rep"))
     nodes = members.select("rep").distinct()
     # the texts of members only; a doc_id has several rows here if its texts differ
     own = materialize(
         texts(docs).join(nodes.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("which")).agg(F.first("text").alias("text")).drop("which")
     )
-    results, comps = None, None
-    active, hubs_each = members, 1
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Adds to results and comps; returns the pairs that are new."""
-        nonlocal results, comps
-        if results is not None:
-            pairs = pairs.join(results, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.limit(1).count():
-            found = materialize(_compare(pairs, own))
-            results = found if results is None else results.unionByName(found)
-            comps = materialize(components(nodes, results.where("linked")))
-        return pairs
-
-    while True:
-        by_rank = Window.partitionBy("band").orderBy(F.col("popular").desc(), "rep")
-        hubs = materialize(active.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= hubs_each).select("band", F.col("rep").alias("a")))
-        met = materialize(active.select("band", F.col("rep").alias("b")).join(hubs, "band").where("a != b"))
-        new = compare(met.select("a", "b").distinct())
-        if results is None:
-            break
-        # stars of hubs with a new member and a near member of another component
-        star = results.where("near").join(new.select("a").distinct(), "a", "left_semi").join(comps.select(F.col("rep").alias("b"), "comp"), "b").join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("hub_comp")), "a")
+    comps = None
+    hubs = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("a"))
+    met = materialize(members.select("band", F.col("rep").alias("b")).join(materialize(hubs), "band").where("a != b"))
+    if met.limit(1).count():
+        compared = materialize(_compare(met.select("a", "b").distinct(), own))
+        comps = materialize(components(nodes, compared.where("linked")))
+        # links among the members near a hub
+        star = compared.where("near").join(comps.select(F.col("rep").alias("b"), "comp"), "b").join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("hub_comp")), "a")
         star = materialize(star.select("a", "b", "comp", (~F.col("linked")).alias("unlinked"), (F.col("comp") != F.col("hub_comp")).alias("apart")))
-        open_hubs = materialize(star.groupBy("a").agg(F.max("apart").alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("a"))
-        if open_hubs.limit(1).count():
-            compare(_near_pairs(materialize(star.join(open_hubs, "a").select("a", "b", "comp", "unlinked")), own))
-        # hubs, and members close to a hub of theirs, are done in the bucket
-        close = met.join(results.where("close").select("a", "b"), ["a", "b"], "left_semi").select("band", F.col("b").alias("rep"))
-        done = close.unionByName(hubs.select("band", F.col("a").alias("rep"))).distinct()
-        left = materialize(active.drop("comp").join(done, ["band", "rep"], "left_anti").join(comps, "rep"))
+        open_hubs = star.groupBy("a").agg(F.max("apart").alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("a")
+        more = _near_pairs(materialize(star.join(materialize(open_hubs), "a").select("a", "b", "comp", "unlinked")), own)
+        # links among the others of a bucket
+        left = met.join(compared.where("not close").select("a", "b", "near"), ["a", "b"]).select("band", F.col("b").alias("rep"), "near").join(comps, "rep")
+        left = materialize(left)
         open_bands = materialize(left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"))
-        if not open_bands.limit(1).count():
-            break
-        active, hubs_each = materialize(left.join(open_bands, "band")), 4 * hubs_each
+        sketches = classes.select("rep", "n_set", "registers")
+        more = more.unionByName(_block_pairs(materialize(left.join(open_bands, "band")), sketches)).distinct()
+        found = materialize(_compare(materialize(more), own).where("linked"))
+        if found.limit(1).count():
+            comps = materialize(components(nodes, compared.where("linked").unionByName(found)))
     placed = classes.select("digest", "rep")
     if comps is not None:
         placed = placed.join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
