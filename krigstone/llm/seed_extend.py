@@ -8,10 +8,10 @@ compared with the same one around the same anchor elsewhere; adjoining repeated
 maximal repeats.  A word is removed if a window that covers it also starts in a document with a
 smaller doc_id.  Windows are judged on the input, not on what is left.
 
-Anchors that few documents share meet by hash partitioning.  Anchors that are hot in a bounded
-sample of documents take another way with the same result: their windows are aggregated before the
-shuffle, and the result is joined back, which adaptive execution may split.  The sample decides
-only which way an anchor takes.
+Most anchors meet by hash partitioning.  Hot anchors, whose rows alone would outweigh a mean
+partition, take another way with the same result: their windows are aggregated before the shuffle,
+and the result is joined back, which adaptive execution may split.  Which anchors are hot is judged
+on a bounded sample of documents; that decides only which way an anchor takes.
 
 Defined results: a null or empty text has no words; a text of fewer than 13 words loses none; rows
 that repeat a doc_id don't remove each other's words, as neither id is smaller; rows with a null
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import materialize, partitions, texts
 
 WINDOW = 13
 GRAM = 5
 #: Bytes of a window's hash; it only has to tell windows around one anchor apart.
 TAG = 6
-#: Documents of the sample that finds hot anchors, and the share of them that makes one hot.
-SAMPLE, HOT = 4000, 0.004
+#: Documents of the sample that finds hot anchors.
+SAMPLE = 4000
 _rng = np.random.Generator(np.random.PCG64(20240307))
 _MUL = _rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 SEED = "anchor long, doc_id long, start int, tags binary"
@@ -101,12 +101,13 @@ def seeds(docs: DataFrame) -> DataFrame:
     return texts(docs).where("doc_id is not null").mapInArrow(run, SEED)
 
 
-def hot_anchors(docs: DataFrame, sample: int = SAMPLE, share: float = HOT) -> DataFrame:
-    """Anchors in at least that share of a bounded sample.  A document chooses at most one anchor a
-    word, so there are at most (words of the sample) / (share * sample) of them."""
+def hot_anchors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Anchors with more rows in a bounded sample than a partition has on average.  Their rows add up
+    to those of the sample at most, so there are no more of them than partitions."""
     chosen = docs.select("doc_id", "text").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = seeds(chosen).select("anchor", "doc_id").distinct().groupBy("anchor").agg(F.count("*").alias("n"))
-    return found.where(F.col("n") >= max(4, share * sample)).select("anchor")
+    found = materialize(seeds(chosen).select("anchor", "doc_id").distinct())
+    mean = found.count() / partitions(docs.sparkSession)
+    return found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= max(4, mean)).select("anchor")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -152,20 +153,37 @@ def _kept(words: list[bytes], marks) -> np.ndarray:
     return keep
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the text compressed, as all texts go through a shuffle."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            out = [pack(t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, packed binary")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text)
+            for packed, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = unpack(packed).split()
                 keep = _kept(words, marks)
                 n.append(len(words))
                 gone.append(len(words) - int(keep.sum()))
                 kept.append(b" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(keep)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
 
-    joined = texts(docs).join(repeats(docs), "doc_id", "left").select("doc_id", "text", "marks")
+    joined = _packed(docs).join(repeats(docs), "doc_id", "left").select("doc_id", "packed", "marks")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")

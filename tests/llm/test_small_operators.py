@@ -226,16 +226,15 @@ def plain_dedup(rows):
     return sorted(words, key=str)
 
 
-@pytest.mark.parametrize("hot", [0.0001, 0.5])
-def test_substrings(spark, documents, odd, nothing, monkeypatch, hot):
+@pytest.mark.parametrize("parts", [1, 10**6])  # no hot anchors, or many
+def test_substrings(spark, documents, odd, nothing, monkeypatch, parts):
     rng = random.Random(9)
     passage = [f"p{k}" for k in range(30)]
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     rows += [(5000 + i, " ".join([f"a{rng.randrange(9)}" for _ in range(20)] + passage[rng.randrange(9) : 13 + rng.randrange(15)] + ["end"] * rng.randrange(40))) for i in range(80)]
     for some in (rows, [(r["doc_id"], r["text"]) for r in odd.collect()]):
-        monkeypatch.setattr(seed_extend, "HOT", hot)
+        monkeypatch.setattr(seed_extend, "partitions", lambda spark: parts)
         docs = spark.createDataFrame(some, "doc_id long, text string")
-        monkeypatch.setattr(seed_extend.hot_anchors, "__defaults__", (seed_extend.SAMPLE, hot))
         found = sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in seed_extend.dedup(docs).collect()), key=str)
         assert found == plain_dedup(some)
     assert seed_extend.dedup(nothing).count() == 0
