@@ -144,9 +144,8 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     everything = over_ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = dealt.groupBy("_range").agg(F.min(row).alias("_head"))
     heads = heads.select("_range", F.coalesce(F.lead("_head").over(over_ranges), F.first("_head").over(everything)).alias("_after"))
-    # only the last row of a range takes part, so the heads' texts are not repeated for the others
-    key = F.when(F.col("_follows").isNull(), F.col("_range"))
-    joined = inner.withColumn("_range", key).join(heads, "_range", "left")
+    # the rows are dealt by range already, so that this join moves the heads only
+    joined = inner.join(heads, "_range", "left")
     follows = F.coalesce("_follows", "_after")
     return joined.select(*docs.columns, *(follows[c].alias(f"next_{c}") for c in columns))
 
