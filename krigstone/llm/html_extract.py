@@ -37,6 +37,15 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - {"html", "body", "ins"}
 #: An opening element of the key closes an open one of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What may stand in a head; any other tag, and text, ends it.
+HEADS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of these in which HTML goes on, and tags that end svg and math elsewhere.
+WITHIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 
@@ -54,11 +63,14 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.dropped:
-            if tag in DROPPED and tag not in VOID:
+            if tag not in HEADS:
+                self._end_head()
+            while tag in BREAKS and self.open[-1][0] in FOREIGN:
+                self._pop_to(len(self.open) - 1)
+        if self.dropped:
+            if tag in DROPPED or tag in WITHIN:
                 self._push(tag, self.open[-1][1])
             return
-        if tag == "body":  # what is still open of the head ends here
-            self.dropped = 0
         if tag in ENDS_P:
             self._close_within("p", BLOCKS - {"p"})
         for name in CLOSES.get(tag, ()):
@@ -84,7 +96,10 @@ class Page(HTMLParser):
         self._push(tag, node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # as browsers do, a slash doesn't close an element
+        self.handle_starttag(tag, attrs)
+        # as browsers do, a slash closes svg, math and what they hold, but no other element
+        if self.open[-1][0] == tag and (tag in FOREIGN or self.open[-2][0] in FOREIGN):
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "p" and not self.dropped and not any(name == "p" for name, _ in self.open):
@@ -101,9 +116,15 @@ class Page(HTMLParser):
                 return  # an inline end tag doesn't close blocks
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.dropped and data:
             self.runs.append((self.open[-1][1], self.block, self.links > 0, data))
 
+    def _end_head(self):
+        if self.open[-1][0] == "head":
+            self._pop_to(len(self.open) - 1)
+
     def _push(self, tag, node):
         self.open.append((tag, node))
         self.links += tag == "a"

@@ -31,6 +31,21 @@ def test_pages(model, html):
     assert html_extract.main_text(html, model) == PAGES[html]
 
 
+HEAD = "<html><head><meta charset=utf-8><title>t</title>"
+ARTICLE = "<article><h1>Of a title</h1><p>A long enough sentence of the text, with a comma.</p></article>"
+#: Heads without an end tag, and drawings between the title and the sentence: all give the same text.
+CLOSED_BY_BROWSERS = [
+    f"{HEAD}<body>{ARTICLE}", f"{HEAD}<style>p{{}}</style>{ARTICLE}", f"{HEAD}<noscript><img src=x></noscript><body>{ARTICLE}", f"{HEAD}</head><body>{ARTICLE}",
+    *(f"{HEAD}</head><body>{ARTICLE.replace('</h1>', f'</h1>{form}')}" for form in (
+        "<svg width='1' />", "<math/>", "<svg><path d=x /><title/></svg>", "<svg><title>no</title><g><circle /></g>", "<svg><svg/>no</svg>", "<svg><desc><p>no</p></desc></svg>", "<svg><foreignObject><p>no</p></foreignObject></svg>")),
+]
+
+
+@pytest.mark.parametrize("html", CLOSED_BY_BROWSERS)
+def test_heads_and_drawings(model, html):
+    assert html_extract.main_text(html, model) == "Of a title\n\nA long enough sentence of the text, with a comma."
+
+
 def test_marginals_are_exact(model):
     import itertools
     import math
