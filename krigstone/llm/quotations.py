@@ -2,9 +2,15 @@
 
 A message is split into its own text and quoted passages: runs of lines with the same number of
 leading '>' signs.  Passages are normalised (letters and digits only, lower case) and hashed, whole
-and line by line.  A passage's original is the earliest message of the conversation whose own text,
-paragraph or line has that hash, if it is earlier than the quoting message.  A message replies to the
-original of its passage with the lowest level, of these the longest, of these the first.
+and by paragraph, line and sentence.  A passage's original is the earliest message of the conversation
+whose own text, paragraph, line or sentence has that hash, if it is earlier than the quoting message.
+
+A passage that has no original as a whole may be trimmed within a sentence or wrapped anew.  Its runs
+of RUN words (what has fewer words is one run) are looked up among the runs of the own texts as well.
+Of the earliest messages with each run the latest is the original, as common runs are met earlier too.
+
+A message replies to the original of its passage with the lowest level, of these the one that is found
+by the longest unit or run, of these the first.
 
 Messages then come in reply order: threads by the turn of their first message, and within a thread
 by turn, so that every message follows the one that it replies to.  Each is given without quotes and
@@ -31,7 +37,12 @@ from .common import materialize
 
 TEMPLATE = "<|{role}|>\n{text}<|end|>\n"
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-#: A line such as 'On Monday, A wrote:' right before a quotation.
+#: Words of a run; Han and kana, which are written without spaces, count as words each.
+RUN = 8
+WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W_\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+SENTENCES = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|$)|[。！？]|\n\s*\n")
+OMISSION = re.compile(r"\[?(?:\.\.\.|…)\]?")
+#: A line such as 'On Monday, A wrote:' before a quotation, maybe with empty lines between.
 ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|écrit|escribió)\b.{0,20}:\s*$")
 
 
@@ -45,8 +56,11 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         if not now:
             own.append(body)
         else:
-            if not level and own and ATTRIBUTION.match(own[-1]):
-                own.pop()
+            at = len(own)
+            while at and not own[at - 1].strip():
+                at -= 1
+            if not level and at and ATTRIBUTION.match(own[at - 1]):
+                del own[at - 1 :]
             if now == level:
                 passages[-1][1].append(body)
             else:
@@ -63,21 +77,30 @@ def passage_key(passage: str) -> int | None:
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """(key, length) of the whole text, its paragraphs and its lines; each key once."""
+    """(key, length) of the whole text, its paragraphs, its lines and its sentences; each key once."""
     out: dict[int, int] = {}
-    for unit in (text, *re.split(r"\n\s*\n", text), *text.split("\n")):
+    for unit in (text, *re.split(r"\n\s*\n", text), *text.split("\n"), *SENTENCES.split(text)):
         key = passage_key(unit)
         if key is not None:
             out.setdefault(key, len(unit))
     return list(out.items())
 
 
-_QUOTES = "array<struct<level:int,place:int,size:int,key:bigint>>"
+def runs(text: str, n: int) -> list[tuple[int, int]]:
+    """(key, letters but one) of each run of n words: less than the length of a unit of the same words."""
+    import xxhash
+
+    words = WORDS.findall(text.lower())
+    each = (words[i : i + n] for i in range(len(words) - n + 1))
+    return [(xxhash.xxh3_64_intdigest(" ".join(run).encode("utf-8", "replace"), 1) - (1 << 63), sum(map(len, run)) - 1) for run in each]
+
+
+_QUOTES = "array<struct<level:int,place:int,size:int,key:bigint,whole:boolean>>"
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body (own text), units (keys of the own text), quotes."""
-    quote = pa.struct([("level", pa.int32()), ("place", pa.int32()), ("size", pa.int32()), ("key", pa.int64())])
+    quote = pa.struct([("level", pa.int32()), ("place", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("whole", pa.bool_())])
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("body", pa.string()), ("units", pa.list_(pa.int64())), ("quotes", pa.list_(quote))])
 
     def run(batches):
@@ -87,23 +110,63 @@ def parse(messages: DataFrame) -> DataFrame:
                 own, passages = split_quotes(text)
                 bodies.append(own)
                 keys.append([k for k, _ in units(own)])
-                quotes.append([{"level": level, "place": i, "size": size, "key": key} for i, (level, p) in enumerate(passages) for key, size in units(p)])
+                quotes.append([{"level": level, "place": i, "size": size, "key": key, "whole": key == passage_key(p)} for i, (level, p) in enumerate(passages) for key, size in units(p)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(keys, schema.field(4).type), pa.array(quotes, schema.field(5).type)], schema=schema)
 
     columns = messages.select("conv_id", "turn", "role", "text")
     return columns.mapInArrow(run, f"conv_id long, turn long, role string, body string, units array<long>, quotes {_QUOTES}")
 
 
-def link(parsed: DataFrame) -> DataFrame:
+def _quoted_runs(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, place, n (words), size and key of the runs of all passages."""
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("level", pa.int32()), ("place", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("key", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, (level, passage) in enumerate(split_quotes(text)[1]):
+                    for piece in OMISSION.split(passage):
+                        n = min(RUN, len(WORDS.findall(piece.lower())))
+                        rows += [(conv, turn, level, i, n, size, key) for key, size in (runs(piece, n) if n else ())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return messages.select("conv_id", "turn", "text").mapInArrow(run, "conv_id long, turn long, level int, place int, n int, size int, key long")
+
+
+def _own_runs(parsed: DataFrame, lengths: list[int]) -> DataFrame:
+    """conv_id, turn and key of the runs of the own texts, of each of these numbers of words."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [[k for n in lengths for k, _ in runs(body, n)] for body in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], ["conv_id", "turn", "keys"])
+
+    return parsed.select("conv_id", "turn", "body").mapInArrow(run, "conv_id long, turn long, keys array<long>").select("conv_id", "turn", F.explode("keys").alias("key"))
+
+
+def _originals(own: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, key and parent: the earliest turn with a key that is quoted."""
+    met = own.join(quotes.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+    return materialize(met.groupBy("conv_id", "key").agg(F.min("turn").alias("parent")))
+
+
+def link(parsed: DataFrame, messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent and n_linked (passages with an original) of messages that quote others."""
     quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
     quotes = materialize(quotes)
-    originals = materialize(
-        parsed.select("conv_id", "turn", F.explode("units").alias("key"))
-        .join(quotes.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
-        .groupBy("conv_id", "key").agg(F.min("turn").alias("parent"))
-    )
-    met = quotes.join(originals, ["conv_id", "key"]).where("parent < turn")
+    originals = _originals(parsed.select("conv_id", "turn", F.explode("units").alias("key")), quotes)
+    met = materialize(quotes.join(originals, ["conv_id", "key"]).where("parent < turn"))
+    trimmed = quotes.where("whole and conv_id is not null and turn is not null").join(met, ["conv_id", "turn", "place", "key"], "left_anti")
+    trimmed = materialize(trimmed.select("conv_id", "turn").distinct())
+    met = met.select("conv_id", "turn", "level", "size", "place", "parent")
+    if trimmed.limit(1).count():
+        sought = materialize(_quoted_runs(messages.join(trimmed, ["conv_id", "turn"], "left_semi")))
+        lengths = [r["n"] for r in sought.select("n").distinct().collect()]  # RUN numbers at most
+        own = _own_runs(parsed.join(trimmed.select("conv_id").distinct(), "conv_id", "left_semi"), lengths)
+        found = sought.join(_originals(own, sought), ["conv_id", "key"]).where("parent < turn")
+        found = found.groupBy("conv_id", "turn", "level", "place").agg(F.max("size").alias("size"), F.max("parent").alias("parent"))
+        met = met.unionByName(found)
     best = F.min(F.struct("level", (-F.col("size")).alias("size"), "place", "parent"))
     return met.groupBy("conv_id", "turn").agg(best.alias("best"), F.count_distinct("place").alias("n_linked")).select("conv_id", "turn", F.col("best.parent").alias("parent"), "n_linked")
 
@@ -126,7 +189,7 @@ def reply_ordered(messages: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """One row a message, sorted in reply order within each conversation: conv_id, thread (turn of
     its first message), turn, depth, parent_turn, role, n_quotes, n_linked, text, formatted."""
     parsed = materialize(parse(messages))
-    links = materialize(link(parsed))
+    links = materialize(link(parsed, messages))
     placed = links.join(roots(links), ["conv_id", "turn"])
     before, middle, after = re.match(r"(.*)\{role\}(.*)\{text\}(.*)", template, re.S).groups()
     formatted = F.concat(F.lit(before), F.coalesce("role", F.lit("user")), F.lit(middle), F.col("body"), F.lit(after))

@@ -93,6 +93,23 @@ def test_reply_order(spark):
     assert quotations.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_attribution_before_an_empty_line():
+    assert quotations.split_quotes("mine\nOn Monday, A wrote:\n\n> one\nmore") == ("mine\nmore", [(1, "one")])
+
+
+def test_trimmed_quotes(spark):
+    wrapped = "The committee met on the second floor of the old\nlibrary and after some hours of talk it had chosen\nneither of the plans that were laid before it. Nobody\nwas pleased."
+    texts = [
+        "First sentence here. Second sentence. A third one, longer.", wrapped, "Thanks. Yesterday they talked.", "> Second sentence.\nWhy?", "> The committee met on the\n> second floor of the old library and after some\n> hours of talk it had\nReally?",
+        "> neither of the\n> plans\nWhich?", "> it had chosen [...] Nobody was\nI was.", "> yes\nWhat?", "> chosen one of the plans that were never laid before anybody\nNo.", "> laid before it. Thanks.\nSo.",
+        "> the plans that were laid before it. Nobody was pleased. Thanks.\nSo.", "We read that the committee met on the second floor of the old house.", "> We read that the committee met on the second floor of\n> the old\nYes.",
+    ]
+    found = quotations.reply_ordered(spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    parents = {r["turn"]: r["parent_turn"] for r in found}
+    assert parents == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 1, 6: 1, 7: None, 8: None, 9: 2, 10: 1, 11: None, 12: 11}
+    assert sorted(r["turn"] for r in found if r["thread"] == 1) == [1, 4, 5, 6, 10]
+
+
 def test_long_chains(spark):
     rows = [(1, i, "user", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(40)]
     found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
