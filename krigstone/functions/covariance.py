@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BINS = 1 << 16
+#: Values of all batches that are read from a table.
+MOST_ROWS = MOST_BINS * 64
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,10 @@ class Covariance:
 
     @staticmethod
     def from_table(table: DataFrame) -> Covariance:
-        rows = table.orderBy("batch", "bin_id").select("batch", "r", "val").limit(MOST_BINS * 64).collect()
+        n_rows = table.count()
+        if n_rows > MOST_ROWS:
+            raise ValueError(f"a covariance has {MOST_ROWS} values at most, not {n_rows}")
+        rows = table.orderBy("batch", "bin_id").select("batch", "r", "val").collect()
         batches = sorted({r["batch"] for r in rows})
         pick = lambda b, c: tuple(r[c] for r in rows if r["batch"] == b)
         return Covariance(pick(batches[0], "r"), tuple(pick(b, "val") for b in batches))
