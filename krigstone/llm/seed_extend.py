@@ -14,7 +14,8 @@ and the result is joined back, which adaptive execution may split.  Which anchor
 on a bounded sample of documents; that decides only which way an anchor takes.
 
 Defined results: a null or empty text has no words; a text of fewer than 13 words loses none; rows
-that repeat a doc_id don't remove each other's words, as neither id is smaller; rows with a null
+that repeat a doc_id don't remove each other's words, as neither id is smaller, and each loses the
+repeats of its own text; rows with a null
 doc_id neither lose words nor cost others any; an empty table gives an empty result; columns other
 than doc_id and text are ignored.
 """
@@ -36,7 +37,7 @@ TAG = 6
 SAMPLE = 4000
 _rng = np.random.Generator(np.random.PCG64(20240307))
 _MUL = _rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
-SEED = "anchor long, doc_id long, start int, tags binary"
+SEED = "anchor long, doc_id long, which long, start int, tags binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,17 +71,22 @@ def windows_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _sequences(each, WINDOW), place, grams
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and which."""
+    return texts(docs).withColumn("which", F.xxhash64("text"))
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """One row for each anchor of each document: the windows that chose it begin at start and the
-    places after it; tags holds TAG bytes of each of their hashes."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("tags", pa.binary())])
+    """One row for each anchor of each document (which: hash of its text, as ids may repeat): the windows
+    that chose it begin at start and the places after it; tags holds TAG bytes of each of their hashes."""
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("which", pa.int64()), ("start", pa.int32()), ("tags", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                anchors, ids, starts, counts, tags = [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                anchors, ids, which, starts, counts, tags = [], [], [], [], [], []
+                for doc_id, text, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     words = words_of(text)
                     if len(words) < WINDOW:
                         continue
@@ -89,6 +95,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                     anchors.append(grams[place[first]] >> np.uint64(16))
                     ids.append(np.full(len(first), doc_id, np.int64))
+                    which.append(np.full(len(first), own, np.int64))
                     starts.append(first.astype(np.int32))
                     counts.append(np.diff(np.append(first, len(place))))
                     tags.append(np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :TAG]).reshape(-1))
@@ -96,9 +103,9 @@ def seeds(docs: DataFrame) -> DataFrame:
                     continue
                 offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts)) * TAG]).astype(np.int32)
                 held = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(tags))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), held], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(which)), pa.array(np.concatenate(starts)), held], schema=schema)
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, SEED)
+    return _texts(docs).where("doc_id is not null").mapInArrow(run, SEED)
 
 
 def hot_anchors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -112,17 +119,17 @@ def hot_anchors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def _windows(rows: DataFrame) -> DataFrame:
     each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), (F.octet_length("tags") / TAG).cast("int") - 1)))
-    return each.select("anchor", "doc_id", "start", "k", F.substring("tags", F.col("k") * TAG + 1, F.lit(TAG)).alias("tag"))
+    return each.select("anchor", "doc_id", "which", "start", "k", F.substring("tags", F.col("k") * TAG + 1, F.lit(TAG)).alias("tag"))
 
 
 def _marks(windows: DataFrame) -> DataFrame:
-    """doc_id, start and a bit for each repeated window.  An anchor has fewer than 16 windows."""
+    """doc_id, which, start and a bit for each repeated window.  An anchor has fewer than 16 windows."""
     bit = F.call_function("shiftleft", F.lit(1), F.col("k"))
-    return windows.where(F.col("first_doc") < F.col("doc_id")).groupBy("anchor", "doc_id", "start").agg(F.bit_or(bit).alias("bits"))
+    return windows.where(F.col("first_doc") < F.col("doc_id")).groupBy("anchor", "doc_id", "which", "start").agg(F.bit_or(bit).alias("bits"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and marks: array of (start, bits) of its repeated windows."""
+    """doc_id, which and marks: array of (start, bits) of its repeated windows."""
     hot = materialize(hot_anchors(docs))
     found = seeds(docs)
     by_anchor, by_window = Window.partitionBy("anchor"), Window.partitionBy("anchor", "tag")
@@ -139,7 +146,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = materialize(warm.groupBy("anchor", "tag").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
     warm = _marks(warm.join(firsts, ["anchor", "tag"]))
     marks = cold.unionByName(warm)
-    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
+    return marks.groupBy("doc_id", "which").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
 
 def _kept(words: list[bytes], marks) -> np.ndarray:
@@ -154,7 +161,7 @@ def _kept(words: list[bytes], marks) -> np.ndarray:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text compressed, as all texts go through a shuffle."""
+    """doc_id, which and the text compressed, as all texts go through a shuffle."""
 
     def run(batches):
         import zstandard
@@ -162,9 +169,9 @@ def _packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             out = [pack(t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "which", "packed"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, packed binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, which long, packed binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -185,5 +192,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(keep)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
 
-    joined = _packed(docs).join(repeats(docs), "doc_id", "left").select("doc_id", "packed", "marks")
+    joined = _packed(docs).join(repeats(docs), ["doc_id", "which"], "left").select("doc_id", "packed", "marks")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
