@@ -49,6 +49,8 @@ CLOSE, NEAR = 0.2, 0.35
 SLACK = 6.0
 #: Members of a bucket that are compared in one place with as many others.
 BLOCK = 512
+#: Blocks that meet in one group on average.
+GROUP = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL_A, _MUL_B = (_rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -248,19 +250,27 @@ def _near_pairs(stars: DataFrame, own: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "v").alias("a"), F.greatest("rep", "v").alias("b")).distinct()
 
 
+def _bins(rows: int, parts: int) -> int:
+    """Groups that so many rows of blocks are dealt into."""
+    return max(8 * parts, -(-rows // (GROUP * BLOCK)))
+
+
 def _block_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of members left in a bucket whose registers allow a link.
 
     left: band, rep, comp, near (to the bucket's hub).  Pairs of one component, and those of two
     members near the hub, are settled.  A bucket is cut into blocks of about BLOCK members, each pair
-    of blocks is compared in one place, and many small buckets share a group.
+    of blocks is compared in one place, and many small pairs share a group.  There are as many groups as
+    keep each at about GROUP blocks, however large a bucket is.
     """
     spark = left.sparkSession
-    sizes = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = materialize(left.groupBy("band").agg(F.count("*").alias("n")).select("band", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    bins = _bins(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0, partitions(spark))
+    sizes = sizes.select("band", "blocks")
     rows = left.join(sizes, "band").join(sketches, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "near", "n_set", "registers")
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(8 * partitions(spark))))
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(bins)))
     limit = THRESHOLD[0] / THRESHOLD[1]
 
     def run(table: pa.Table) -> pa.Table:
