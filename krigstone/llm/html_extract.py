@@ -148,19 +148,18 @@ class Page(HTMLParser):
 
 def features(page: Page) -> list[list[str]]:
     n = len(page.tags)
-    chars, linked, text = [0] * n, [0] * n, [""] * n
+    chars, linked, last = [0] * n, [0] * n, [""] * n
     for node, _, link, data in page.runs:
         size = len(data.strip())
         chars[node] += size
         linked[node] += size * link
-        if len(text[node]) < 2000:
-            text[node] += data
+        last[node] = data.rstrip()[-1:] or last[node]
     out = []
     for i in range(n):
         size = sum(chars[i] > x for x in (0, 25, 90, 250))
         share = linked[i] / chars[i] if chars[i] else -1
         links = "none" if share < 0 else str(sum(share > x for x in (0, 0.3, 0.7)))
-        ends = "none" if not chars[i] else str(bool(re.search(r"[.!?:…»”\"]\s*$", text[i])))
+        ends = "none" if not chars[i] else str(last[i] in '.!?:…»”"')
         out.append([f"tag:{page.tags[i]}", f"size:{size}", f"links:{links}", f"ends:{ends}", *(f"word:{w}" for w in page.words[i])])
     return out
 
