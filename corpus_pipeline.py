@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id."""
+    """One document of each component stays, that with the smallest doc_id; those without a doc_id stay,
+    and of rows that repeat the id one for each set of shingles."""
     return setsketch.keep_one(docs)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, texts
+from .common import materialize, partitions, texts, unused
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -368,6 +368,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's, in the columns of docs."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs whose doc_id is their component's, in the columns of docs.
+
+    Rows with a null doc_id are linked with nothing and all stay.  Of rows that repeat a kept doc_id one
+    stays for each set of shingles, so exact copies go and other texts under the id are not lost.
+    """
+    kept = materialize(near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
+    out = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    again = kept.where("n > 1").select("doc_id")
+    if again.limit(1).count():
+        out = out.unionByName(_one_a_set(docs.join(again, "doc_id", "left_semi")).select(*docs.columns))
+    return out.select(*docs.columns)
+
+
+def _one_a_set(docs: DataFrame) -> DataFrame:
+    """One row of docs, the least as JSON, for each doc_id and set."""
+    row, digest = unused(docs, "row"), unused(docs, "digest")
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias(row))
+
+    def run(batches):
+        import hashlib
+
+        for batch in batches:
+            digests = [hashlib.blake2b(shingle_set(t).tobytes(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["doc_id", row, digest])
+
+    schema = held.select("doc_id", row).withColumn(digest, F.lit(None).cast("binary")).schema
+    found = held.mapInArrow(run, schema).groupBy("doc_id", digest).agg(F.min_by(F.col(row), F.to_json(row)).alias(row))
+    return found.select(f"{row}.*")
