@@ -2,9 +2,15 @@
 
 A payload is stored losslessly as an 8-bit mono WAV.  A rolling gear hash over the last 64 bytes
 cuts the file where its top bits are zero, between LEAST and MOST bytes after the last cut.  A file
-is then an ordered list of chunk digests, and equal chunks are stored once, compressed.
+is then an ordered list of chunk digests (``manifests``).
 
-Restoring deals the files into blocks by a hash of their key.  A block asks for each of its
+Storing: digests alone are joined to find each chunk's owner, the least of the files that hold it.
+Compressed files then cross one shuffle to meet the list of what they own, and each writes the chunks
+that it owns, and no others, as one pack in the shared folder (``store``).  So equal chunks are stored
+once, and chunk bytes are shuffled once.
+
+Restoring (``restore``): a file that owns all of its chunks is read back from its pack alone.  The
+others are dealt into blocks of bounded size by a hash of their key.  A block asks for each of its
 different chunks once, however many of its files hold it, so a chunk that most files share is sent
 once to each block and never gathers the files in one place.  Every restored file is compared with
 the digest in its manifest.
@@ -17,6 +23,7 @@ an empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -25,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import materialize, partitions, texts
 
@@ -32,6 +40,8 @@ UNIT = 64
 LEAST, MOST = 1 << 10, 1 << 15
 CUT_BITS = 12
 RATE = 8000
+#: Bytes of files that one block restores, besides its longest file.
+BLOCK_BYTES = 32 << 20
 HEADER = 44
 _GEAR = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -96,74 +106,157 @@ def feature(samples: np.ndarray) -> str:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes of the text, digest of the media, and the digests of its chunks in order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("chunks", pa.list_(pa.binary()))])
+    """doc_id, n_bytes of the text, digest of the media, digests of its chunks in order and their sizes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("chunks", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
-            n, media, lists = [], [], []
+            n, media, lists, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 data = to_wav(payload_of(text))
+                parts = chunks_of(data)
                 n.append(len(text.encode("utf-8", "replace")))
                 media.append(digest(data))
-                lists.append([digest(c) for c in chunks_of(data)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], schema=schema)
+                lists.append([digest(c) for c in parts])
+                sizes.append([len(c) for c in parts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, schema.field(3).type), pa.array(sizes, schema.field(4).type)], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, chunks array<binary>")
+    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, chunks array<binary>, sizes array<int>")
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """digest and compressed bytes of every different chunk."""
-    schema = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
+def _files(docs: DataFrame) -> DataFrame:
+    """media and packed: every different file, compressed.  A task sends what repeats in a batch once."""
+    schema = pa.schema([("media", pa.binary()), ("packed", pa.binary())])
 
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             own: dict[bytes, bytes] = {}
-            for text in batch.column(0).to_pylist():
-                for chunk in chunks_of(to_wav(payload_of(text))):
-                    if (key := digest(chunk)) not in own:
-                        own[key] = pack(chunk)
+            for text in dict.fromkeys(batch.column(0).to_pylist()):
+                data = to_wav(payload_of(text))
+                own[digest(data)] = bz2.compress(data)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], schema=schema)
 
-    found = texts(docs).select("text").mapInArrow(run, "digest binary, data binary")
-    return found.groupBy("digest").agg(F.first("data").alias("data"))
+    found = texts(docs).select("text").mapInArrow(run, "media binary, packed binary")
+    return found.groupBy("media").agg(F.first("packed").alias("packed"))
+
+
+def _owners(listed: DataFrame) -> DataFrame:
+    """media, chunks, sizes, keeps (whether the file's pack holds the chunk: it owns it, and this is its
+    first place) and sends (whether the chunk will be asked for elsewhere), of every different file."""
+    contents = listed.groupBy("media").agg(F.first(F.struct("chunks", "sizes")).alias("c")).select("media", "c.*")
+    each = contents.select("media", F.posexplode("chunks").alias("at", "digest"))
+    # partial aggregation before the shuffle: a chunk in most files is a row a task
+    owner = each.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("first"), F.max("media").alias("last"))
+    held = owner.select(F.col("first.media").alias("media"), F.struct(F.col("first.at").alias("at"), (F.col("last") != F.col("first.media")).alias("shared")).alias("own"))
+    held = held.groupBy("media").agg(F.collect_list("own").alias("own"))  # at most the chunks of a file
+    places = F.transform("own", lambda x: x["at"])
+    shared = F.transform(F.filter("own", lambda x: x["shared"]), lambda x: x["at"])
+    joined = contents.join(held, "media", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<at:int,shared:boolean>>")))
+    keeps = F.transform("chunks", lambda _, i: F.array_contains(places, i))
+    lone = F.size("own") == F.size(F.array_distinct("chunks"))
+    sends = F.transform("chunks", lambda _, i: F.array_contains(places, i) & (~lone | F.array_contains(shared, i)))
+    return joined.select("media", "chunks", "sizes", keeps.alias("keeps"), sends.alias("sends"), lone.alias("whole"))
+
+
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifests, packs), both in the shared folder.
+
+    packs: media, chunks, sizes, keeps, sends and whole (see ``_owners``), and pack: the kept chunks one
+    after the other, compressed; null where a file keeps none.
+    """
+    listed = materialize(manifests(docs))
+    plan = _owners(listed)
+    schema = pa.schema([("media", pa.binary()), ("chunks", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("keeps", pa.list_(pa.bool_())), ("sends", pa.list_(pa.bool_())), ("whole", pa.bool_()), ("pack", pa.binary())])
 
+    def run(batches):
+        for batch in batches:
+            packs = []
+            for sizes, keeps, packed in zip(*(batch.column(i).to_pylist() for i in (2, 3, 6)), strict=True):
+                if not any(keeps):
+                    packs.append(None)
+                elif all(keeps):
+                    packs.append(packed)
+                else:
+                    data, ends = bz2.decompress(packed), np.cumsum(sizes).tolist()
+                    packs.append(bz2.compress(b"".join(data[e - n : e] for e, n, k in zip(ends, sizes, keeps, strict=True) if k)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(packs, pa.binary())], schema=schema)
+
+    fields = "media binary, chunks array<binary>, sizes array<int>, keeps array<boolean>, sends array<boolean>, whole boolean"
+    joined = plan.join(_files(docs), "media").select(*(f.split()[0] for f in fields.split(", ")), "packed")
+    return listed, materialize(joined.mapInArrow(run, fields + ", pack binary"))
+
+
+def _kept_chunks(chunks, sizes, keeps, pack) -> dict[bytes, bytes]:
+    """digest to bytes of what a pack holds."""
+    data, at, out = bz2.decompress(pack) if pack else b"", 0, {}
+    for key, n, keep in zip(chunks, sizes, keeps, strict=True):
+        if keep:
+            out[key] = data[at : at + n]
+            at += n
+    return out
+
+
+def _joined(key: bytes, parts, have: dict[bytes, bytes]) -> bytes:
+    media = b"".join(have[p] for p in parts)
+    if digest(media) != key:
+        raise ValueError("restored bytes differ from the manifest's digest")
+    return media
+
+
+def _sent_chunks(packs: DataFrame) -> DataFrame:
+    """digest and compressed bytes of the chunks that others ask for."""
 
-def restore(listed: DataFrame, store: DataFrame, per_media=None, fields: str = "restored binary") -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            keys, data = [], []
+            for chunks, sizes, keeps, sends, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have = _kept_chunks(chunks, sizes, keeps, pack)
+                for key, send in zip(chunks, sends, strict=True):
+                    if send:
+                        keys.append(key)
+                        data.append(bz2.compress(have[key]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
+
+    return packs.where(F.exists("sends", lambda s: s)).select("chunks", "sizes", "keeps", "sends", "pack").mapInArrow(run, "digest binary, data binary")
+
+
+def restore(listed: DataFrame, packs: DataFrame, per_media=None, fields: str = "restored binary") -> DataFrame:
     """listed (manifests) with the restored media, or with what per_media makes of its bytes.
 
-    Files of the same content go to the same block and are restored once there.
+    Files of the same content are restored once.
     """
     spark = listed.sparkSession
-    blocks = 4 * partitions(spark)
-    # one row for each different content: copies of a file are not restored again
-    contents = listed.groupBy("media").agg(F.first("chunks").alias("chunks")).withColumn("block", F.pmod(F.xxhash64("media"), F.lit(blocks)))
-    contents = materialize(contents)
-    wanted = contents.select("block", F.explode("chunks").alias("digest")).distinct()
-    sent = wanted.join(store, "digest").select(F.col("block").alias("to_block"), "digest", "data")
     make = per_media or (lambda media: (media,))
     names = ["media", *(f.split()[0] for f in fields.split(", "))]
+    kinds = spark.createDataFrame([], f"media binary, {fields}").schema
+    types = to_arrow_schema(kinds)
 
-    def run(files: pa.Table, chunks: pa.Table) -> pa.Table:
-        import zstandard
+    def table(rows):
+        return pa.Table.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema=types)
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        have = dict(zip(chunks.column("digest").to_pylist(), chunks.column("data").to_pylist(), strict=True))
-        columns: list[list] = [[] for _ in names]
-        for key, parts in zip(files.column("media").to_pylist(), files.column("chunks").to_pylist(), strict=True):
-            media = b"".join(unpack(have[p]) for p in parts)
-            if digest(media) != key:
-                raise ValueError("restored bytes differ from the manifest's digest")
-            for c, v in zip(columns, (key, *make(media)), strict=True):
-                c.append(v)
-        return pa.table(dict(zip(names, columns, strict=True)))
+    def alone(batches):
+        for batch in batches:
+            rows = []
+            for key, chunks, sizes, keeps, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((key, *make(_joined(key, chunks, _kept_chunks(chunks, sizes, keeps, pack)))))
+            yield from table(rows).to_batches()
+
+    whole = packs.where("whole").select("media", "chunks", "sizes", "keeps", "pack").mapInArrow(alone, kinds)
+    lacking = packs.where("not whole")
+    total = lacking.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    blocks = max(4 * partitions(spark), -(-total // BLOCK_BYTES))
+    lacking = lacking.select("media", "chunks", F.pmod(F.xxhash64("media"), F.lit(blocks)).alias("block"))
+    wanted = lacking.select("block", F.explode("chunks").alias("digest")).distinct()
+    sent = wanted.join(_sent_chunks(packs), "digest").select(F.col("block").alias("to_block"), "digest", "data")
+
+    def run(files: pa.Table, chunks: pa.Table) -> pa.Table:
+        have = {k: bz2.decompress(v) for k, v in zip(chunks.column("digest").to_pylist(), chunks.column("data").to_pylist(), strict=True)}
+        rows = zip(files.column("media").to_pylist(), files.column("chunks").to_pylist(), strict=True)
+        return table((key, *make(_joined(key, parts, have))) for key, parts in rows)
 
-    restored = contents.groupBy("block").cogroup(sent.groupBy("to_block")).applyInArrow(run, f"media binary, {fields}")
-    restored = materialize(restored)
-    return listed.drop("chunks").join(restored, "media").drop("media")
+    others = lacking.groupBy("block").cogroup(sent.groupBy("to_block")).applyInArrow(run, kinds)
+    return listed.drop("chunks", "sizes").join(whole.unionByName(others), "media").drop("media")
 
 
 def describe(media: bytes) -> tuple:
@@ -181,5 +274,4 @@ DESCRIBED = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, med
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Store every text as media in chunks, restore it from the chunk store, and describe it."""
-    listed = materialize(manifests(docs))
-    return restore(listed, chunk_store(docs), describe, DESCRIBED)
+    return restore(*store(docs), describe, DESCRIBED)
