@@ -6,29 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.points import coordinates
-from ..storage import materialize, numbered
+from ..storage import Growing, materialize, numbered
 
 
 def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int) -> DataFrame:
     """idx and depth of every node: 0 below n0, else one more than its deepest neighbour.
 
-    Each round passes on only the depths that the last one raised.  A graph without cycles needs as
-    many rounds as it is deep; one with a cycle is found out when there are more rounds than nodes.
+    Round r finds the nodes of depth r or more: those with a neighbour of depth r - 1 or more.  They are a
+    part of those of the round before, so only edges between these are looked at again, and an edge is
+    read as often as the node that it leads to is deep.  Each round adds its nodes to a growing table,
+    in which a node's last round is its depth.  If a round finds as many nodes as the last one, the graph
+    has a cycle.
     """
-    slim = materialize(edges.select("idx", "nb").where(F.col("idx") >= n0))
-    depth = materialize(nodes.select(F.col("idx"), F.when(F.col("idx") < n0, 0).otherwise(1).cast("int").alias("depth")))
-    limit = depth.count() + 1
-    raised = depth.where("depth > 0")
-    for _ in range(limit):
-        offered = slim.join(raised.withColumnRenamed("idx", "nb"), "nb").groupBy("idx").agg((F.max("depth") + 1).alias("offered"))
-        step = materialize(
-            depth.join(offered, "idx", "left")
-            .select("idx", F.greatest("depth", F.coalesce("offered", "depth")).alias("depth"), (F.coalesce("offered", F.lit(0)) > F.col("depth")).alias("up"))
-        )
-        depth, raised = step.select("idx", "depth"), step.where("up").select("idx", "depth")
-        if not raised.limit(1).count():
-            return depth
-    raise ValueError("the neighbour graph has a cycle")
+    found = Growing(edges.sparkSession, "idx long", by="depth")
+    found.add(nodes.select("idx", F.when(F.col("idx") < n0, 0).otherwise(1).cast("int").alias("depth")))
+    live = materialize(edges.select("idx", "nb").where((F.col("idx") >= n0) & (F.col("nb") >= n0)))
+    depth, before = 2, None
+    while True:
+        deeper = materialize(live.select("idx").distinct())
+        n = deeper.count()
+        if not n:
+            return found.read().groupBy("idx").agg(F.max("depth").alias("depth"))
+        if n == before:
+            raise ValueError("the neighbour graph has a cycle")
+        found.add(deeper.select("idx", F.lit(depth).alias("depth")))
+        live = materialize(live.join(deeper.withColumnRenamed("idx", "nb"), "nb", "left_semi"))
+        depth, before = depth + 1, n
 
 
 def order_by_depth(points: DataFrame, edges: DataFrame, depths: DataFrame, n0: int) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,3 @@ def refine_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFr
 
     cov_bar = rows.mapInArrow(run, "batch int, bin_id int, part double").groupBy("batch", "bin_id").agg(F.sum("part").alias("cov_bar"))
     return cov_bar, initial_bar, xi_bar
-
-
-

@@ -1,7 +1,7 @@
-"""Whole fields: a dense start of n0 points, then the refinement.
+"""Whole fields: a dense start of n0 points, then the refinement; their inverse and derivatives.
 
-The dense part is a matrix of n0 * n0 covariances, so n0 is limited to MOST_INITIAL; it is the
-parameter of the method that stays fixed as the data grow.
+The dense part is a matrix of n0 * n0 covariances, so n0 is limited to MOST_INITIAL (a matrix of 32 MB);
+it is the parameter of the method that stays fixed as the data grow, and any n0 >= k will do.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariance import Covariance, lookup
+from ..functions.covariance import Covariance, lookup, scatter
 from ..sources.points import coordinates
+from .deriv import refine_jvp, refine_vjp
 from .factor import distances
 from .graph import Graph
 from .refine import refine, refine_inv, refine_logdet
@@ -19,14 +20,36 @@ from .refine import refine, refine_inv, refine_logdet
 MOST_INITIAL = 2000
 
 
-def _dense(graph: Graph, cov: Covariance) -> list[np.ndarray]:
+def _distances(graph: Graph) -> np.ndarray:
     if graph.n0 > MOST_INITIAL:
         raise ValueError(f"n0 = {graph.n0} is above {MOST_INITIAL}, the most for the dense start")
     first = graph.points.where(F.col("idx") < graph.n0).orderBy("idx").select(*coordinates(graph.points)).toPandas().to_numpy()
-    r = distances(first[None])[0]
+    return distances(first[None])[0]
+
+
+def _dense(graph: Graph, cov: Covariance) -> list[np.ndarray]:
+    r = _distances(graph)
     return [np.linalg.cholesky(lookup(np.array(cov.bins), np.array(v), r)) for v in cov.values]
 
 
+def half(a: np.ndarray) -> np.ndarray:
+    """The lower triangle with half of the diagonal."""
+    return np.tril(a) - np.diag(np.diag(a)) / 2
+
+
+def cholesky_jvp(L: np.ndarray, dK: np.ndarray) -> np.ndarray:
+    """The derivative of the Cholesky factor L of K along the symmetric dK."""
+    inner = np.linalg.solve(L, np.linalg.solve(L, dK).T)
+    return L @ half(inner)
+
+
+def cholesky_vjp(L: np.ndarray, L_bar: np.ndarray) -> np.ndarray:
+    """The symmetric cotangent of K from the cotangent of its Cholesky factor (lower triangle)."""
+    inner = np.linalg.solve(L.T, half(L.T @ np.tril(L_bar)))
+    whole = np.linalg.solve(L.T, inner.T).T
+    return (whole + whole.T) / 2
+
+
 def _by_batch(df: DataFrame, name: str, n0: int, n_batches: int) -> np.ndarray:
     rows = df.where(F.col("idx") < n0).select("batch", "idx", name).toPandas()
     out = np.zeros((n_batches, n0))
@@ -59,3 +82,32 @@ def generate_logdet(graph: Graph, cov: Covariance, factors: DataFrame) -> DataFr
     dense = np.array([[np.log(np.diag(L)).sum()] for L in _dense(graph, cov)])
     first = _frame(factors, dense, "dense").select("batch", "dense")
     return refine_logdet(factors).join(F.broadcast(first), "batch").select("batch", (F.col("logdet") + F.col("dense")).alias("logdet"))
+
+
+def generate_jvp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, dcov: Covariance | None, dxi: DataFrame) -> DataFrame:
+    """batch, idx, v: the derivative of ``generate`` at noise xi, which gave values, along dcov (None: the
+    covariance is constant) and dxi (batch, idx, dxi), for all points."""
+    noise, dnoise = (_by_batch(x, c, graph.n0, len(cov.values)) for x, c in ((xi, "xi"), (dxi, "dxi")))
+    r, bins, first = _distances(graph), np.array(cov.bins), []
+    for b, values_ in enumerate(cov.values):
+        L = np.linalg.cholesky(lookup(bins, np.array(values_), r))
+        moved = L @ dnoise[b]
+        if dcov is not None:
+            moved = moved + cholesky_jvp(L, lookup(bins, np.array(dcov.values[b]), r)) @ noise[b]
+        first.append(moved)
+    return refine_jvp(graph, cov, factors, values, xi, dcov, _frame(xi, np.array(first), "v"), dxi)
+
+
+def generate_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, cotangent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(batch, bin_id, cov_bar) and (batch, idx, xi_bar) of all points from a cotangent (batch, idx, vbar)."""
+    cov_bar, initial_bar, xi_bar = refine_vjp(graph, cov, factors, values, xi, cotangent)
+    back, noise = _by_batch(initial_bar, "initial_bar", graph.n0, len(cov.values)), _by_batch(xi, "xi", graph.n0, len(cov.values))
+    r, bins, dense, first = _distances(graph), np.array(cov.bins), [], []
+    for b, values_ in enumerate(cov.values):
+        L = np.linalg.cholesky(lookup(bins, np.array(values_), r))
+        first.append(L.T @ back[b])
+        received = scatter(bins, r, cholesky_vjp(L, np.outer(back[b], noise[b])))
+        dense += [(b, i, float(x)) for i, x in enumerate(received)]
+    added = xi.sparkSession.createDataFrame(dense, "batch int, bin_id int, cov_bar double")  # a row for each bin
+    total = cov_bar.unionByName(added).groupBy("batch", "bin_id").agg(F.sum("cov_bar").alias("cov_bar"))
+    return total, _frame(xi, np.array(first), "xi_bar").unionByName(xi_bar)

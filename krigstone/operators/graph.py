@@ -27,12 +27,14 @@ class Graph:
 
 
 def check_points(points: DataFrame) -> DataFrame:
-    """points with finite coordinates and ids; raises ValueError for others."""
+    """points with finite coordinates and different ids; raises ValueError for others."""
     bad = F.lit(False)
     for c in coordinates(points):
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     if points.where(bad | F.col("point_id").isNull()).limit(1).count():
         raise ValueError("coordinates and ids must be finite and not null")
+    if points.groupBy("point_id").count().where("count > 1").limit(1).count():
+        raise ValueError("point_id must differ from point to point")
     return points
 
 

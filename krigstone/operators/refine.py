@@ -1,8 +1,12 @@
 """White noise to correlated values along the graph, back, and the linear maps between them.
 
-Values are tables (batch, idx, <value>).  Levels of equal depth depend only on lower ones, so the
-forward map takes one join and one aggregation for each level, over that level's rows only; the
-transpose goes down the levels.  The inverse and the log-determinant need no levels.
+Values are tables (batch, idx, <value>).  Levels of equal depth depend only on lower ones.  Edges are
+laid out by the depth at which their values become known: once a level's values are, they flow along
+the edges that start there to the points above (or, in the transpose, below), where they are added up.
+So each edge is read once, in one join and one aggregation a level, and each value twice.  The inverse
+and the log-determinant need no levels.
+
+``shared`` means that the factors of one covariance, batch 0, serve all batches of the values.
 """
 
 from __future__ import annotations
@@ -19,58 +23,72 @@ def _levels(factors: DataFrame) -> list[int]:
     return [r["depth"] for r in factors.select("depth").distinct().orderBy("depth").collect()]
 
 
-def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame) -> DataFrame:
+def keys(shared: bool) -> list[str]:
+    """What a factor and a value of the same point agree in."""
+    return ["idx"] if shared else ["batch", "idx"]
+
+
+def _of(factors: DataFrame, shared: bool) -> DataFrame:
+    return factors.where("batch = 0").drop("batch") if shared else factors
+
+
+def _edges(factors: DataFrame, by: str, shared: bool) -> DataFrame:
+    found = spread(factors).select("batch", "idx", "depth", "nb", "nb_depth", "w")
+    return materialize(_of(found, shared), by=by)
+
+
+def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame, shared: bool = False) -> DataFrame:
     """batch, idx, v with v = initial, and above it v_i = sum_j w_ij v_nb(j) + source_i."""
-    levels = _levels(factors)
-    edges = materialize(spread(factors).select("batch", "idx", "depth", "nb", "w"), by="depth")
-    sources = materialize(factors.select("batch", "idx", "depth").join(source, ["batch", "idx"], "left").select("batch", "idx", "depth", F.coalesce("source", F.lit(0.0)).alias("source")), by="depth")
-    done = Growing(factors.sparkSession, "batch int, idx long, v double", by="depth")
-    done.add(initial.select("batch", "idx", "v", F.lit(0).alias("depth")))
-    for level in levels:
-        known = done.read().where(F.col("depth") < level).select("batch", F.col("idx").alias("nb"), "v")
-        mean = edges.where(F.col("depth") == level).join(known, ["batch", "nb"]).groupBy("batch", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("mean"))
-        own = sources.where(F.col("depth") == level)
-        done.add(own.join(mean, ["batch", "idx"]).select("batch", "idx", (F.col("mean") + F.col("source")).alias("v"), "depth"))
-    return done.read().select("batch", "idx", "v")
-
-
-def solve_backward(factors: DataFrame, cotangent: DataFrame) -> DataFrame:
+    edges = _edges(factors, "nb_depth", shared)
+    own = source.join(_of(factors, shared).select(*keys(shared), "depth"), keys(shared))
+    # what each point receives, laid out by its depth: its source, then the flows from below
+    received = Growing(factors.sparkSession, "batch int, idx long, v double", by="depth")
+    received.add(own.select("batch", "idx", F.col("source").alias("v"), "depth").unionByName(initial.select("batch", "idx", "v", F.lit(0).alias("depth"))))
+    for level in [0, *_levels(factors)[:-1]]:
+        known = received.read().where(F.col("depth") == level).groupBy("batch", "idx").agg(F.sum("v").alias("v")).withColumnRenamed("idx", "nb")
+        sent = edges.where(F.col("nb_depth") == level).join(known, [*keys(shared)[:-1], "nb"])
+        received.add(sent.groupBy("batch", "idx", "depth").agg(F.sum(F.col("w") * F.col("v")).alias("v")).select("batch", "idx", "v", "depth"))
+    return received.read().groupBy("batch", "idx").agg(F.sum("v").alias("v"))
+
+
+def solve_backward(factors: DataFrame, cotangent: DataFrame, shared: bool = False) -> DataFrame:
     """batch, idx, vbar: cotangent (batch, idx, vbar) plus what flows back from later points."""
-    levels = _levels(factors)
-    edges = materialize(spread(factors).select("batch", "idx", "depth", "nb", "nb_depth", "w"), by="depth")
-    own = cotangent.join(factors.select("batch", "idx", "depth"), ["batch", "idx"], "left")
+    edges = _edges(factors, "depth", shared)
+    own = cotangent.join(_of(factors, shared).select(*keys(shared), "depth"), keys(shared), "left")
     # what each point receives, laid out by its depth: its cotangent, then the flows from above
     received = Growing(factors.sparkSession, "batch int, idx long, vbar double", by="depth")
     received.add(own.select("batch", "idx", "vbar", F.coalesce("depth", F.lit(0)).alias("depth")))
-    for level in reversed(levels):
+    for level in reversed(_levels(factors)):
         total = received.read().where(F.col("depth") == level).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
-        sent = edges.where(F.col("depth") == level).join(total, ["batch", "idx"])
+        sent = edges.where(F.col("depth") == level).join(total, keys(shared))
         flow = sent.groupBy("batch", "nb", "nb_depth").agg(F.sum(F.col("w") * F.col("vbar")).alias("vbar"))
         received.add(flow.select("batch", F.col("nb").alias("idx"), "vbar", F.col("nb_depth").alias("depth")))
     return received.read().groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
 
 
-def refine(factors: DataFrame, initial: DataFrame, xi: DataFrame) -> DataFrame:
+def refine(factors: DataFrame, initial: DataFrame, xi: DataFrame, shared: bool = False) -> DataFrame:
     """batch, idx, v from initial (batch, idx, v) and noise xi (batch, idx, xi)."""
-    source = factors.select("batch", "idx", "s").join(xi, ["batch", "idx"]).select("batch", "idx", (F.col("s") * F.col("xi")).alias("source"))
-    return solve_forward(factors, source, initial)
+    source = _of(factors, shared).select(*keys(shared), "s").join(xi, keys(shared)).select("batch", "idx", (F.col("s") * F.col("xi")).alias("source"))
+    return solve_forward(factors, source, initial, shared)
 
 
-def refine_transpose(factors: DataFrame, cotangent: DataFrame) -> tuple[DataFrame, DataFrame]:
+def refine_transpose(factors: DataFrame, cotangent: DataFrame, shared: bool = False) -> tuple[DataFrame, DataFrame]:
     """(batch, idx, initial_bar) and (batch, idx, xi_bar) from a cotangent (batch, idx, vbar)."""
-    vbar = solve_backward(factors, cotangent)
-    own = factors.select("batch", "idx", "s")
-    xi_bar = own.join(vbar, ["batch", "idx"], "left").select("batch", "idx", (F.col("s") * F.coalesce("vbar", F.lit(0.0))).alias("xi_bar"))
-    return vbar.join(own, ["batch", "idx"], "left_anti").select("batch", "idx", F.col("vbar").alias("initial_bar")), xi_bar
+    vbar = materialize(solve_backward(factors, cotangent, shared))
+    own = _of(factors, shared).select(*keys(shared), "s")
+    # with shared factors, points that neither a cotangent nor a flow reaches are left out (zeros)
+    reached = own.join(vbar, keys(shared), "inner" if shared else "left")
+    xi_bar = reached.select("batch", "idx", (F.col("s") * F.coalesce("vbar", F.lit(0.0))).alias("xi_bar"))
+    return vbar.join(own, keys(shared), "left_anti").select("batch", "idx", F.col("vbar").alias("initial_bar")), xi_bar
 
 
-def refine_inv(factors: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+def refine_inv(factors: DataFrame, values: DataFrame, shared: bool = False) -> tuple[DataFrame, DataFrame]:
     """(batch, idx, v) below n0 and (batch, idx, xi) from values (batch, idx, v): one join, no levels."""
     known = values.select("batch", F.col("idx").alias("nb"), "v")
-    mean = spread(factors).join(known, ["batch", "nb"]).groupBy("batch", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("mean"))
-    own = factors.select("batch", "idx", "s")
-    xi = own.join(mean, ["batch", "idx"]).join(values, ["batch", "idx"]).select("batch", "idx", ((F.col("v") - F.col("mean")) / F.col("s")).alias("xi"))
-    return values.join(own, ["batch", "idx"], "left_anti").select("batch", "idx", "v"), xi
+    mean = _of(spread(factors), shared).join(known, [*keys(shared)[:-1], "nb"]).groupBy("batch", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("mean"))
+    own = _of(factors, shared).select(*keys(shared), "s")
+    xi = mean.join(own, keys(shared)).join(values, ["batch", "idx"]).select("batch", "idx", ((F.col("v") - F.col("mean")) / F.col("s")).alias("xi"))
+    return values.join(own, keys(shared), "left_anti").select("batch", "idx", "v"), xi
 
 
 def refine_logdet(factors: DataFrame) -> DataFrame:

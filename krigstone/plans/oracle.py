@@ -1,13 +1,14 @@
 """SQL for another engine that derives the same results from the same tables, step by step.
 
 Each function gives the text of common table expressions; ``query`` puts a chain of them together.
-The forms are unrolled for three dimensions and two or four neighbours.
+The forms are unrolled for three dimensions, two or four neighbours and, for whole fields, a start of
+three points.  Trees and graphs that are deeper than the unrolling raise an error.
 """
 
 from __future__ import annotations
 
 LEVELS = 13  # of the tree: up to 8191 points
-DEPTHS = 24  # of the graph
+DEPTHS = 40  # of the graph
 
 
 def query(*parts: str, select: str) -> str:
@@ -33,7 +34,8 @@ def tree() -> str:
                 FROM k{level} WHERE rk <> n // 2)""",
         ]
     placed = " UNION ALL ".join(f"SELECT tag AS node, point_id, x0, x1, x2, split_dim FROM k{level} WHERE rk = n // 2" for level in range(LEVELS))
-    return ",\n".join([*out, f"t AS MATERIALIZED ({placed})"])
+    whole = f"(SELECT count(*) FROM s{LEVELS}) = 0 OR error('more than {LEVELS} levels')"
+    return ",\n".join([*out, f"t AS MATERIALIZED (SELECT * FROM ({placed}) WHERE {whole})"])
 
 
 D2 = "(a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)"
@@ -90,13 +92,16 @@ def noise(idx: str, shift: int = 0) -> str:
     return f"(({idx} * 7919 + {13 + shift}) % 2003) / 1001.0::DOUBLE - 1.0::DOUBLE"
 
 
+_SHALLOW = f"(SELECT max(depth) FROM gp) <= {DEPTHS} OR error('deeper than {DEPTHS}')"
+
+
 def forward(initial: str, source: str, name: str = "u") -> str:
     """{name}: idx, v; source: an expression over f joined as f."""
     out = [f"{name}0 AS MATERIALIZED (SELECT idx, ({initial})::DOUBLE AS v FROM gp WHERE depth = 0)"]
     for level in range(1, DEPTHS + 1):
         out.append(f"""{name}{level} AS MATERIALIZED (SELECT * FROM {name}{level - 1} UNION ALL
           SELECT f.idx, w0 * a.v + w1 * b.v + ({source}) AS v FROM f JOIN {name}{level - 1} a ON a.idx = f.n0 JOIN {name}{level - 1} b ON b.idx = f.n1 WHERE f.depth = {level})""")
-    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}{DEPTHS})"])
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}{DEPTHS} WHERE {_SHALLOW})"])
 
 
 def backward(cotangent: str, name: str = "z") -> str:
@@ -112,7 +117,35 @@ def backward(cotangent: str, name: str = "z") -> str:
         ]
     parts = " UNION ALL ".join(f"SELECT * FROM {name}{level}" for level in range(1, DEPTHS + 1))
     first = f"SELECT g.idx, ({cotangent}) + coalesce((SELECT sum(vbar) FROM {name}f1 y WHERE y.idx = g.idx), 0) AS vbar FROM gp g WHERE g.depth = 0"
-    return ",\n".join([*out, f"{name} AS MATERIALIZED ({first} UNION ALL {parts})"])
+    return ",\n".join([*out, f"{name} AS MATERIALIZED (SELECT * FROM ({first} UNION ALL {parts}) WHERE {_SHALLOW})"])
+
+
+def start(cov, dcov=None) -> str:
+    """dn: one row with the covariances of the first three points (kk, c01, c02, c12), their Cholesky factor
+    l00 .. l22, and the factor's derivative dl00 .. dl22 along dcov, entry by entry."""
+    at = lambda a, b: f"sqrt(({a}.x0 - {b}.x0) * ({a}.x0 - {b}.x0) + ({a}.x1 - {b}.x1) * ({a}.x1 - {b}.x1) + ({a}.x2 - {b}.x2) * ({a}.x2 - {b}.x2))"
+    table = lambda v, p: f"{v[0]!r} AS {p}kk, {lookup(cov.bins, v, 'q01')} AS {p}c01, {lookup(cov.bins, v, 'q02')} AS {p}c02, {lookup(cov.bins, v, 'q12')} AS {p}c12"
+    v = cov.values[0]
+    out = f"""dn0 AS MATERIALIZED (SELECT {at('a', 'b')} AS q01, {at('a', 'c')} AS q02, {at('b', 'c')} AS q12 FROM gp a, gp b, gp c WHERE a.idx = 0 AND b.idx = 1 AND c.idx = 2),
+    dn1 AS MATERIALIZED (SELECT *, {table(v, '')}{', ' + table(dcov.values[0], 'd') if dcov else ''} FROM dn0),
+    dn2 AS (SELECT *, sqrt(kk) AS l00, c01 / sqrt(kk) AS l10, c02 / sqrt(kk) AS l20 FROM dn1),
+    dn3 AS (SELECT *, sqrt(kk - l10 * l10) AS l11 FROM dn2),
+    dn4 AS (SELECT *, (c12 - l20 * l10) / l11 AS l21 FROM dn3),
+    dn5 AS MATERIALIZED (SELECT *, sqrt(kk - l20 * l20 - l21 * l21) AS l22 FROM dn4)"""
+    if dcov is None:
+        return out + ",\ndn AS MATERIALIZED (SELECT * FROM dn5)"
+    return out + """,
+    dn6 AS (SELECT *, dkk / (2 * l00) AS dl00 FROM dn5),
+    dn7 AS (SELECT *, (dc01 - l10 * dl00) / l00 AS dl10, (dc02 - l20 * dl00) / l00 AS dl20 FROM dn6),
+    dn8 AS (SELECT *, (dkk - 2 * l10 * dl10) / (2 * l11) AS dl11 FROM dn7),
+    dn9 AS (SELECT *, (dc12 - dl20 * l10 - l20 * dl10 - l21 * dl11) / l11 AS dl21 FROM dn8),
+    dn AS MATERIALIZED (SELECT *, (dkk - 2 * l20 * dl20 - 2 * l21 * dl21) / (2 * l22) AS dl22 FROM dn9)"""
+
+
+def times(p: str, x: list[str]) -> str:
+    """The product of the factor (p: l) or its derivative (p: dl) with three numbers, by gp.idx."""
+    rows = [" + ".join(f"{p}{i}{j} * ({x[j]})" for j in range(i + 1)) for i in range(3)]
+    return "(SELECT CASE gp.idx " + " ".join(f"WHEN {i} THEN {row}" for i, row in enumerate(rows)) + " END FROM dn)"
 
 
 def rounded(x: str, digits: int = 6) -> str:

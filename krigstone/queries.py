@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.covariance import Covariance, lookup, lookup_column, scatter_rows
+from .functions.covariance import Covariance, lookup, lookup_column, matern, scatter_rows
 from .functions.geometry import left_child, level_of, parent, right_child, square_distance
 from .operators.deriv import refine_jvp, refine_vjp
 from .operators.factor import blocks, distances, factorize, local_sets
-from .operators.generate import generate, generate_inv, generate_logdet
+from .operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp
 from .operators.graph import Graph, build_graph
 from .operators.neighbors import query_neighbors, query_preceding_neighbors
 from .operators.refine import refine, refine_inv, refine_logdet, refine_transpose
@@ -28,6 +28,8 @@ from .sources.points import embedding_points
 from .storage import materialize
 
 N0, K = 50, 2
+#: The start of whole fields, small enough to be written out in SQL.
+START = 3
 BINS = tuple(i / 20 for i in range(41))
 COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-5 * (r == 0) for r in BINS),))
 BOTH = Covariance(BINS, (COV.values[0], tuple(round(2 * math.exp(-r / 0.5), 9) + 1e-5 * (r == 0) for r in BINS)))
@@ -37,23 +39,28 @@ _kept: dict[tuple, object] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
-    """What several queries of a session share: tables in the shared folder."""
+    """What several queries of a session share: tables in the shared folder.  See ``forget``."""
     key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, what)
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
 
 
+def forget() -> None:
+    """Later queries build everything anew, as after a change of the tables."""
+    _kept.clear()
+
+
 def _tree(spark, sf_dir) -> DataFrame:
     return _once(spark, sf_dir, "tree", lambda: build_tree(embedding_points(spark, sf_dir)))
 
 
-def _graph(spark, sf_dir, k=K) -> Graph:
-    return _once(spark, sf_dir, f"graph{k}", lambda: build_graph(embedding_points(spark, sf_dir), N0, k))
+def _graph(spark, sf_dir, k=K, n0=N0) -> Graph:
+    return _once(spark, sf_dir, f"graph{k}-{n0}", lambda: build_graph(embedding_points(spark, sf_dir), n0, k))
 
 
-def _factors(spark, sf_dir, cov=COV, name="one") -> DataFrame:
-    return _once(spark, sf_dir, f"factors-{name}", lambda: factorize(_graph(spark, sf_dir), cov))
+def _factors(spark, sf_dir, cov=COV, name="one", n0=N0) -> DataFrame:
+    return _once(spark, sf_dir, f"factors-{name}-{n0}", lambda: factorize(_graph(spark, sf_dir, n0=n0), cov))
 
 
 def _noise(shift: int = 0) -> Column:
@@ -102,6 +109,15 @@ def knn_bounded(spark, sf_dir):
     return found.select("query", F.col("slot").cast("int").alias("slot"), "nb", _rounded("d2", 9).alias("d2"))
 
 
+def knn_padded(spark, sf_dir):
+    """Fewer candidates than neighbours asked for: node 0 fills up, at no distance (-1)."""
+    tree = _tree(spark, sf_dir)
+    asked = tree.select(F.col("node").alias("query"), (1 + F.col("node") % 5).cast("long").alias("bound"))
+    found = query_neighbors(tree, asked, 3, pad=True)
+    d2 = F.when(F.col("d2") == float("inf"), -1.0).otherwise(F.col("d2"))
+    return found.select("query", F.col("slot").cast("int").alias("slot"), "nb", _rounded(d2, 9).alias("d2"))
+
+
 def depths(spark, sf_dir):
     return _graph(spark, sf_dir, 4).points.select("point_id", F.col("depth").cast("int").alias("depth"))
 
@@ -190,6 +206,19 @@ def cholesky(spark, sf_dir):
     return _per_point(spark, sf_dir, ("l00", "l10", "l11", "l20", "l21", "l22"), lower)
 
 
+def apply_cholesky(spark, sf_dir):
+    """L (1, -1, 1/2)."""
+    def product(K_):
+        z = np.linalg.cholesky(K_) @ np.array([1.0, -1.0, 0.5])
+        return [z[:, 0], z[:, 1], z[:, 2]]
+
+    return _per_point(spark, sf_dir, ("z0", "z1", "z2"), product)
+
+
+def matern_table(spark, sf_dir):
+    return matern(1, 2.0, 0.5, 1e-3, 10.0, 40).table(spark).select("bin_id", _rounded("r", 9).alias("r"), _rounded("val", 9).alias("val"))
+
+
 def solve_forward(spark, sf_dir):
     """L y = k_f on the neighbours."""
     def solve(K_):
@@ -259,27 +288,73 @@ def refine_cotangent(spark, sf_dir):
     return cov_bar.select(F.col("bin_id").cast("int").alias("bin_id"), _rounded("cov_bar", 5).alias("cov_bar"))
 
 
-def field_generate(spark, sf_dir):
+def refine_tangent_linear(spark, sf_dir):
+    """Along initial values and noise only."""
     graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
-    return generate(graph, COV, factors, _over(graph, "xi", _noise())).select("idx", "v")
+    _, xi = _initial_and_noise(graph)
+    first = F.col("idx") < N0
+    moved = refine_jvp(graph, COV, factors, _values(spark, sf_dir), xi, None, _over(graph, "v", _noise(7)).where(first), _over(graph, "dxi", _noise(9)).where(~first))
+    return moved.select("idx", _rounded("v").alias("dv"))
 
 
-def field_invert(spark, sf_dir):
+def refine_cotangent_bars(spark, sf_dir):
+    """What initial values and noise receive."""
     graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
-    return generate_inv(graph, COV, factors, _over(graph, "v", _noise(3))).select("idx", "xi")
+    _, first, later = refine_vjp(graph, COV, factors, _values(spark, sf_dir), _initial_and_noise(graph)[1], _over(graph, "vbar", _noise(5)))
+    return first.select("idx", F.col("initial_bar").alias("bar")).unionByName(later.select("idx", F.col("xi_bar").alias("bar"))).select("idx", _rounded("bar").alias("bar"))
 
 
-def field_log_determinant(spark, sf_dir):
+def shared_refine(spark, sf_dir):
+    """Two noises under one covariance, whose factors are kept once."""
     graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
-    return generate_logdet(graph, COV, factors).select("logdet")
+    noise, first = ((F.col("idx") * 7919 + (13 + 11 * F.col("batch"))) % 2003) / 1001.0 - 1.0, F.col("idx") < N0
+    values = refine(factors, _over(graph, "v", noise, 2).where(first), _over(graph, "xi", noise, 2).where(~first), shared=True)
+    return values.select("batch", "idx", _rounded("v").alias("v"))
+
+
+def _field(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir, n0=START), _factors(spark, sf_dir, n0=START)
+    xi = _over(graph, "xi", _noise())
+    return graph, factors, xi, _once(spark, sf_dir, "field", lambda: materialize(generate(graph, COV, factors, xi)))
+
+
+def field_generate(spark, sf_dir):
+    return _field(spark, sf_dir)[3].select("idx", _rounded("v").alias("v"))
+
+
+def field_invert(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir, n0=START), _factors(spark, sf_dir, n0=START)
+    return generate_inv(graph, COV, factors, _over(graph, "v", _noise(3))).select("idx", _rounded("xi").alias("xi"))
+
+
+def field_log_determinant(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir, n0=START), _factors(spark, sf_dir, n0=START)
+    return generate_logdet(graph, COV, factors).select(_rounded("logdet").alias("logdet"))
+
+
+def field_tangent(spark, sf_dir):
+    graph, factors, xi, values = _field(spark, sf_dir)
+    return generate_jvp(graph, COV, factors, values, xi, DCOV, _over(graph, "dxi", _noise(9))).select("idx", _rounded("v", 5).alias("dv"))
+
+
+def field_cotangent(spark, sf_dir):
+    graph, factors, xi, values = _field(spark, sf_dir)
+    cov_bar, _ = generate_vjp(graph, COV, factors, values, xi, _over(graph, "vbar", _noise(5)))
+    return cov_bar.select(F.col("bin_id").cast("int").alias("bin_id"), _rounded("cov_bar", 4).alias("cov_bar"))
+
+
+def field_cotangent_noise(spark, sf_dir):
+    graph, factors, xi, values = _field(spark, sf_dir)
+    _, xi_bar = generate_vjp(graph, COV, factors, values, xi, _over(graph, "vbar", _noise(5)))
+    return xi_bar.select("idx", _rounded("xi_bar").alias("xi_bar"))
 
 
 def queries() -> dict:
     found = (
-        tree_build, tree_split_dims, tree_navigation, knn_preceding, knn_bounded, depths, order_by_depth, build_graph_edges, offsets,
-        parent_distance, cov_lookup, cov_lookup_vjp, cov_matrix, cholesky, solve_forward, solve_backward, factor_weights,
-        refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_cotangent,
-        field_generate, field_invert, field_log_determinant,
+        tree_build, tree_split_dims, tree_navigation, knn_preceding, knn_bounded, knn_padded, depths, order_by_depth, build_graph_edges, offsets,
+        parent_distance, cov_lookup, cov_lookup_vjp, matern_table, cov_matrix, cholesky, apply_cholesky, solve_forward, solve_backward, factor_weights,
+        refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_tangent_linear, refine_cotangent,
+        refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
 
@@ -295,16 +370,34 @@ def oracle_sql() -> dict[str, str]:
     low = "sqrt(kk)"
     chol = f"SELECT *, {low} AS l00, b / {low} AS l10, sqrt(kk - (b / {low}) * (b / {low})) AS l11 FROM f"
     refined = sql.forward(sql.noise("idx"), f"s * ({sql.noise('f.idx')})")
+
+    def cotangent(parts: tuple, more: str, digits: int) -> str:
+        """What the bins receive through the conditional weights, and more (distance, cotangent)."""
+        return sql.query(
+            *parts,
+            f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx')}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
+                FROM f JOIN z USING (idx) JOIN u a ON a.idx = f.n0 JOIN u c ON c.idx = f.n1)""",
+            f"""parts AS (SELECT 0.0::DOUBLE AS r, -y0 * w0 + sg / 2 * w0 * w0 - y1 * w1 + sg / 2 * w1 * w1 + sg / 2 AS bar FROM y
+                UNION ALL SELECT r01, -y0 * w1 - y1 * w0 + sg * w0 * w1 FROM y UNION ALL SELECT r0, y0 - sg * w0 FROM y UNION ALL SELECT r1, y1 - sg * w1 FROM y {more})""",
+            f"placed AS (SELECT *, {j} AS j FROM parts)",
+            f"tt AS (SELECT *, CASE WHEN j = 0 OR j = {len(BINS)} THEN 0 ELSE (r - (j - 1) / 20.0::DOUBLE) * 20 END AS t FROM placed)",
+            select=f"""SELECT b.bin_id::INTEGER AS bin_id, {r('coalesce(sum(val), 0)', digits)} AS cov_bar FROM (SELECT unnest(range({len(BINS)})) AS bin_id) b LEFT JOIN
+                (SELECT greatest(j - 1, 0) AS bin_id, bar * (1 - t) AS val FROM tt UNION ALL SELECT least(j, {len(BINS) - 1}), bar * t FROM tt) x ON x.bin_id = b.bin_id GROUP BY b.bin_id""")
+
     out = {
         "tree_build": sql.query(*base, select="SELECT node, point_id FROM t"),
         "tree_split_dims": sql.query(*base, select="SELECT node, split_dim FROM t"),
-        "tree_navigation": sql.query(*base, select="""SELECT node, l::INTEGER AS level, node + (1::BIGINT << l) AS "left", node + 2 * (1::BIGINT << l) AS "right",
-            CASE WHEN l > 0 THEN CASE WHEN node - ((1::BIGINT << l) - 1) < (1::BIGINT << (l - 1)) THEN node - (1::BIGINT << (l - 1)) ELSE node - (1::BIGINT << l) END ELSE -1 END AS parent
-            FROM (SELECT node, length(bin(node + 1))::INTEGER - 1 AS l FROM t)"""),
+        "tree_navigation": sql.query(*base, select="""SELECT c.node, c.l AS level, c.node + (1::BIGINT << c.l) AS "left", c.node + 2 * (1::BIGINT << c.l) AS "right", coalesce(p.node, -1) AS parent
+            FROM (SELECT node, length(bin(node + 1))::INTEGER - 1 AS l FROM t) c LEFT JOIN
+            (SELECT node, unnest([node + (1::BIGINT << l), node + 2 * (1::BIGINT << l)]) AS child FROM (SELECT node, length(bin(node + 1))::INTEGER - 1 AS l FROM t)) p ON p.child = c.node"""),
         "knn_preceding": sql.query(*base, sql.neighbors(4, N0), select=f"SELECT idx, slot::INTEGER AS slot, nb, {r('d2', 9)} AS d2 FROM e0"),
         "knn_bounded": sql.query(*base, select=f"""SELECT query, slot::INTEGER AS slot, nb, {r('d2', 9)} AS d2 FROM (
             SELECT a.node AS query, row_number() OVER (PARTITION BY a.node ORDER BY {d2}, b.node) - 1 AS slot, b.node AS nb, {d2} AS d2
             FROM t a JOIN t b ON b.node < floor(a.node * 3 / 4.0) + 8) WHERE slot < 3"""),
+        "knn_padded": sql.query(*base, select=f"""SELECT a.node AS query, slots.slot::INTEGER AS slot, coalesce(e.nb, 0)::BIGINT AS nb, {r('coalesce(e.d2, -1)', 9)} AS d2 FROM t a
+            CROSS JOIN (SELECT unnest([0, 1, 2]) AS slot) slots LEFT JOIN (
+              SELECT a.node, row_number() OVER (PARTITION BY a.node ORDER BY {d2}, b.node) - 1 AS slot, b.node AS nb, {d2} AS d2
+              FROM t a JOIN t b ON b.node < 1 + a.node % 5) e ON e.node = a.node AND e.slot = slots.slot"""),
         "depths": sql.query(*four, select="SELECT point_id, depth FROM gp"),
         "order_by_depth": sql.query(*four, select="SELECT idx, point_id, depth FROM gp"),
         "build_graph_edges": sql.query(*four, select="SELECT idx, slot::INTEGER AS slot, nb FROM ge"),
@@ -321,6 +414,9 @@ def oracle_sql() -> dict[str, str]:
         "cov_matrix": sql.query(*fact, select=f"SELECT idx, {r('kk')} AS k00, {r('b')} AS k10, {r('kk')} AS k11, {r('f0')} AS k20, {r('f1')} AS k21, {r('kk')} AS k22 FROM f"),
         "cholesky": sql.query(*fact, select=f"""SELECT idx, {r('l00')} AS l00, {r('l10')} AS l10, {r('l11')} AS l11, {r('f0 / l00')} AS l20,
             {r('(f1 - l10 * f0 / l00) / l11')} AS l21, {r('s')} AS l22 FROM ({chol})"""),
+        "apply_cholesky": sql.query(*fact, select=f"""SELECT idx, {r('l00')} AS z0, {r('l10 - l11')} AS z1, {r('f0 / l00 - (f1 - l10 * f0 / l00) / l11 + s / 2')} AS z2 FROM ({chol})"""),
+        "matern_table": f"""SELECT i::INTEGER AS bin_id, {r('r', 9)} AS r, {r('CASE WHEN i = 0 THEN 2 * (1 + 1e-5) ELSE 2 * (1 + sqrt(3.0::DOUBLE) * r / 0.5) * exp(-sqrt(3.0::DOUBLE) * r / 0.5) END', 9)} AS val
+            FROM (SELECT i, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1e-3::DOUBLE * pow(1e4::DOUBLE, (i - 1) / 38.0::DOUBLE) END AS r FROM (SELECT unnest(range(40)) AS i))""",
         "solve_forward": sql.query(*fact, select=f"SELECT idx, {r('f0 / l00')} AS y0, {r('(f1 - l10 * f0 / l00) / l11')} AS y1 FROM ({chol})"),
         "solve_backward": sql.query(*fact, select=f"SELECT idx, {r('(f0 - l10 * f1 / l11) / l00')} AS z0, {r('f1 / l11')} AS z1 FROM ({chol})"),
         "factor_weights": sql.query(*fact, select=f"SELECT idx, {r('w0')} AS w0, {r('w1')} AS w1, {r('s')} AS s FROM f"),
@@ -332,16 +428,42 @@ def oracle_sql() -> dict[str, str]:
             *two, sql.factors(COV, DCOV), refined,
             "src AS MATERIALIZED (SELECT df.idx, dw0 * a.v + dw1 * b.v + ds * (" + sql.noise("df.idx") + ") + s * (" + sql.noise("df.idx", 9) + ") AS q FROM df JOIN u a ON a.idx = df.n0 JOIN u b ON b.idx = df.n1)",
             sql.forward(sql.noise("idx", 7), "(SELECT q FROM src WHERE src.idx = f.idx)", "j"), select=f"SELECT idx, {r('v')} AS dv FROM j"),
-        "refine_cotangent": sql.query(
-            *fact, refined, sql.backward(sql.noise("g.idx", 5)),
-            f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx')}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
-                FROM f JOIN z USING (idx) JOIN u a ON a.idx = f.n0 JOIN u c ON c.idx = f.n1)""",
-            """parts AS (SELECT 0.0::DOUBLE AS r, -y0 * w0 + sg / 2 * w0 * w0 - y1 * w1 + sg / 2 * w1 * w1 + sg / 2 AS bar FROM y
-                UNION ALL SELECT r01, -y0 * w1 - y1 * w0 + sg * w0 * w1 FROM y UNION ALL SELECT r0, y0 - sg * w0 FROM y UNION ALL SELECT r1, y1 - sg * w1 FROM y)""",
-            f"placed AS (SELECT *, {j} AS j FROM parts)",
-            f"tt AS (SELECT *, CASE WHEN j = 0 OR j = {len(BINS)} THEN 0 ELSE (r - (j - 1) / 20.0::DOUBLE) * 20 END AS t FROM placed)",
-            select=f"""SELECT b.bin_id::INTEGER AS bin_id, {r('coalesce(sum(val), 0)', 5)} AS cov_bar FROM (SELECT unnest(range({len(BINS)})) AS bin_id) b LEFT JOIN
-                (SELECT greatest(j - 1, 0) AS bin_id, bar * (1 - t) AS val FROM tt UNION ALL SELECT least(j, {len(BINS) - 1}), bar * t FROM tt) x ON x.bin_id = b.bin_id GROUP BY b.bin_id"""),
+        "refine_cotangent": cotangent((*fact, refined, sql.backward(sql.noise("g.idx", 5))), "", 5),
     }
+    out["refine_tangent_linear"] = sql.query(*fact, sql.forward(sql.noise("idx", 7), f"s * ({sql.noise('f.idx', 9)})"), select=f"SELECT idx, {r('v')} AS dv FROM u")
+    out["refine_cotangent_bars"] = out["refine_transpose_bars"]
+    again = sql.forward(sql.noise("idx", 11), f"s * ({sql.noise('f.idx', 11)})", "m")
+    out["shared_refine"] = sql.query(*fact, refined, again, select=f"SELECT 0 AS batch, idx, {r('v')} AS v FROM u UNION ALL SELECT 1, idx, {r('v')} FROM m")
+    # whole fields
+    three = (*base, sql.graph(K, START))
+    whole = (*three, sql.factors(COV), sql.start(COV))
+    x, dx = ([sql.noise(str(i), shift) for i in range(3)] for shift in (0, 9))
+    made = sql.forward(sql.times("l", x), f"s * ({sql.noise('f.idx')})")
+    out["field_generate"] = sql.query(*whole, made, select=f"SELECT idx, {r('v')} AS v FROM u")
+    v = [sql.noise(str(i), 3) for i in range(3)]
+    x0 = f"(({v[0]}) / l00)"
+    x1 = f"((({v[1]}) - l10 * {x0}) / l11)"
+    x2 = f"((({v[2]}) - l20 * {x0} - l21 * {x1}) / l22)"
+    later = "((" + sql.noise("idx", 3) + ") - w0 * (" + sql.noise("f.n0", 3) + ") - w1 * (" + sql.noise("f.n1", 3) + ")) / s"
+    out["field_invert"] = sql.query(*whole, select=f"SELECT idx, {r(later)} AS xi FROM f UNION ALL SELECT 0, {r(x0)} FROM dn UNION ALL SELECT 1, {r(x1)} FROM dn UNION ALL SELECT 2, {r(x2)} FROM dn")
+    out["field_log_determinant"] = sql.query(*whole, select=f"SELECT {r('sum(ln(s)) + (SELECT ln(l00) + ln(l11) + ln(l22) FROM dn)')} AS logdet FROM f")
+    out["field_tangent"] = sql.query(
+        *three, sql.factors(COV, DCOV), sql.start(COV, DCOV), made,
+        "src AS MATERIALIZED (SELECT df.idx, dw0 * a.v + dw1 * b.v + ds * (" + sql.noise("df.idx") + ") + s * (" + sql.noise("df.idx", 9) + ") AS q FROM df JOIN u a ON a.idx = df.n0 JOIN u b ON b.idx = df.n1)",
+        sql.forward(sql.times("l", dx) + " + " + sql.times("dl", x), "(SELECT q FROM src WHERE src.idx = f.idx)", "j"), select=f"SELECT idx, {r('v', 5)} AS dv FROM j")
+    back = sql.backward(sql.noise("g.idx", 5))
+    out["field_cotangent_noise"] = sql.query(*whole, back, """zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z)""", select=f"""
+        SELECT idx, {r('s * vbar')} AS xi_bar FROM z JOIN f USING (idx) UNION ALL SELECT 0, {r('l00 * z0 + l10 * z1 + l20 * z2')} FROM dn, zz
+        UNION ALL SELECT 1, {r('l11 * z1 + l21 * z2')} FROM dn, zz UNION ALL SELECT 2, {r('l22 * z2')} FROM dn, zz""")
+    # the dense factor in reverse, entry by entry
+    reverse = f"""zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z),
+        b0 AS (SELECT *, z2 * ({x[2]}) / (2 * l22) AS t22 FROM dn, zz),
+        b1 AS (SELECT *, z2 * ({x[1]}) - 2 * l21 * t22 AS g21 FROM b0),
+        b2 AS (SELECT *, z2 * ({x[0]}) - 2 * l20 * t22 - l10 * g21 / l11 AS g20, z1 * ({x[1]}) - l21 * g21 / l11 AS g11 FROM b1),
+        b3 AS (SELECT *, g11 / (2 * l11) AS t11 FROM b2),
+        b4 AS (SELECT *, z1 * ({x[0]}) - l20 * g21 / l11 - 2 * l10 * t11 AS g10 FROM b3),
+        b5 AS MATERIALIZED (SELECT *, (z0 * ({x[0]}) - l20 * g20 / l00 - l10 * g10 / l00) / (2 * l00) AS t00 FROM b4)"""
+    dense = "UNION ALL SELECT 0.0::DOUBLE, t22 + t11 + t00 FROM b5 UNION ALL SELECT q01, g10 / l00 FROM b5 UNION ALL SELECT q02, g20 / l00 FROM b5 UNION ALL SELECT q12, g21 / l11 FROM b5"
+    out["field_cotangent"] = cotangent((*whole, made, back, reverse), dense, 4)
     out["batch_refine"] = sql.query(*two, sql.factors(BOTH, batch=0), refined, select=f"SELECT 0 AS batch, idx, {r('v')} AS v FROM u") + "\nUNION ALL SELECT * FROM (" + sql.query(*two, sql.factors(BOTH, batch=1), refined, select=f"SELECT 1 AS batch, idx, {r('v')} AS v FROM u") + ")"
     return out | {name: _sort_sql(name) for name in SORTS}
