@@ -11,8 +11,8 @@ white space turned into single spaces; empty blocks are left out; the others are
 order by an empty line.
 
 Defined results: a null or empty page has the empty text, so has a page without main blocks; markup
-that is cut off or badly nested is closed where a browser would; a text outside all elements belongs
-to the root; repeated rows give repeated results; an empty table gives an empty result; columns
+that is cut off or badly nested is closed where a browser would; text and elements outside a body, also
+behind its end, belong to the body, which opens by itself; repeated rows give repeated results; an empty table gives an empty result; columns
 other than page_id, url and html are ignored.
 """
 
@@ -56,6 +56,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.words, self.labels = ["#root"], [-1], [()], [None]
         self.open = [("#root", 0)]  # names of open elements, with the node each is in
+        self.held: dict[str, int] = {}  # how many are open of each name
         self.runs: list[tuple[int, int, bool, str]] = []  # node, block number, inside a link, text
         self.block, self.links, self.dropped = 0, 0, 0
         self.feed(html)
@@ -71,6 +72,10 @@ class Page(HTMLParser):
             if tag in DROPPED or tag in WITHIN:
                 self._push(tag, self.open[-1][1])
             return
+        if tag in ("html", "body") and self.held.get(tag):
+            return  # there is one of each
+        if tag not in HEADS and tag not in ("html", "body"):
+            self._in_body()
         if tag in ENDS_P:
             self._close_within("p", BLOCKS - {"p"})
         for name in CLOSES.get(tag, ()):
@@ -102,12 +107,15 @@ class Page(HTMLParser):
             self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not self.dropped and not any(name == "p" for name, _ in self.open):
+        if tag in ("html", "body"):  # what follows is put back into the body
             self.block += 1
             return
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        if not self.held.get(tag):
+            self.block += tag == "p" and not self.dropped
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
                 self._pop_to(at)
@@ -118,6 +126,8 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if data.strip():
             self._end_head()
+            if not self.dropped:
+                self._in_body()
         if not self.dropped and data:
             self.runs.append((self.open[-1][1], self.block, self.links > 0, data))
 
@@ -125,19 +135,27 @@ class Page(HTMLParser):
         if self.open[-1][0] == "head":
             self._pop_to(len(self.open) - 1)
 
+    def _in_body(self):
+        if not self.held.get("body"):
+            self.handle_starttag("body", [])
+
     def _push(self, tag, node):
         self.open.append((tag, node))
+        self.held[tag] = self.held.get(tag, 0) + 1
         self.links += tag == "a"
         self.dropped += tag in DROPPED
 
     def _pop_to(self, at):
         while len(self.open) > at:
             tag, _ = self.open.pop()
+            self.held[tag] -= 1
             self.links -= tag == "a"
             self.dropped -= tag in DROPPED
             self.block += tag in BLOCKS
 
     def _close_within(self, name, until):
+        if not self.held.get(name):
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == name:
                 self._pop_to(at)
@@ -160,7 +178,7 @@ def features(page: Page) -> list[list[str]]:
         share = linked[i] / chars[i] if chars[i] else -1
         links = "none" if share < 0 else str(sum(share > x for x in (0, 0.3, 0.7)))
         ends = "none" if not chars[i] else str(last[i] in '.!?:…»”"')
-        out.append([f"tag:{page.tags[i]}", f"size:{size}", f"links:{links}", f"ends:{ends}", *(f"word:{w}" for w in page.words[i])])
+        out.append([f"tag:{page.tags[i]}:{'empty' if share < 0 else 'links' if share > 0.7 else 'text'}", f"size:{size}", f"links:{links}", f"ends:{ends}", *(f"word:{w}" for w in page.words[i])])
     return out
 
 
@@ -287,10 +305,14 @@ def labelled_page(seed: int) -> str:
     prose = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 5, 8))))
     link = lambda: f'<a href="/{word()}">{word()}</a>'
 
+    every = sorted({w for _, names in REGIONS.values() for w in names.split()} | set(MAIN[1].split()))
+
     def named(names: str, often: float) -> str:
         if rng.random() > often:
             return ""
         said = "-".join(rng.sample(names.split(), rng.choice((1, 1, 2)))) + rng.choice(("", "", f" {word()}", "-wrapper", " box"))
+        if rng.random() < 0.08:  # a name that says something else
+            said += rng.choice("- ") + rng.choice(every)
         return f' {rng.choice(("class", "class", "id"))}="{said}"'
 
     def region(kind: str) -> str:
@@ -308,9 +330,14 @@ def labelled_page(seed: int) -> str:
             inner = f"<label>{word()}</label><input name={word()}><p>{sentence()}</p><button>{word()}</button>"
         else:
             inner = rng.choice((prose(), f"<p>{prose()}</p>", f"<h3>{word()}</h3><p>{prose()}</p>", f"{word()} {link()} {sentence()}", f"<div>{link()}</div><p>{sentence()}</p>"))
-        return f'<{tag}{named(names, 0.6 if sure else 1)} data-main="0">{inner}</{tag}>'
+        unseen = rng.choice((" hidden", ' style="display: none"', ' style="visibility:hidden"')) if rng.random() < 0.06 else ""
+        if unseen:
+            inner = rng.choice((inner, f"<p>{prose()}</p><p>{prose()}</p>"))
+        return f'<{tag}{named(names, 0.6 if sure or unseen else 1)}{unseen} data-main="0">{inner}</{tag}>'
 
     def block() -> str:
+        if rng.random() < 0.04:  # a part of the text under a name that would suit other parts
+            return f'<{(t := rng.choice(("div", "section", "div")))} class="{rng.choice(every)}{rng.choice(("", "-free", "-zone", f"-{word()}", f" {word()}"))}"><p>{prose()}</p><p>{prose()}</p></{t}>'
         return rng.choice((
             lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}", lambda: f"<p>{prose()} {link()} {sentence()}</p>",
             lambda: f"<p>{sentence()}</p>", lambda: f"<p>{word()}</p>", lambda: f"<p><b>{sentence()}<br>", lambda: f"<h2>{word()} {word()}</h2>", lambda: f"<h3>{sentence()}</h3>",
@@ -320,24 +347,38 @@ def labelled_page(seed: int) -> str:
             lambda: f"<figure><figcaption>{sentence()}</figcaption></figure>", lambda: f"<div><p>{prose()}</p></div>", lambda: f"<section><h2>{word()}</h2><p>{prose()}</p></section>",
         ))()
 
-    tag = rng.choice(MAIN[0].split())
     inner = [block() for _ in range(rng.randint(1, 12))]
     for _ in range(rng.choice((0, 0, 1, 2))):
         inner.insert(rng.randint(0, len(inner)), region(rng.choice(("advert", "share", "notice", "sidebar", "form"))))
     if rng.random() < 0.25:
         inner.append(region("comments"))
-    title = f"<h1>{sentence()}</h1>"
-    main = f'<{tag}{named(MAIN[1], 0.5 if tag in ("article", "main") else 1)} data-main="1">{title if rng.random() < 0.8 else ""}{"".join(inner)}</{tag}>'
+    title = f"<h1>{sentence()}</h1>" if rng.random() < 0.8 else ""
     before = [region(k) for k in ("header", "menu", "notice", "advert", "form", "sidebar") if rng.random() < 0.5]
     after = [region(k) for k in ("comments", "sidebar", "advert", "notice", "footer", "share", "menu") if rng.random() < 0.5]
     rng.shuffle(before)
+    head = f"<html><head><title>{word()}</title><style>p{{}}</style><script>var a='<p>';</script></head>"
+    layout = rng.random()
+    if layout < 0.12:  # the text stands in the body itself, between other parts or alone
+        sides = [[], []] if rng.random() < 0.4 else [before, after]
+        body = "".join(sides[0]) + title + "".join(inner) + "".join(sides[1])
+        return f'{head}<body{named(MAIN[1], 0.3)} data-main="1">{body}</body></html>'
+    if layout < 0.17:  # without paragraphs
+        return f'{rng.choice((head, ""))}<body data-main="1">' + rng.choice(("<br>", "<br><br>", " ")).join(prose() for _ in range(rng.randint(1, 5))) + rng.choice(("", "", f" <b>{word()}</b> {word()}", f"<br>{link()}", f"<br>{word()}")) + "</body></html>"
+    if layout < 0.21:  # a table that lays out the page
+        cells = [f'<td{named("menu nav links left right side", 0.5)} data-main="0">{rng.choice(("<br>", " | ", "<p>")).join(link() for _ in range(rng.randint(2, 8)))}</td>']
+        cells.insert(rng.randint(0, 1), f'<td{named(MAIN[1], 0.5)} data-main="1">{title}{"".join(inner)}</td>')
+        return f'{head}<body data-main="0"><table>{rng.choice(("", f"<tr><td data-main=0 colspan=2>{link()} {word()}</td></tr>"))}<tr>{"".join(cells)}</tr></table></body></html>'
+    tag = rng.choice(MAIN[0].split())
+    main = f'<{tag}{named(MAIN[1], 0.5 if tag in ("article", "main") else 1)} data-main="1">{title}{"".join(inner)}</{tag}>'
+    if layout < 0.25:  # more than one container
+        main += f'<{tag}{named(MAIN[1], 0.5)} data-main="1">{"".join(block() for _ in range(3))}</{tag}>'
     body = "".join(before) + main + "".join(after)
     for _ in range(rng.choice((0, 1, 2))):
         body = f'<div{named("wrapper container page layout row grid outer", 0.7)} data-main="0">{body}</div>'
-    return f"<html><head><title>{word()}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>{body}</body></html>"
+    return f'{head}<body data-main="0">{body}</body></html>'
 
 
-def labelled_pages(spark: SparkSession, n: int = 600) -> DataFrame:
+def labelled_pages(spark: SparkSession, n: int = 1200) -> DataFrame:
     """n pages(page_id, html) of as many seeds."""
 
     def make(batches):
