@@ -1,18 +1,20 @@
 """Quality classifier from compressed sizes.
 
 One zstandard dictionary is built from good and one from bad labelled texts.  Every whole text
-is compressed with each.  The difference of the two sizes, normalised by the length of the text
-and by the sizes themselves, and the mean compressed share become a score through a logistic
-calibration on other labelled texts.
-
-The fit uses a bounded sample of labelled rows: at most ``per_class`` texts a class for the
-dictionaries and ``calibration`` texts for the calibration, of each its first ``sample_chars``
-code points; rows come in the order of a digest of their doc_id.  Scoring takes whole texts.
-
-Defined results: a null or empty text gets the score of its features (no bytes saved by either
-dictionary); if a class has fewer than MIN_TEXTS sampled texts, every score is the share of good
-labels (0.5 without labels); repeated rows get equal scores; labels with a null quality are
-ignored; an empty table gives an empty result; only doc_id and text of docs are read.
+is compressed with each.  The difference of the two sizes, normalised by the length of the text, is
+the only input of the score; a logistic calibration on other labelled texts maps it to (0, 1).
+
+The fit uses a bounded sample of labelled rows: at most ``per_class`` rows a class for the
+dictionaries and ``calibration`` rows a class for the calibration, in the order of a digest of their
+doc_id, of those with a text of 1 to ``most_bytes`` bytes.  Texts are whole wherever they are used.  The
+driver receives those of the dictionaries only, at most 2 * per_class * most_bytes bytes and in general
+some MB; for the calibration it receives a number for each row.
+
+Defined results: a null or empty text has the difference 0 and the score of that; if a class has fewer
+than MIN_TEXTS sampled texts, every score is the share of good labels (0.5 without labels); repeated
+rows get equal scores and count once in the sample; labels with a null quality or doc_id are ignored;
+an empty table gives an empty result; only doc_id and text of docs are read, and ``keep_good`` returns
+all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-PER_CLASS = 1500
+PER_CLASS = 1000
 CALIBRATION = 6000
-SAMPLE_CHARS = 20_000
+MOST_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 MIN_TEXTS = 8
@@ -49,85 +51,106 @@ def _compressors(dictionaries):
     return out
 
 
-def _features(compressors, text: str) -> tuple[float, ...]:
+def _difference(compressors, text: str) -> float:
+    """How many bytes the dictionary of good texts saves over the other, for each byte of the text."""
     data = text.encode("utf-8", "replace")
     good, bad = (len(c.compress(data)) for c in compressors)
-    n = len(data) + 16
-    return (good - bad) / n, (good - bad) / (good + bad), (good + bad) / n, 1 / np.log2(n)
+    return (bad - good) / (len(data) + 16)
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, x[:, 1] * x[:, 2], x[:, 2] ** 2])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps on the penalised likelihood."""
-    w = np.zeros(x.shape[1])
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and slope of the greatest penalised likelihood, by Newton steps on a scaled input."""
+    scale = float(x.std()) or 1.0
+    x = np.column_stack([np.ones(len(x)), x / scale])
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / np.array([1.0, scale])
+
+
+def _dictionary(rows: list[bytes]) -> bytes:
+    import zstandard
+
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, rows)) // 8))
+    try:
+        return zstandard.train_dictionary(size, rows).as_bytes()
+    except zstandard.ZstdError:  # too little text for the trainer: the texts themselves are the dictionary
+        return b"".join(rows)[-size:]
+
+
+def _differences(rows: DataFrame, dictionaries: list[bytes]) -> DataFrame:
+    """quality and difference of rows(quality, text)."""
+    sent = rows.sparkSession.sparkContext.broadcast(dictionaries)  # of at most DICTIONARY_BYTES each
+
+    def run(batches):
+        compressors = _compressors(sent.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_difference(compressors, t) for t in batch.column(1).to_pylist()], pa.float64())], ["quality", "difference"])
+
+    return rows.select("quality", "text").mapInArrow(run, "quality int, difference double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, calibration=CALIBRATION, sample_chars=SAMPLE_CHARS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, calibration=CALIBRATION, most_bytes=MOST_BYTES) -> dict:
     """A model of bounded size from rows outside the held-out fold."""
+    spark = docs.sparkSession
     marked = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .withColumn("turn", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")))
     )
-    first = lambda rows, n: rows.orderBy("turn", "doc_id").limit(n)
-    chosen = first(marked.where("quality = 1"), per_class + calibration).unionByName(first(marked.where("quality = 0"), per_class + calibration))
-    # at most 2 * (per_class + calibration) ids
-    sample = (
-        texts(docs).join(F.broadcast(chosen), "doc_id")
-        .select("turn", "doc_id", "quality", F.left("text", F.lit(sample_chars)).alias("text"))
-        .where(F.length("text") > 0).toPandas().sort_values(["turn", "doc_id"], kind="stable")
-    )
     count = {q: int(n) for q, n in marked.groupBy("quality").count().collect()}
     share = (count.get(1, 0) / sum(count.values())) if count else 0.5
-    by_class = {q: sample[sample.quality == q].text.tolist() for q in (0, 1)}
+    size, which = F.octet_length("text"), F.xxhash64("text").alias("which")
+    eligible = texts(docs).where((size > 0) & (size <= most_bytes))
+    most = per_class + calibration
+    keys = {}
+    for q in (0, 1):
+        # candidates among the labels, bounded before the join; ids of sampled rows, bounded after it
+        chosen = marked.where(F.col("quality") == q).distinct().orderBy("turn", "doc_id").limit(2 * most)
+        rows = eligible.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", which).distinct()
+        keys[q] = [tuple(r) for r in rows.orderBy("turn", "doc_id", "which").limit(most).select("doc_id", "which").collect()]
     # small samples are halved between the two uses
-    cut = {q: min(per_class, len(rows) // 2) for q, rows in by_class.items()}
+    cut = {q: min(per_class, len(rows) // 2) for q, rows in keys.items()}
     if min(cut.values()) < MIN_TEXTS:
         return {"share": share}
-    import zstandard
 
-    dictionaries = []
-    for q in (1, 0):
-        rows = [x.encode("utf-8", "replace") for x in by_class[q][: cut[q]]]
-        size = min(DICTIONARY_BYTES, max(1024, sum(map(len, rows)) // 8))
-        try:
-            dictionaries.append(zstandard.train_dictionary(size, rows).as_bytes())
-        except zstandard.ZstdError:  # too little text for the trainer: the texts themselves are the dictionary
-            dictionaries.append(b"".join(rows)[-size:])
-    compressors = _compressors(dictionaries)
-    rest = {q: by_class[q][cut[q] :] for q in (0, 1)}
-    x = _expand(np.array([_features(compressors, t) for q in (0, 1) for t in rest[q]]))
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    weight = _logistic(x, y)
-    # the sample is balanced by class, the table is not: shift the intercept to the table's odds
+    def rows_of(part) -> DataFrame:
+        """quality and text, one for each key; part gives a bounded list of keys of each class."""
+        wanted = spark.createDataFrame([(*k, q) for q in (0, 1) for k in part(q)], "doc_id long, which long, quality int")
+        found = eligible.withColumn("which", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "which"])
+        return found.dropDuplicates(["doc_id", "which", "quality"]).select("quality", "text")
+
+    sample = sorted((r["quality"], r["text"].encode("utf-8", "replace")) for r in rows_of(lambda q: keys[q][: cut[q]]).collect())
+    dictionaries = [_dictionary([t for x, t in sample if x == q]) for q in (1, 0)]
+    rest = _differences(rows_of(lambda q: keys[q][cut[q] :]), dictionaries).toPandas().sort_values(["quality", "difference"])
+    x, y = rest.difference.to_numpy(), rest.quality.to_numpy(float)
+    weight = _calibrate(x, y)
+    # the sample is nearer to balance than the table: shift the intercept to the table's odds
     have, true = np.clip(y.mean(), 1e-6, 1 - 1e-6), np.clip(share, 1e-6, 1 - 1e-6)
     weight[0] += np.log(true / (1 - true)) - np.log(have / (1 - have))
     return {"share": share, "dictionaries": dictionaries, "weights": weight.tolist()}
 
 
+def _score(x: list[float], weights) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + weights[1] * np.array(x, float), -30, 30)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row of docs."""
     if "weights" not in model:
         return docs.select("doc_id", F.lit(model["share"]).cast("double").alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a calibration
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        compressors, weights = _compressors(sent.value["dictionaries"]), np.array(sent.value["weights"])
+        compressors = _compressors(sent.value["dictionaries"])
         for batch in batches:
-            found = [_features(compressors, t) for t in batch.column(1).to_pylist()]
-            z = _expand(np.array(found)) @ weights if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], schema=schema)
+            found = _score([_difference(compressors, t) for t in batch.column(1).to_pylist()], sent.value["weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=schema)
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -150,11 +173,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     place = docs.columns.index("text")
 
     def run(batches):
-        compressors, weights = _compressors(sent.value["dictionaries"]), np.array(sent.value["weights"])
+        compressors = _compressors(sent.value["dictionaries"])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = _expand(np.array([_features(compressors, t or "") for t in batch.column(place).to_pylist()])) @ weights
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
+            found = _score([_difference(compressors, t or "") for t in batch.column(place).to_pylist()], sent.value["weights"])
+            yield batch.filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
