@@ -205,6 +205,34 @@ def test_quality(spark, odd, nothing):
     assert compression_quality.score(nothing, model).count() == 0
     few = compression_quality.classify(odd, labels.limit(0)).collect()
     assert {r["score"] for r in few} == {0.5}
+    # the difference alone separates: area under the curve of the held-out fold
+    ranks = found.score.rank()
+    area = (ranks[found.quality == 1].sum() - len(good) * (len(good) + 1) / 2) / (len(good) * len(bad))
+    print("held-out area", area, "accuracy", (found.predicted == found.quality).mean(), "good kept", good.predicted.mean(), "bad kept", bad.predicted.mean())
+    assert area > 0.98
+    # rows that repeat don't change the fit, nor its bound
+    assert compression_quality.fit(docs.union(docs).union(docs), labels.union(labels)) == model
+    kept = compression_quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_keep_good_of_odd_tables(spark, odd, nothing):
+    """Nulls, repeated rows, empty tables and columns with names that the operator uses."""
+    words = [f"good{i}" for i in range(40)], [f"bad{i}" for i in range(40)]
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(words[i % 3 == 0], k=60)), 0.5, 1) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, rows[1][1], 0.0, 1), (1000, None, 0.0, 1)], "doc_id long, text string, score double, quality int")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)] + [(None, 1), (4, None)], "doc_id long, quality int")
+    kept = compression_quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    ids = sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None and r["doc_id"] < 1000))
+    assert ids == sorted(i for i, *_ in rows + rows[:5] if i % 3)
+    assert kept.where("doc_id is null").count() == 1
+    scored = {r["doc_id"]: r["score"] for r in compression_quality.classify(docs, labels).collect()}
+    assert (1000 in scored) and all(0 <= x <= 1 for x in scored.values())
+    assert compression_quality.keep_good(docs.limit(0), labels).count() == 0
+    assert compression_quality.keep_good(nothing, labels.limit(0)).count() == 0
+    assert compression_quality.keep_good(odd, labels.limit(0)).count() == odd.count()  # every score is 0.5
 
 
 # substring dedup
@@ -240,6 +268,40 @@ def test_substrings(spark, documents, odd, nothing, monkeypatch, parts):
     assert seed_extend.dedup(nothing).count() == 0
 
 
+def test_maximal_repeats(spark):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(40)]
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    line = [f"l{k}" for k in range(14)]
+    # 7 repeats two passages of 1 and a part of one of 2; 9 repeats one line many times; 5 has two texts
+    one, two = own(5) + passage + own(5), own(3) + passage[10:] + ["end"] * 20
+    rows = [
+        (1, one), (2, two), (7, own(4) + passage + own(4) + passage[5:30] + own(2) + passage[30:] + ["end"] * 4), (8, own(2) + line), (9, (line + own(1)) * 50), (5, one + own(9)), (5, own(60)), (5, own(60)),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = [tuple(r)[:1] + tuple(r)[2:] for r in seed_extend.maximal_repeats(docs).collect()]
+    words = {i: w for i, w in rows if i != 5}
+    for i, at, n, source, begin in found:
+        assert n >= 13 and source < i
+        if i != 5:
+            assert words[i][at : at + n] == words[source][begin : begin + n]
+            assert at + n == len(words[i]) or begin + n == len(words[source]) or words[i][at + n] != words[source][begin + n] or source > 1
+    assert {(r[0], r[2], r[3], r[4]) for r in found if r[0] in (5, 7)} == {(5, 50, 1, 0), (7, 40, 1, 5), (7, 25, 1, 10), (7, 14, 2, 23)}
+    assert sum(r[0] == 9 for r in found) == 50
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in seed_extend.dedup(docs).collect()), key=str)
+    assert got == plain_dedup([(i, " ".join(w)) for i, w in rows])
+
+
+def test_repeated_lines_are_one_seed(spark):
+    line = " ".join(f"l{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, " ".join([line] * 300 + [f"x{i}"])) for i in range(6)], "doc_id long, text string")
+    assert seed_extend.seeds(docs).groupBy("doc_id", "anchor").count().agg(F.max("count")).first()[0] < 4
+    hot = {r["anchor"] for r in seed_extend.hot_anchors(docs).collect()}
+    assert hot
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in seed_extend.dedup(docs).collect()), key=str)
+    assert got == plain_dedup([tuple(r) for r in docs.collect()])
+
+
 # mixing
 
 
@@ -283,8 +345,14 @@ def test_media(spark, odd, nothing):
     for r in odd.collect():
         payload = media_chunks.payload_of(r["text"])
         assert len(payload) % 64 == 0 and payload
-        want.append((r["doc_id"], len((r["text"] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])) for r in found)
+        media = media_chunks.to_wav(payload)
+        x = np.frombuffer(payload, np.uint8).astype(float) - 128
+        parts = ",".join(f"{(p @ p / len(p)) ** 0.5:.3f}" for p in np.array_split(x, 8))
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        text = (len((r["text"] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        want.append((r["doc_id"], *text, len(media), hashlib.sha256(media).hexdigest(), f"{parts};{x.mean():.3f};{turns / len(x):.4f}"))
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in found)
     assert media_chunks.media_features(nothing).count() == 0
 
 
@@ -306,12 +374,30 @@ def test_chunks():
     assert media_chunks.cuts(b"\0" * 100_000)[-1] == 100_000
 
 
+def test_store_holds_each_chunk_once(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = words(9000)
+    texts = [words(3000) + shared + words(10 * i) for i in range(12)] + [shared, shared, words(20), "ab" * 40000, None]
+    docs = spark.createDataFrame([(i % 14, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    listed, packs = media_chunks.store(docs)
+    rows = packs.collect()
+    held = [k for r in rows for k in media_chunks._kept_chunks(r["chunks"], r["sizes"], r["keeps"], r["pack"])]
+    chunks = {media_chunks.digest(c) for t in texts for c in media_chunks.chunks_of(media_chunks.to_wav(media_chunks.payload_of(t)))}
+    assert sorted(held) == sorted(chunks) and sum(not r["whole"] for r in rows) >= 11
+    found = sorted(bytes(r["restored"]) for r in media_chunks.restore(listed, packs).collect())
+    assert found == sorted(media_chunks.to_wav(media_chunks.payload_of(t)) for t in texts)
+    sizes = packs.where("not whole").selectExpr("sum(size(chunks))").first()[0]
+    assert packs.selectExpr("sum(size(filter(sends, x -> x)))").first()[0] < sizes
+
+
 def test_restore_rejects_other_bytes(spark):
-    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
-    listed, store = media_chunks.manifests(docs), media_chunks.chunk_store(docs)
-    assert bytes(media_chunks.restore(listed, store).collect()[0]["restored"]) == media_chunks.to_wav(media_chunks.payload_of("abc"))
-    import zstandard
+    import bz2
 
-    wrong = store.withColumn("data", F.lit(bytearray(zstandard.compress(b"other"))))
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    listed, packs = media_chunks.store(docs)
+    media = media_chunks.to_wav(media_chunks.payload_of("abc"))
+    assert bytes(media_chunks.restore(listed, packs).collect()[0]["restored"]) == media
+    wrong = packs.withColumn("pack", F.lit(bytearray(bz2.compress(media[:-1] + b"x"))))
     with pytest.raises(Exception, match="differ"):
         media_chunks.restore(listed, wrong).collect()
