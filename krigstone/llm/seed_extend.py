@@ -122,8 +122,9 @@ def seeds(docs: DataFrame) -> DataFrame:
 def hot_anchors(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Anchors with more rows in a bounded sample than a quarter of a partition has on average.  Their
     rows add up to those of the sample at most, so there are at most four for each partition."""
-    chosen = docs.select("doc_id", "text").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = materialize(seeds(chosen).select("anchor"))
+    # ids only are sorted; their texts are read where they are
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = materialize(seeds(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).select("anchor"))
     mean = found.count() / partitions(docs.sparkSession)
     return found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= max(4, mean / 4)).select("anchor")
 
