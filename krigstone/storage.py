@@ -9,21 +9,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+#: Tables that this process has written.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local master without one gets a folder of its own."""
+    """The folder in spark.checkpoint.dir; a session on one machine without it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _own[app]
+
+
+def _new_table(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> int:
+    """Deletes the tables that this process has put into the shared folder, once results that read them are
+    written elsewhere; returns how many."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(hadoop).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder; ``by`` lays it out in one folder for each value."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = _new_table(spark)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,7 +62,7 @@ class Growing:
     def __init__(self, spark: SparkSession, schema: str, by: str):
         self.spark, self.by = spark, by
         self.schema = f"{schema}, {by} int"
-        self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        self.path = _new_table(spark)
         spark.createDataFrame([], self.schema).write.partitionBy(by).parquet(self.path)
 
     def add(self, df: DataFrame) -> None:

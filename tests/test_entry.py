@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from krigstone import queries as graph_queries
+from krigstone import storage
 
 SMALL = "/root/testdata/sf0.001"
 CHECKED = ["tree_build", "tree_navigation", "knn_preceding", "order_by_depth", "cov_lookup", "factor_weights", "refine_values", "refine_inverse", "sort_4"]
@@ -29,3 +30,19 @@ def test_against_sql(spark, name):
     assert sorted(want.columns) == columns
     rows = lambda df: sorted(map(tuple, df[columns].astype(str).itertuples(index=False)))
     assert rows(found) == rows(want)
+
+
+def test_missing_and_broken_modules(monkeypatch, tmp_path):
+    assert entry._optional("krigstone.nothing_here") is None and entry._optional("nothing_here.queries") is None
+    (tmp_path / "broken_module.py").write_text("import nothing_here")
+    monkeypatch.syspath_prepend(tmp_path)
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("broken_module")
+
+
+def test_tables_are_removed(spark):
+    table = storage.materialize(spark.range(5))
+    assert table.count() == 5 and storage.remove_tables(spark) > 0 and storage.remove_tables(spark) == 0
+    graph_queries.forget()
+    with pytest.raises(Exception, match="(?i)does not exist|no such file|FILE_NOT_EXIST"):
+        spark.read.parquet(table.inputFiles()[0]).count()
