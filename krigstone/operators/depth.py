@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,58 @@ from ..sources.points import coordinates
 from ..storage import Growing, materialize, numbered
 
 
+#: Edges that one task may hold to finish the depths.
+FEW = 1 << 20
+
+
 def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int) -> DataFrame:
     """idx and depth of every node: 0 below n0, else one more than its deepest neighbour.
 
     Round r finds the nodes of depth r or more: those with a neighbour of depth r - 1 or more.  They are a
     part of those of the round before, so only edges between these are looked at again, and an edge is
     read as often as the node that it leads to is deep.  Each round adds its nodes to a growing table,
-    in which a node's last round is its depth.  If a round finds as many nodes as the last one, the graph
-    has a cycle.
+    in which a node's last round is its depth.  When few edges are left, one task goes on alone.  If a round
+    finds as many nodes as the last one, the graph has a cycle.
     """
     found = Growing(edges.sparkSession, "idx long", by="depth")
     found.add(nodes.select("idx", F.when(F.col("idx") < n0, 0).otherwise(1).cast("int").alias("depth")))
     live = materialize(edges.select("idx", "nb").where((F.col("idx") >= n0) & (F.col("nb") >= n0)))
     depth, before = 2, None
-    while True:
+    while live.count() > FEW:
         deeper = materialize(live.select("idx").distinct())
         n = deeper.count()
-        if not n:
-            return found.read().groupBy("idx").agg(F.max("depth").alias("depth"))
         if n == before:
             raise ValueError("the neighbour graph has a cycle")
         found.add(deeper.select("idx", F.lit(depth).alias("depth")))
         live = materialize(live.join(deeper.withColumnRenamed("idx", "nb"), "nb", "left_semi"))
         depth, before = depth + 1, n
+    last = materialize(_finished(live, depth))
+    if last.where("depth < 0").limit(1).count():
+        raise ValueError("the neighbour graph has a cycle")
+    found.add(last)
+    return found.read().groupBy("idx").agg(F.max("depth").alias("depth"))
+
+
+def _finished(live: DataFrame, depth: int) -> DataFrame:
+    """idx and depth of the nodes that at most FEW edges lead from, all of depth or more; -1 in a cycle."""
+
+    def run(batches):
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not rows:
+            return
+        idx, nb = (np.concatenate(c) for c in zip(*rows, strict=True))
+        every, now, before = np.unique(idx), depth, None
+        deep = np.zeros(len(every), np.int32)
+        while len(idx):
+            deeper = np.unique(idx)
+            deep[np.searchsorted(every, deeper)] = now if before != len(deeper) else -1
+            if before == len(deeper):
+                break
+            keep = np.isin(nb, deeper)
+            idx, nb, now, before = idx[keep], nb[keep], now + 1, len(deeper)
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(deep)], ["idx", "depth"])
+
+    return live.select("idx", "nb").coalesce(1).mapInArrow(run, "idx long, depth int")
 
 
 def order_by_depth(points: DataFrame, edges: DataFrame, depths: DataFrame, n0: int) -> tuple[DataFrame, DataFrame]:

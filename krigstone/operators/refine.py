@@ -3,14 +3,17 @@
 Values are tables (batch, idx, <value>).  Levels of equal depth depend only on lower ones.  Edges are
 laid out by the depth at which their values become known: once a level's values are, they flow along
 the edges that start there to the points above (or, in the transpose, below), where they are added up.
-So each edge is read once, in one join and one aggregation a level, and each value twice.  The inverse
-and the log-determinant need no levels.
+So each edge is read once, in one join and one aggregation a level, and each value twice.  Consecutive levels
+that have few points together are settled in one task a batch, as a deep graph ends in many thin levels.
+The inverse and the log-determinant need no levels.
 
 ``shared`` means that the factors of one covariance, batch 0, serve all batches of the values.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,48 @@ from ..storage import Growing, materialize
 from .factor import spread
 
 
-def _levels(factors: DataFrame) -> list[int]:
-    """The depths that occur, ascending: as many as the graph is deep."""
-    return [r["depth"] for r in factors.select("depth").distinct().orderBy("depth").collect()]
+#: Points of all batches in levels that are settled together.
+TOGETHER = 1 << 16
+
+
+def _levels(factors: DataFrame, shared: bool) -> list[list[int]]:
+    """The depths that occur, ascending, in groups of those that are settled together."""
+    groups, held = [], 0
+    for r in factors.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth").collect():  # a row a level
+        if groups and not shared and held + r["n"] <= TOGETHER:
+            groups[-1].append(r["depth"])
+            held += r["n"]
+        else:
+            groups.append([r["depth"]])
+            held = r["n"]
+    return groups
+
+
+def _settled(edges: DataFrame, received: Growing, value: str, group: list[int], up: bool) -> DataFrame:
+    """What the points of a group of levels receive from others of the group: batch, idx, <value>, depth."""
+    low, high = group[0], group[-1]
+    inside = F.col("depth").between(low + 1, high) & F.col("nb_depth").between(low, high - 1)
+    inner = edges.where(inside).select(F.col("batch").alias("of"), "idx", "nb", "depth", "nb_depth", "w")
+    known = received.read().where(F.col("depth").between(low, high)).groupBy("batch", "idx", "depth").agg(F.sum(value).alias(value))
+
+    def run(points: pa.Table, links: pa.Table) -> pa.Table:
+        own, v0 = points.column("idx").to_numpy(), points.column(value).to_numpy()
+        idx, nb, depth, nb_depth, w = (links.column(c).to_numpy() for c in ("idx", "nb", "depth", "nb_depth", "w"))
+        every, first = np.unique(np.concatenate([own, idx, nb]), return_index=True)
+        level = np.concatenate([points.column("depth").to_numpy(), depth, nb_depth])[first]
+        v = np.zeros(len(every))
+        v[np.searchsorted(every, own)] = v0
+        start = v.copy()
+        source, target = np.searchsorted(every, nb if up else idx), np.searchsorted(every, idx if up else nb)
+        order = np.argsort(depth if up else -depth, kind="stable")
+        cuts = np.flatnonzero(np.diff(depth[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:  # one level after the other
+            np.add.at(v, target[part], w[part] * v[source[part]])
+        got = np.unique(target)
+        batch = (points if points.num_rows else links).column("batch" if points.num_rows else "of").to_numpy()[:1]
+        return pa.table({"batch": pa.array(np.repeat(batch, len(got)), pa.int32()), "idx": every[got], value: (v - start)[got], "depth": pa.array(level[got], pa.int32())})
+
+    return known.groupBy("batch").cogroup(inner.groupBy("of")).applyInArrow(run, f"batch int, idx long, {value} double, depth int")
 
 
 def keys(shared: bool) -> list[str]:
@@ -44,10 +86,15 @@ def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame, sha
     # what each point receives, laid out by its depth: its source, then the flows from below
     received = Growing(factors.sparkSession, "batch int, idx long, v double", by="depth")
     received.add(own.select("batch", "idx", F.col("source").alias("v"), "depth").unionByName(initial.select("batch", "idx", "v", F.lit(0).alias("depth"))))
-    for level in [0, *_levels(factors)[:-1]]:
-        known = received.read().where(F.col("depth") == level).groupBy("batch", "idx").agg(F.sum("v").alias("v")).withColumnRenamed("idx", "nb")
-        sent = edges.where(F.col("nb_depth") == level).join(known, [*keys(shared)[:-1], "nb"])
-        received.add(sent.groupBy("batch", "idx", "depth").agg(F.sum(F.col("w") * F.col("v")).alias("v")).select("batch", "idx", "v", "depth"))
+    groups = _levels(factors, shared)
+    for group in [[0], *groups]:
+        low, high = group[0], group[-1]
+        if low < high:
+            received.add(_settled(edges, received, "v", group, up=True))
+        if groups and high < groups[-1][-1]:
+            known = received.read().where(F.col("depth").between(low, high)).groupBy("batch", "idx").agg(F.sum("v").alias("v")).withColumnRenamed("idx", "nb")
+            sent = edges.where(F.col("nb_depth").between(low, high) & (F.col("depth") > high)).join(known, [*keys(shared)[:-1], "nb"])
+            received.add(sent.groupBy("batch", "idx", "depth").agg(F.sum(F.col("w") * F.col("v")).alias("v")).select("batch", "idx", "v", "depth"))
     return received.read().groupBy("batch", "idx").agg(F.sum("v").alias("v"))
 
 
@@ -58,9 +105,12 @@ def solve_backward(factors: DataFrame, cotangent: DataFrame, shared: bool = Fals
     # what each point receives, laid out by its depth: its cotangent, then the flows from above
     received = Growing(factors.sparkSession, "batch int, idx long, vbar double", by="depth")
     received.add(own.select("batch", "idx", "vbar", F.coalesce("depth", F.lit(0)).alias("depth")))
-    for level in reversed(_levels(factors)):
-        total = received.read().where(F.col("depth") == level).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
-        sent = edges.where(F.col("depth") == level).join(total, keys(shared))
+    for group in reversed(_levels(factors, shared)):
+        low, high = group[0], group[-1]
+        if low < high:
+            received.add(_settled(edges, received, "vbar", group, up=False))
+        total = received.read().where(F.col("depth").between(low, high)).groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))
+        sent = edges.where(F.col("depth").between(low, high) & (F.col("nb_depth") < low)).join(total, keys(shared))
         flow = sent.groupBy("batch", "nb", "nb_depth").agg(F.sum(F.col("w") * F.col("vbar")).alias("vbar"))
         received.add(flow.select("batch", F.col("nb").alias("idx"), "vbar", F.col("nb_depth").alias("depth")))
     return received.read().groupBy("batch", "idx").agg(F.sum("vbar").alias("vbar"))

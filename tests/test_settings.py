@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from krigstone.functions import covariance as C
+from krigstone.operators import depth
+from krigstone.operators import refine as refine_module
 from krigstone.operators.factor import factorize
 from krigstone.operators.generate import cholesky_jvp, cholesky_vjp, generate, generate_inv, generate_jvp, generate_logdet, generate_vjp
 from krigstone.operators.graph import build_graph, check_points
@@ -116,6 +118,31 @@ def test_shared_factors(spark):
     assert refine_logdet(factors).count() == 1
 
 
+@pytest.mark.parametrize("together,few", [(0, 0), (25, 30), (1 << 16, 1 << 20)])
+def test_levels_alone_and_together(spark, monkeypatch, together, few):
+    """The same depths and values however many levels one task settles."""
+    n, n0, k = 150, 8, 3
+    one = C.matern(0, 1.0, 1.0, 1e-2, 10.0, 60, 1e-3)
+    monkeypatch.setattr(depth, "FEW", few)
+    monkeypatch.setattr(refine_module, "TOGETHER", together)
+    graph, factors, at, nb = make(spark, n, 2, n0, k, C.Covariance(one.bins, one.values * 2))
+    levels = np.zeros(n, int)
+    for i in range(n0, n):
+        levels[i] = levels[nb[i - n0]].max() + 1
+    assert [r["depth"] for r in graph.points.orderBy("idx").collect()] == levels.tolist()
+    xi = np.random.default_rng(2).standard_normal((2, n))
+    values = generate(graph, C.Covariance(one.bins, one.values * 2), factors, frame(spark, "xi", xi))
+    want = np.array([plain(at, nb, n0, one.bins, one.values[0], x)[0] for x in xi])
+    assert np.allclose(array(values, "v", (2, n)), want)
+    bar = np.random.default_rng(3).standard_normal((2, n))
+    first, later = refine_transpose(factors, frame(spark, "vbar", bar))
+    # the transpose against the map itself, on random directions
+    start, noise = np.random.default_rng(4).standard_normal((2, n0)), np.random.default_rng(5).standard_normal((2, n - n0))
+    moved = array(refine(factors, frame(spark, "v", start), frame(spark, "xi", noise, n0)), "v", (2, n))
+    right = (array(first, "initial_bar", (2, n0)) * start).sum(axis=1) + (array(later, "xi_bar", (2, n - n0), n0) * noise).sum(axis=1)
+    assert np.allclose((bar * moved).sum(axis=1), right)
+
+
 def test_repeated_ids_are_refused(spark):
     with pytest.raises(ValueError, match="differ"):
         check_points(spark.createDataFrame([(1, 0.5), (1, 0.7)], "point_id long, x0 double"))
