@@ -33,6 +33,31 @@ def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """messages with quotations in three of four later turns, chosen by conversation and turn: of the turn
+    before, of that with a nested quotation of the one before it, or of the conversation's first turn."""
+    quoted = lambda c, sign: F.regexp_replace(c, r"(?m)^", sign)
+    each = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("said"))
+    one, two = (each.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("said").alias(f"back{n}")) for n in (1, 2))
+    first = each.where("turn = 0").select("conv_id", F.col("said").alias("opening"))
+    joined = messages.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left").join(first, "conv_id", "left")
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    text = F.coalesce("text", F.lit(""))
+    on = F.lit("Someone wrote:\n")
+    made = (
+        F.when((kind == 0) & F.col("back1").isNotNull(), F.concat(on, quoted(F.col("back1"), "> "), F.lit("\n"), text))
+        .when((kind == 1) & F.col("back2").isNotNull(), F.concat(on, quoted(F.col("back1"), "> "), F.lit("\n"), quoted(F.col("back2"), ">> "), F.lit("\n"), text))
+        .when((kind == 2) & (F.col("turn") > 0) & F.col("opening").isNotNull(), F.concat(quoted(F.col("opening"), "> "), F.lit("\n"), text))
+        .otherwise(text)
+    )
+    return joined.select("conv_id", "turn", "role", made.alias("text"))
+
+
+def quotations_in_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator over the conversations with quotations put in, as the tables hold hardly any."""
+    return quotations.reply_ordered(quoting(table(spark, sf_dir, "conversations")))
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -91,7 +116,7 @@ FROM rated
 def queries() -> dict:
     found = (
         op1_html, op2_media, op3_secrets, op4_bpe, op5_quotations, op6_imatch, op7_near_duplicates, op8_quality,
-        op9_substrings, op10_mixing,
+        op9_substrings, op10_mixing, quotations_in_replies,
     )
     return {f.__name__: f for f in found}
 

@@ -43,7 +43,7 @@ WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W_\u3040-\u30f
 SENTENCES = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|$)|[。！？]|\n\s*\n")
 OMISSION = re.compile(r"\[?(?:\.\.\.|…)\]?")
 #: A line such as 'On Monday, A wrote:' before a quotation, maybe with empty lines between.
-ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|écrit|escribió)\b.{0,20}:\s*$")
+ATTRIBUTION = re.compile(r"^.*\b(?:wrote|writes|said|schrieb|écrit|escribió)\b[^:]*:\s*$")
 
 
 def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
