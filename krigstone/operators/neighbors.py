@@ -122,11 +122,13 @@ def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = Fal
     while n > (1 << level) - 1:
         state = materialize(state)
         found.append(state.where("d2 is not null"))
-        salts = max(1, -(-4 * n // (1 << level) // GROUP))
         tile = F.when(F.col("node") >= (1 << level) - 1, ancestor(F.col("node"), F.lit(level)))
-        visits = state.where("d2 is null").withColumn("tile", tile).withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)))
+        visits = state.where("d2 is null").withColumn("tile", tile)
+        # as many groups for a tile as its visits, counted, fill
+        salts = materialize(visits.groupBy("tile").agg(F.ceil(F.count("*") / GROUP).alias("salts")))
+        visits = visits.join(salts, "tile").withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts")))
         below = tree.where((F.col("node") >= (1 << level) - 1) & (F.col("node") < (1 << (level + TILE)) - 1)).withColumn("tile", tile)
-        below = below.select(F.col("tile").alias("to_tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("to_salt"), "node", *dims, "split_dim")
+        below = below.join(salts, "tile").select(F.col("tile").alias("to_tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("to_salt"), "node", *dims, "split_dim")
 
         state = visits.groupBy("tile", "salt").cogroup(below.groupBy("to_tile", "to_salt")).applyInArrow(_visitor(dims, level, n), schema)
         level += TILE
