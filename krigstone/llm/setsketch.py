@@ -12,14 +12,17 @@ sorted 64-bit hashes of shingles.
    common original.  A member whose distance (one minus similarity) to its hub is at most CLOSE is
    done in the bucket, as every link it has must be to members within NEAR of the hub (step 4).
    Where other members of several components are left, their registers are compared in blocks of
-   bounded size, and only pairs whose estimate allows a link go on to step 5.
+   bounded size, and only pairs whose estimate allows a link go on to step 5.  Linked sets differ in size
+   by a factor of 0.85 at most, so blocks hold sets of one size class, and meet those of the same class
+   and of the next.
 4. Links among the members near a hub are found from their differences to it.  Of two linked sets,
    one of them not linked to the hub, the differences share more than about half of either's elements.
    Elements that differ for one member only, or within one component only, can't count; who is left
    with too few is done, and of the others the rarest elements meet the rest.  So a large group of
    copies with edits of their own makes no pairs.
 5. The joint likelihood of the registers estimates a candidate pair's similarity; pairs far (SLACK
-   standard errors) from being near are taken as far, all others are decided on both whole sets.
+   standard errors) from being near are taken as far; only the others' texts are sent, and they are
+   decided on both whole sets.
 6. Components of the confirmed links spread the smallest doc_id by joins, with pointer jumping.
 
 With 24 bands, a pair at similarity 0.85 is missed as a candidate with probability 1e-6.
@@ -158,28 +161,47 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) with text_a and text_b.  own: rep, text."""
-    joined = pairs.join(own.withColumnRenamed("rep", "a").withColumnRenamed("text", "text_a"), "a")
-    return joined.join(own.withColumnRenamed("rep", "b").withColumnRenamed("text", "text_b"), "b")
+    """pairs(a, b, ...) with text_a and text_b.  own: rep, text.
+
+    a, which may be the hub of many pairs, comes last: its text meets the pairs where they are, in a join
+    that adaptive execution splits if a is hot."""
+    joined = pairs.join(own.withColumnRenamed("rep", "b").withColumnRenamed("text", "text_b"), "b")
+    return joined.join(own.withColumnRenamed("rep", "a").withColumnRenamed("text", "text_a"), "a")
+
+
+def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those pairs(a, b) whose registers leave it open whether the sets are within NEAR of each other."""
+    each = lambda side: sketches.select(F.col("rep").alias(side), F.col("n_set").alias(f"n_{side}"), F.col("registers").alias(f"registers_{side}"))
+    joined = pairs.select("a", "b").join(each("b"), "b").join(each("a"), "a")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                j, error = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n_a, n_b)
+                keep.append(j + SLACK * error >= 1 - NEAR)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
 
 
 class _Known:
-    """Sets and sketches of the texts that a task has met last."""
+    """Sets of the texts that a task has met last."""
 
     def __init__(self):
-        self.last: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.last: dict[str, np.ndarray] = {}
+        self.room = 1 << 22  # elements, besides the last set
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str) -> np.ndarray:
         if text not in self.last:
-            if len(self.last) >= 256:
+            if sum(map(len, self.last.values())) > self.room:
                 self.last.clear()
-            elements = shingle_set(text)
-            self.last[text] = elements, registers(elements)
+            self.last[text] = shingle_set(text)
         return self.last[text]
 
 
-def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b, linked, near (within NEAR) and close (within CLOSE) for each pair."""
+def _compare(pairs: DataFrame, own: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, linked, near (within NEAR) and close (within CLOSE) for each pair; far pairs are left out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("near", pa.bool_()), ("close", pa.bool_())])
 
     def run(batches):
@@ -187,17 +209,14 @@ def _compare(pairs: DataFrame, own: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                (x, rx), (y, ry) = known(s), known(t)
-                j, error = estimate(rx, ry, len(x), len(y))
-                if j + SLACK * error < 1 - NEAR:
-                    out.append((False, False, False))
-                    continue
+                x, y = known(s), known(t)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 distance = 1 - both / (len(x) + len(y) - both)
                 out.append((linked(both, len(x), len(y)), distance <= NEAR, distance <= CLOSE))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.bool_()) for i in range(3))], schema=schema)
 
-    return _with_texts(pairs, own).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, near boolean, close boolean")
+    still = _open_pairs(pairs, sketches)
+    return _with_texts(still, own).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, near boolean, close boolean")
 
 
 def _differences(stars: DataFrame, own: DataFrame) -> DataFrame:
@@ -210,7 +229,7 @@ def _differences(stars: DataFrame, own: DataFrame) -> DataFrame:
         for batch in batches:
             m, gain, size, lists = [], [], [], []
             for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, y = known(s)[0], known(t)[0]
+                x, y = known(s), known(t)
                 found = np.setxor1d(x, y, assume_unique=True)
                 m.append(len(found))
                 gain.append(len(y) - len(x))
@@ -263,31 +282,47 @@ def _block_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
     of blocks is compared in one place, and many small pairs share a group.  There are as many groups as
     keep each at about GROUP blocks, however large a bucket is.
     """
-    spark = left.sparkSession
-    sizes = materialize(left.groupBy("band").agg(F.count("*").alias("n")).select("band", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    bins = _bins(sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0, partitions(spark))
-    sizes = sizes.select("band", "blocks")
-    rows = left.join(sizes, "band").join(sketches, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "near", "n_set", "registers")
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(bins)))
     limit = THRESHOLD[0] / THRESHOLD[1]
+    # sizes of linked sets lie in one class or in two that adjoin
+    kind = F.floor(F.log(F.col("n_set").cast("double")) / F.lit(-float(np.log(limit))) + F.lit(1e-9)).cast("long")
+    placed = materialize(left.join(sketches.select("rep", "n_set"), "rep").withColumn("kind", kind))
+    sizes = placed.groupBy("band", "kind").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    above = sizes.select("band", (F.col("kind") - 1).alias("kind"), F.col("n").alias("n_above"), F.col("blocks").alias("above"))
+    below = sizes.select("band", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("below"))
+    sizes = sizes.join(above, ["band", "kind"], "left").join(below, ["band", "kind"], "left").fillna(0, ["n_above", "above", "below"])
+    sizes = materialize(sizes)
+    total = sizes.agg(F.sum(F.col("n") * (F.col("blocks") + F.col("above") + F.col("below")))).first()[0] or 0
+    bins = _bins(total, partitions(left.sparkSession))
+    rows = placed.join(sizes.select("band", "kind", "blocks", "above", "below"), ["band", "kind"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # where a block meets another: the classes and numbers of both, the lower class first
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    cell = lambda k1, b1, k2, b2: F.struct(k1.alias("k1"), b1.alias("b1"), k2.alias("k2"), b2.alias("b2"))
+    k, own_block = F.col("kind"), F.col("own")
+    cells = F.concat(
+        F.transform(upto(F.col("blocks")), lambda o: cell(k, F.least(own_block, o), k, F.greatest(own_block, o))),
+        F.transform(upto(F.col("above")), lambda o: cell(k, own_block, k + 1, o)),
+        F.transform(upto(F.col("below")), lambda o: cell(k - 1, o, k, own_block)),
+    )
+    rows = rows.withColumn("cell", F.explode(cells)).join(sketches.select("rep", "registers"), "rep")
+    first = (F.col("cell.k1") == k) & (F.col("cell.b1") == own_block)
+    rows = rows.select(F.xxhash64("band", "cell").alias("key"), first.alias("first"), (F.struct(F.col("cell.k1"), F.col("cell.b1")) == F.struct(F.col("cell.k2"), F.col("cell.b2"))).alias("same"), "rep", "comp", "near", "n_set", "registers")
+    rows = rows.withColumn("bin", F.pmod("key", F.lit(bins)))
 
     def run(table: pa.Table) -> pa.Table:
-        key = np.column_stack([table.column(c).to_numpy() for c in ("band", "lo", "hi")])
-        order = np.lexsort(key.T[::-1])
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
         key = key[order]
-        rep, comp, size, own, near = (table.column(c).to_numpy()[order] for c in ("rep", "comp", "n_set", "own", "near"))
+        rep, comp, size, lower, same, near = (table.column(c).to_numpy()[order] for c in ("rep", "comp", "n_set", "first", "same", "near"))
         sketch_ = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         first, second = [], []
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            lo, hi = key[start, 1], key[start, 2]
             for i in range(start, end):
-                if own[i] != lo:
+                if not lower[i]:
                     continue
                 # within one block every pair once; else this block's members against the other's
-                j = np.arange(i + 1, end) if lo == hi else start + np.flatnonzero(own[start:end] == hi)
+                j = np.arange(i + 1, end) if same[i] else start + np.flatnonzero(~lower[start:end])
                 j = j[(comp[j] != comp[i]) & ~(near[j] & near[i]) & (np.minimum(size[j], size[i]) >= limit * np.maximum(size[j], size[i]))]
                 if len(j):
                     share = (sketch_[j] == sketch_[i]).mean(axis=1)
@@ -332,16 +367,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     popular = members.groupBy("rep").agg(F.sum("n").alias("popular"))
     members = materialize(members.select("band", "rep").distinct().join(popular, "rep"))
     nodes = members.select("rep").distinct()
-    # the texts of members only; a doc_id has several rows here if its texts differ
+    # the texts of members only; a doc_id has several rows here if its texts differ.  Both sides are sorted, at
+    # any size: members grow with the documents, and none of their sides need fit in memory
     own = materialize(
-        texts(docs).join(nodes.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+        texts(docs).join(nodes.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("which")).agg(F.first("text").alias("text")).drop("which")
     )
+    sketches = classes.select("rep", "n_set", "registers")
     comps = None
     hubs = members.groupBy("band").agg(F.max(F.struct("popular", (-F.col("rep")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("a"))
     met = materialize(members.select("band", F.col("rep").alias("b")).join(materialize(hubs), "band").where("a != b"))
     if met.limit(1).count():
-        compared = materialize(_compare(met.select("a", "b").distinct(), own))
+        compared = materialize(_compare(met.select("a", "b").distinct(), own, sketches))
         comps = materialize(components(nodes, compared.where("linked")))
         # links among the members near a hub
         star = compared.where("near").join(comps.select(F.col("rep").alias("b"), "comp"), "b").join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("hub_comp")), "a")
@@ -349,12 +386,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_hubs = star.groupBy("a").agg(F.max("apart").alias("apart"), F.count("*").alias("n")).where("apart and n > 1").select("a")
         more = _near_pairs(materialize(star.join(materialize(open_hubs), "a").select("a", "b", "comp", "unlinked")), own)
         # links among the others of a bucket
-        left = met.join(compared.where("not close").select("a", "b", "near"), ["a", "b"]).select("band", F.col("b").alias("rep"), "near").join(comps, "rep")
+        left = met.join(compared.select("a", "b", "near", "close"), ["a", "b"], "left").where("close is null or not close")
+        left = left.select("band", F.col("b").alias("rep"), F.coalesce("near", F.lit(False)).alias("near")).join(comps, "rep")
         left = materialize(left)
         open_bands = materialize(left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"))
-        sketches = classes.select("rep", "n_set", "registers")
         more = more.unionByName(_block_pairs(materialize(left.join(open_bands, "band")), sketches)).distinct()
-        found = materialize(_compare(materialize(more), own).where("linked"))
+        found = materialize(_compare(materialize(more), own, sketches).where("linked"))
         if found.limit(1).count():
             comps = materialize(components(nodes, compared.where("linked").unionByName(found)))
     placed = classes.select("digest", "rep")
