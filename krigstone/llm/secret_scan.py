@@ -1,8 +1,8 @@
 """Secret scans with a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression gives a Boolean trigram query: a conjunction of clauses, each a
-choice between sets of trigrams of which all must occur.  The index has a posting (trigram,
-doc_id) for every trigram that some rule asks for and some text contains, in lower case.
+choice between sets of trigrams of which all must occur.  The index has postings (trigram, doc_id) for
+the trigrams that the rules ask for and a text contains, in lower case.
 Intersecting the postings by document gives candidate (document, rule) pairs; only these are
 searched with the rule itself.  Rules without mandatory trigrams scan every text.
 
@@ -101,11 +101,21 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 def build_index(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that the rules ask for."""
-    asked = sorted({t for r in rules for c in trigram_query(r.pattern) for s in c for t in s})
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked)))
-    return texts(docs).select("doc_id", F.explode(held).alias("trigram")).select("trigram", "doc_id")
+    """Postings (trigram, doc_id) of the trigrams that the rules ask for.
+
+    A set of trigrams is looked for in order, up to the first that the text lacks: as all of a set must
+    occur, the postings after that would not be intersected.
+    """
+    sets = sorted({tuple(sorted(s)) for r in rules for c in trigram_query(r.pattern) for s in c})
+    low, none = F.lower("text"), F.array().cast("array<string>")
+
+    def held(trigrams: tuple[str, ...]) -> Column:
+        if not trigrams:
+            return none
+        return F.when(F.contains(low, F.lit(trigrams[0])), F.concat(F.array(F.lit(trigrams[0])), held(trigrams[1:]))).otherwise(none)
+
+    found = F.array_distinct(F.flatten(F.array(*map(held, sets))))
+    return texts(docs).select("doc_id", F.explode(found).alias("trigram")).select("trigram", "doc_id")
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
@@ -160,7 +170,7 @@ def find_spans(docs: DataFrame, rules=RULES, name: str = "secret_spans") -> Data
     for k, rule in enumerate(rules):
         sought = F.array_contains(kinds_, rule.kind) if trigram_query(rule.pattern) else F.lit(True)
         each.append(F.when(sought & text.rlike(rule.pattern), _spans(text, rule, k)).otherwise(none))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left")
     return joined.select(*docs.columns, F.sort_array(F.concat(*each)).alias(name))
 
 
