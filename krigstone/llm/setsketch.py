@@ -14,7 +14,9 @@ sorted 64-bit hashes of shingles.
    Where other members of several components are left, their registers are compared in blocks of
    bounded size, and only pairs whose estimate allows a link go on to step 5.  Linked sets differ in size
    by a factor of 0.85 at most, so blocks hold sets of one size class, and meet those of the same class
-   and of the next.
+   and of the next.  Buckets of more than CROWD of them are dealt anew before that, by rare elements: of two
+   linked sets, in any order of all elements, the first 15 % and one element of either have one in common.
+   In order of frequency, rarest first, pages of one template with contents of their own part there.
 4. Links among the members near a hub are found from their differences to it.  Of two linked sets,
    one of them not linked to the hub, the differences share more than about half of either's elements.
    Elements that differ for one member only, or within one component only, can't count; who is left
@@ -52,6 +54,8 @@ CLOSE, NEAR = 0.2, 0.35
 SLACK = 6.0
 #: Members of a bucket that are compared in one place with as many others.
 BLOCK = 512
+#: Members left in a bucket from which on it is dealt anew by rare elements.
+CROWD = 2048
 #: Blocks that meet in one group on average.
 GROUP = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -335,6 +339,34 @@ def _block_pairs(left: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
 
 
+def _by_rare_elements(left: DataFrame, own: DataFrame) -> DataFrame:
+    """left (band, rep, comp, near) of crowded buckets, with elements of the sets in place of bands: each
+    member has a row for every element of its prefix that another member's prefix has as well.
+
+    No pair is settled by a common hub here, as a new bucket's members may come from several old ones.
+    """
+    members = materialize(left.groupBy("rep").agg(F.first("comp").alias("comp")))
+
+    def run(batches):
+        for batch in batches:
+            lists = [shingle_set(t).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.list_(pa.int64())), batch.column(3)], ["rep", "comp", "elements", "which"])
+
+    sets = members.join(own, "rep").select("rep", "comp", "text", F.xxhash64("text").alias("which"))
+    sets = sets.mapInArrow(run, "rep long, comp long, elements array<long>, which long")
+    sets = materialize(sets)
+    each = sets.select("rep", "which", "comp", F.size("elements").alias("n_set"), F.explode("elements").alias("e"))
+    often = materialize(each.groupBy("e").agg(F.count("*").alias("n")))
+    # at most a set's elements in a list
+    placed = each.join(often, "e").groupBy("rep", "which", "comp", "n_set").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("l"))
+    more, whole = THRESHOLD
+    prefix = F.col("n_set") - F.ceil(F.col("n_set") * more / whole).cast("int") + 1
+    kept = placed.select("rep", "comp", F.explode(F.slice("l", F.lit(1), prefix)).alias("x")).where("x.n > 1").select(F.col("x.e").alias("band"), "rep", "comp").distinct()
+    kept = materialize(kept)
+    shared = kept.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    return materialize(kept.join(shared, "band").select("band", "rep", "comp", F.lit(False).alias("near")))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """rep and its component, the least rep that it reaches over edges(a, b).
 
@@ -389,8 +421,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left = met.join(compared.select("a", "b", "near", "close"), ["a", "b"], "left").where("close is null or not close")
         left = left.select("band", F.col("b").alias("rep"), F.coalesce("near", F.lit(False)).alias("near")).join(comps, "rep")
         left = materialize(left)
-        open_bands = materialize(left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"))
-        more = more.unionByName(_block_pairs(materialize(left.join(open_bands, "band")), sketches)).distinct()
+        open_bands = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
+        left = materialize(left.join(materialize(open_bands), "band"))
+        crowded = left.where(F.col("n") > CROWD)
+        left = left.where(F.col("n") <= CROWD).drop("n")
+        if crowded.limit(1).count():
+            left = materialize(left.unionByName(_by_rare_elements(crowded, own)))
+        more = more.unionByName(_block_pairs(left, sketches)).distinct()
         found = materialize(_compare(materialize(more), own, sketches).where("linked"))
         if found.limit(1).count():
             comps = materialize(components(nodes, compared.where("linked").unionByName(found)))
