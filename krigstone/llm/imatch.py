@@ -123,13 +123,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, *columns: str) -> DataFrame:
+def with_next(docs: DataFrame, *columns: str, more=None) -> DataFrame:
     """docs(doc_id, *columns) with next_<column> of the following doc_id, the first after the last.
 
     Rows are dealt into ranges of doc_id.  Within a range a window finds the next row; the last row
     of a range takes the first of the next range that has rows, from a table of one row a range.
+    more(frame) adds columns that follow from the others; they come along, with their next_ as well.
     """
-    spark = docs.sparkSession
+    spark, more = docs.sparkSession, more or (lambda frame: frame)
     parts = 4 * partitions(spark)
     # one number for each range; only the evenness of the ranges depends on them
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))})
@@ -139,17 +140,21 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
     dealt = docs.withColumn("_coarse", F.greatest(below(longs([x[0] for x in fine if x])) - 1, F.lit(0)))
     dealt = dealt.withColumn("_range", F.col("_coarse") * group + below(F.get(F.array(*map(longs, fine)), F.col("_coarse")))).drop("_coarse")
-    row = F.struct("doc_id", *columns)
-    within = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), *columns)
-    inner = dealt.withColumn("_follows", F.lead(row).over(within))
+    # the heads get their further columns after they are found, a row a range
+    heads = dealt.groupBy("_range").agg(F.min(F.struct("doc_id", *columns)).alias("_head"))
+    heads = more(heads.select("_range", "_head.*"))
+    carried = [c for c in heads.columns if c not in ("_range", "doc_id")]
+    row = F.struct("doc_id", *carried)
     over_ranges = Window.partitionBy(F.lit(0)).orderBy("_range")
     everything = over_ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = dealt.groupBy("_range").agg(F.min(row).alias("_head"))
+    heads = heads.select("_range", row.alias("_head"))
     heads = heads.select("_range", F.coalesce(F.lead("_head").over(over_ranges), F.first("_head").over(everything)).alias("_after"))
+    within = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), *columns)
+    inner = more(dealt).withColumn("_follows", F.lead(row).over(within))
     # the rows are dealt by range already, so that this join moves the heads only
     joined = inner.join(heads, "_range", "left")
     follows = F.coalesce("_follows", "_after")
-    return joined.select(*docs.columns, *(follows[c].alias(f"next_{c}") for c in columns))
+    return joined.select("doc_id", *carried, *(follows[c].alias(f"next_{c}") for c in carried))
 
 
 def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -157,7 +162,7 @@ def compare_edits(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     base = texts(docs)
     words = lexicon(base, low, high)
     # each text's own fingerprint travels with it, and serves the document before it as well
-    pairs = with_next(fingerprints(base, words, "own", "text"), "text", "own")
+    pairs = with_next(base, "text", more=lambda frame: fingerprints(frame, words, "own", "text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
