@@ -116,6 +116,79 @@ def test_long_chains(spark):
     assert [(r["turn"], r["thread"], r["depth"]) for r in found] == [(i, 0, i) for i in range(40)]
 
 
+def plain_replies(messages):
+    """(conv_id, turn) -> (own text, parent, number of passages, of linked ones), by comparing every passage with
+    every earlier message; messages: (conv_id, turn, text), whole passages or units only."""
+    import re
+
+    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    ends = re.compile(r"[.!?…]+[\"'”’»)\]]*(?:\s+|$)|[。！？]|\n\s*\n")
+    parts = lambda x: [x, *re.split(r"\n\s*\n", x), *x.split("\n"), *ends.split(x)]
+    out, by_conv = {}, {}
+    for conv, turn, text in messages:
+        by_conv.setdefault(conv, []).append((turn, text or ""))
+    for conv, rows in by_conv.items():
+        earlier = []  # (turn, normalised units)
+        for turn, text in sorted(rows):
+            own, passages = [], []
+            for line in text.split("\n"):
+                signs = re.match(r"[ \t]*((?:>[ \t]?)*)", line)
+                level, body = signs[1].count(">"), line[signs.end() :] if ">" in signs[1] else line
+                if level and passages and passages[-1][2] and passages[-1][0] == level:
+                    passages[-1][1].append(body)
+                elif level:
+                    if own and not (passages and passages[-1][2]) and own[-1].endswith("wrote:"):
+                        own.pop()
+                    passages.append([level, [body], True])
+                else:
+                    if passages:
+                        passages[-1][2] = False
+                    own.append(body)
+            met = []
+            for place, (level, lines, _) in enumerate(passages):
+                best = {}
+                for unit in parts("\n".join(lines).strip()):
+                    if (key := plain(unit)) and key not in best:
+                        best[key] = len(unit)
+                for key, size in best.items():
+                    parent = next((t for t, units in earlier if key in units), None)
+                    if parent is not None:
+                        met.append((level, -size, place, parent))
+            body = "\n".join(own).strip()
+            out[conv, turn] = body, min(met)[3] if met else None, len([1 for _, lines, _ in passages if True]), len({m[2] for m in met})
+            earlier.append((turn, {plain(u) for u in parts(body)}))
+    return out
+
+
+def test_replies_equal_brute_force(spark):
+    """Conversations with quotations in three of four later turns."""
+    made = llm_queries.quoting(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()
+    want = plain_replies([(r["conv_id"], r["turn"], r["text"]) for r in made])
+    found = quotations.reply_ordered(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == len(made) and sum(r["n_linked"] for r in found) > len(made) / 3 and max(r["depth"] for r in found) > 1
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["parent_turn"], r["n_quotes"], r["n_linked"]) for r in found}
+    wrong = {k: (got[k], want[k]) for k in want if got[k] != want[k]}
+    assert not wrong, list(wrong.items())[:3]
+    # threads in order: a message follows its parent
+    seen = set()
+    for r in sorted(found, key=lambda r: (r["conv_id"], r["thread"], r["turn"])):
+        assert r["parent_turn"] is None or (r["conv_id"], r["parent_turn"]) in seen
+        seen.add((r["conv_id"], r["turn"]))
+
+
+def test_a_passage_that_all_quote(spark):
+    """One conversation in which 4000 messages quote the first one."""
+    opening = "The plan is to meet at the old bridge at noon. Bring the long rope."
+    rows = [(7, 0, "user", opening)] + [(7, i, "user", f"> {opening}\nanswer {i}") for i in range(1, 4001)]
+    found = quotations.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == 4001 and all(r["parent_turn"] == 0 and r["text"] == f"answer {r['turn']}" for r in found if r["turn"])
+
+
+def test_long_attributions():
+    name = "A person with a very long name, " * 20
+    assert quotations.split_quotes(f"{name} wrote on Monday:\n> one\nmore") == ("more", [(1, "one")])
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_against_sql(spark, name):
     found = llm_queries.queries()[name](spark, SMALL).toPandas()
