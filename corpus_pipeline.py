@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet in the shared folder and reads it as the next stage's docs.  All but the last return the
 columns of documents.
+
+Defined results: a null text is scored, encoded and counted as the empty text and stays null until it is
+encoded; a null doc_id is linked with nothing and stays; a null source is a source of its own; rows that repeat
+a doc_id and a set of shingles stay once; other columns, null or not, are carried untouched, but for n_chars
+of masked texts; empty tables give empty results.
 """
 
 from __future__ import annotations
