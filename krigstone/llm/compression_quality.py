@@ -2,13 +2,13 @@
 
 One zstandard dictionary is built from good and one from bad labelled texts.  Every whole text
 is compressed with each.  The difference of the two sizes, normalised by the length of the text, is
-the only input of the score; a logistic calibration on other labelled texts maps it to (0, 1).
+the only input of the score; a logistic calibration maps it to (0, 1).
 
-The fit uses a bounded sample of labelled rows: at most ``per_class`` rows a class for the
-dictionaries and ``calibration`` rows a class for the calibration, in the order of a digest of their
-doc_id, of those with a text of 1 to ``most_bytes`` bytes.  Texts are whole wherever they are used.  The
-driver receives those of the dictionaries only, at most 2 * per_class * most_bytes bytes and in general
-some MB; for the calibration it receives a number for each row.
+The fit uses a bounded sample of labelled rows: at most ``per_class`` rows a class, in the order of a
+digest of their doc_id, of those with a text of 1 to ``most_bytes`` bytes.  Texts are whole wherever they
+are used.  The driver receives at most 2 * per_class * most_bytes bytes (192 MB) of them, in general some
+MB.  The calibration is fitted to differences of texts that were not in the dictionaries: each half of the
+sample is compressed with dictionaries of the other half.
 
 Defined results: a null or empty text has the difference 0 and the score of that; if a class has fewer
 than MIN_TEXTS sampled texts, every score is the share of good labels (0.5 without labels); repeated
@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-PER_CLASS = 1000
-CALIBRATION = 6000
+PER_CLASS = 3000
 MOST_BYTES = 32 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-MIN_TEXTS = 8
+MIN_TEXTS = 16
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -51,9 +50,8 @@ def _compressors(dictionaries):
     return out
 
 
-def _difference(compressors, text: str) -> float:
+def _difference(compressors, data: bytes) -> float:
     """How many bytes the dictionary of good texts saves over the other, for each byte of the text."""
-    data = text.encode("utf-8", "replace")
     good, bad = (len(c.compress(data)) for c in compressors)
     return (bad - good) / (len(data) + 16)
 
@@ -82,21 +80,8 @@ def _dictionary(rows: list[bytes]) -> bytes:
         return b"".join(rows)[-size:]
 
 
-def _differences(rows: DataFrame, dictionaries: list[bytes]) -> DataFrame:
-    """quality and difference of rows(quality, text)."""
-    sent = rows.sparkSession.sparkContext.broadcast(dictionaries)  # of at most DICTIONARY_BYTES each
-
-    def run(batches):
-        compressors = _compressors(sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_difference(compressors, t) for t in batch.column(1).to_pylist()], pa.float64())], ["quality", "difference"])
-
-    return rows.select("quality", "text").mapInArrow(run, "quality int, difference double")
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, calibration=CALIBRATION, most_bytes=MOST_BYTES) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, most_bytes=MOST_BYTES) -> dict:
     """A model of bounded size from rows outside the held-out fold."""
-    spark = docs.sparkSession
     marked = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -104,35 +89,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, calibration=CAL
     )
     count = {q: int(n) for q, n in marked.groupBy("quality").count().collect()}
     share = (count.get(1, 0) / sum(count.values())) if count else 0.5
-    size, which = F.octet_length("text"), F.xxhash64("text").alias("which")
-    eligible = texts(docs).where((size > 0) & (size <= most_bytes))
-    most = per_class + calibration
-    keys = {}
+    size = F.octet_length("text")
+    eligible = texts(docs).where((size > 0) & (size <= most_bytes)).withColumn("which", F.xxhash64("text"))
+    keys = []
     for q in (0, 1):
         # candidates among the labels, bounded before the join; ids of sampled rows, bounded after it
-        chosen = marked.where(F.col("quality") == q).distinct().orderBy("turn", "doc_id").limit(2 * most)
-        rows = eligible.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", which).distinct()
-        keys[q] = [tuple(r) for r in rows.orderBy("turn", "doc_id", "which").limit(most).select("doc_id", "which").collect()]
-    # small samples are halved between the two uses
-    cut = {q: min(per_class, len(rows) // 2) for q, rows in keys.items()}
-    if min(cut.values()) < MIN_TEXTS:
+        chosen = marked.where(F.col("quality") == q).distinct().orderBy("turn", "doc_id").limit(2 * per_class)
+        rows = eligible.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "which").distinct()
+        keys += [(r["doc_id"], r["which"], q, i) for i, r in enumerate(rows.orderBy("turn", "doc_id", "which").limit(per_class).collect())]
+    if min(sum(k[2] == q for k in keys) for q in (0, 1)) < MIN_TEXTS:
         return {"share": share}
-
-    def rows_of(part) -> DataFrame:
-        """quality and text, one for each key; part gives a bounded list of keys of each class."""
-        wanted = spark.createDataFrame([(*k, q) for q in (0, 1) for k in part(q)], "doc_id long, which long, quality int")
-        found = eligible.withColumn("which", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "which"])
-        return found.dropDuplicates(["doc_id", "which", "quality"]).select("quality", "text")
-
-    sample = sorted((r["quality"], r["text"].encode("utf-8", "replace")) for r in rows_of(lambda q: keys[q][: cut[q]]).collect())
-    dictionaries = [_dictionary([t for x, t in sample if x == q]) for q in (1, 0)]
-    rest = _differences(rows_of(lambda q: keys[q][cut[q] :]), dictionaries).toPandas().sort_values(["quality", "difference"])
-    x, y = rest.difference.to_numpy(), rest.quality.to_numpy(float)
-    weight = _calibrate(x, y)
+    wanted = docs.sparkSession.createDataFrame(keys, "doc_id long, which long, quality int, turn int")
+    found = eligible.join(F.broadcast(wanted), ["doc_id", "which"]).dropDuplicates(["doc_id", "which", "quality"])
+    sample = sorted((r["quality"], r["turn"], r["text"].encode("utf-8", "replace")) for r in found.select("quality", "turn", "text").collect())
+    rows = {q: [t for x, _, t in sample if x == q] for q in (0, 1)}
+    x, y = [], []
+    for k in (0, 1):  # the halves alternate in the order of the sample
+        compressors = _compressors([_dictionary(rows[q][1 - k :: 2]) for q in (1, 0)])
+        for q in (0, 1):
+            x += [_difference(compressors, t) for t in rows[q][k::2]]
+            y += [float(q)] * len(rows[q][k::2])
+    weight = _calibrate(np.array(x), np.array(y))
     # the sample is nearer to balance than the table: shift the intercept to the table's odds
-    have, true = np.clip(y.mean(), 1e-6, 1 - 1e-6), np.clip(share, 1e-6, 1 - 1e-6)
+    have, true = np.clip(np.mean(y), 1e-6, 1 - 1e-6), np.clip(share, 1e-6, 1 - 1e-6)
     weight[0] += np.log(true / (1 - true)) - np.log(have / (1 - have))
-    return {"share": share, "dictionaries": dictionaries, "weights": weight.tolist()}
+    return {"share": share, "dictionaries": [_dictionary(rows[q]) for q in (1, 0)], "weights": weight.tolist()}
 
 
 def _score(x: list[float], weights) -> np.ndarray:
@@ -149,7 +130,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         compressors = _compressors(sent.value["dictionaries"])
         for batch in batches:
-            found = _score([_difference(compressors, t) for t in batch.column(1).to_pylist()], sent.value["weights"])
+            found = _score([_difference(compressors, t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()], sent.value["weights"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=schema)
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -175,7 +156,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     def run(batches):
         compressors = _compressors(sent.value["dictionaries"])
         for batch in batches:
-            found = _score([_difference(compressors, t or "") for t in batch.column(place).to_pylist()], sent.value["weights"])
+            found = _score([_difference(compressors, (t or "").encode("utf-8", "replace")) for t in batch.column(place).to_pylist()], sent.value["weights"])
             yield batch.filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
