@@ -23,7 +23,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts
 
 #: Entries of a worker's memo of pre-tokens; two generations of this size are kept.
 MEMO = 400_000
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [codec.encode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -193,7 +193,7 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches):
         codec = _codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             out = [codec.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
@@ -208,7 +208,7 @@ def digests(docs: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches):
         codec = _codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = codec.encode(text)

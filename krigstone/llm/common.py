@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "materialize", "partitions", "shared_dir", "table", "texts", "unused"]
+__all__ = ["SPACE", "WORD", "materialize", "partitions", "shared_dir", "slices", "table", "texts", "unused"]
 
 #: White space that separates words, and its complement, as Java and RE2 regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,3 +33,10 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def slices(batches, rows: int = 500):
+    """Parts of Arrow batches, so that a task holds Python objects for so many rows only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

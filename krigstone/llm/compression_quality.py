@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 PER_CLASS = 3000
 MOST_BYTES = 32 << 10
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         compressors = _compressors(sent.value["dictionaries"])
-        for batch in batches:
+        for batch in slices(batches):
             found = _score([_difference(compressors, t.encode("utf-8", "replace")) for t in batch.column(1).to_pylist()], sent.value["weights"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=schema)
 
@@ -155,7 +155,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches):
         compressors = _compressors(sent.value["dictionaries"])
-        for batch in batches:
+        for batch in slices(batches):
             found = _score([_difference(compressors, (t or "").encode("utf-8", "replace")) for t in batch.column(place).to_pylist()], sent.value["weights"])
             yield batch.filter(pa.array(found >= threshold))
 

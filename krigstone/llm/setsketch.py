@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, texts, unused
+from .common import materialize, partitions, slices, texts, unused
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -150,7 +150,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         import hashlib
 
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, bands, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text)
@@ -179,7 +179,7 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(each("b"), "b").join(each("a"), "a")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for n_a, n_b, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 j, error = estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n_a, n_b)
@@ -194,13 +194,15 @@ class _Known:
 
     def __init__(self):
         self.last: dict[str, np.ndarray] = {}
-        self.room = 1 << 22  # elements, besides the last set
+        self.held = 0  # elements, at most 2**17 besides the last set
 
     def __call__(self, text: str) -> np.ndarray:
         if text not in self.last:
-            if sum(map(len, self.last.values())) > self.room:
+            if self.held > 1 << 17:
                 self.last.clear()
+                self.held = 0
             self.last[text] = shingle_set(text)
+            self.held += len(self.last[text])
         return self.last[text]
 
 
@@ -210,7 +212,7 @@ def _compare(pairs: DataFrame, own: DataFrame, sketches: DataFrame) -> DataFrame
 
     def run(batches):
         known = _Known()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = known(s), known(t)
@@ -230,7 +232,7 @@ def _differences(stars: DataFrame, own: DataFrame) -> DataFrame:
 
     def run(batches):
         known = _Known()
-        for batch in batches:
+        for batch in slices(batches):
             m, gain, size, lists = [], [], [], []
             for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 x, y = known(s), known(t)
@@ -348,7 +350,7 @@ def _by_rare_elements(left: DataFrame, own: DataFrame) -> DataFrame:
     members = materialize(left.groupBy("rep").agg(F.first("comp").alias("comp")))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lists = [shingle_set(t).view(np.int64) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.list_(pa.int64())), batch.column(3)], ["rep", "comp", "elements", "which"])
 
@@ -463,7 +465,7 @@ def _one_a_set(docs: DataFrame) -> DataFrame:
     def run(batches):
         import hashlib
 
-        for batch in batches:
+        for batch in slices(batches):
             digests = [hashlib.blake2b(shingle_set(t).tobytes(), digest_size=16).digest() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary())], ["doc_id", row, digest])
 
