@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "materialize", "partitions", "shared_dir", "slices", "table", "texts", "unused"]
+__all__ = ["SPACE", "WORD", "by_bytes", "materialize", "partitions", "shared_dir", "slices", "table", "texts", "unused"]
 
 #: White space that separates words, and its complement, as Java and RE2 regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,3 +41,15 @@ def slices(batches, rows: int = 500):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def by_bytes(batches, column: str, most: int):
+    """Parts of Arrow batches with at most so many bytes in a string or binary column, or one row."""
+    for batch in batches:
+        values = batch.column(column)
+        bounds = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        at = 0
+        while at < len(values):
+            end = max(at + 1, int(np.searchsorted(bounds, int(bounds[at]) + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end

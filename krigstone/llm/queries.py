@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch
+from . import bpe, compression_quality, fill_middle, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch
 from .common import table
 
 
@@ -80,6 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -116,10 +120,10 @@ FROM rated
 def queries() -> dict:
     found = (
         op1_html, op2_media, op3_secrets, op4_bpe, op5_quotations, op6_imatch, op7_near_duplicates, op8_quality,
-        op9_substrings, op10_mixing, quotations_in_replies,
+        op9_substrings, op10_mixing, op13_fill_middle, quotations_in_replies,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": secret_scan.scan_sql(), "op10_mixing": OP10_SQL}
+    return {"op3_secrets": secret_scan.scan_sql(), "op10_mixing": OP10_SQL, "op13_fill_middle": fill_middle.SQL}
