@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, fill_middle, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch
+from . import bpe, compression_quality, fill_middle, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch, token_alignment
 from .common import table
 
 
@@ -80,6 +80,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN, public.path("piece_bpe_32k.model"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -120,7 +126,7 @@ FROM rated
 def queries() -> dict:
     found = (
         op1_html, op2_media, op3_secrets, op4_bpe, op5_quotations, op6_imatch, op7_near_duplicates, op8_quality,
-        op9_substrings, op10_mixing, op13_fill_middle, quotations_in_replies,
+        op9_substrings, op10_mixing, op12_alignment, op13_fill_middle, quotations_in_replies,
     )
     return {f.__name__: f for f in found}
 
