@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import _new_table as new_table
 from ..storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "by_bytes", "materialize", "partitions", "shared_dir", "slices", "table", "texts", "unused"]
+__all__ = ["SPACE", "WORD", "bucketed", "by_bytes", "materialize", "partitions", "shared_dir", "slices", "table", "texts", "unused"]
 
 #: White space that separates words, and its complement, as Java and RE2 regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -53,3 +56,16 @@ def by_bytes(batches, column: str, most: int):
             end = max(at + 1, int(np.searchsorted(bounds, int(bounds[at]) + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def bucketed(df: DataFrame, n: int, by: str) -> DataFrame:
+    """df as a table in the shared folder with n buckets, so that joins and groups by this column don't move it.
+
+    Spark knows buckets of tables in the catalog only; the name is taken out again at once, and the
+    files stay until ``remove_tables``.
+    """
+    spark, name = df.sparkSession, f"buckets_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, by).option("path", new_table(spark)).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression_quality, fill_middle, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch, token_alignment
+from . import bpe, compression_quality, cover_dedup, fill_middle, html_extract, imatch, media_chunks, mixing, quotations, secret_scan, seed_extend, setsketch, token_alignment
 from .common import table
 
 
@@ -80,6 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -126,7 +130,7 @@ FROM rated
 def queries() -> dict:
     found = (
         op1_html, op2_media, op3_secrets, op4_bpe, op5_quotations, op6_imatch, op7_near_duplicates, op8_quality,
-        op9_substrings, op10_mixing, op12_alignment, op13_fill_middle, quotations_in_replies,
+        op9_substrings, op10_mixing, op11_suffix_dedup, op12_alignment, op13_fill_middle, quotations_in_replies,
     )
     return {f.__name__: f for f in found}
 
