@@ -10,9 +10,10 @@ Inline elements are part of their block.  A block's text has its character refer
 white space turned into single spaces; empty blocks are left out; the others are joined in page
 order by an empty line.
 
-Defined results: a null or empty page has the empty text, so has a page without main blocks; markup
-that is cut off or badly nested is closed where a browser would; text and elements outside a body, also
-behind its end, belong to the body, which opens by itself; repeated rows give repeated results; an empty table gives an empty result; columns
+Defined results: a null or empty page has the empty text, so has a page without main blocks; badly nested
+markup is closed where a browser would; a tag, comment or declaration that is cut off goes with all
+behind it, so does raw text without an end tag; text and elements outside a body, also behind its end, belong
+to the body, which opens by itself; repeated rows give repeated results; an empty table gives an empty result; columns
 other than page_id, url and html are ignored.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title svg math iframe object canvas textarea select option button audio video datalist".split())
+DROPPED = frozenset("script style noscript template head title svg math iframe object canvas textarea select option button audio video datalist noembed noframes".split())
+#: Elements whose content is text up to their end tag, whatever it looks like.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul ins center".split()
@@ -49,20 +52,135 @@ BREAKS = frozenset(
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 
-class Page(HTMLParser):
+def tokens(html: str):
+    """Markup and text of a page, as browsers tell them apart: ("text", text), ("start", name, attributes, closed by a
+    slash) or ("end", name).  Comments, declarations and what is cut off within a tag or comment have no token.
+
+    A generator that is sent True after a start reads on as raw text, up to the end tag of that name.
+    """
+    at = begin = 0  # the next place to look at, and the start of the text before it
+    n = len(html)
+    while (found := html.find("<", at)) >= 0:
+        after = html[found + 1 : found + 2]
+        if after.isascii() and after.isalpha():
+            end = _tag_end(html, found + 1)
+            kind = "start"
+        elif after == "/" and found + 2 < n:
+            letter = html[found + 2]
+            end = _tag_end(html, found + 2) if letter.isascii() and letter.isalpha() else html.find(">", found + 2) + 1
+            kind = "end" if letter.isascii() and letter.isalpha() else "none"
+        elif after in ("!", "?"):
+            end, kind = _comment_end(html, found), "none"
+        else:
+            at = found + 1
+            continue
+        if begin < found:
+            yield "text", unescape(html[begin:found])
+        if end <= 0:
+            return  # cut off within markup
+        at = begin = end
+        if kind == "start":
+            name, attributes, slash = _tag(html, found + 1, end - 1)
+            if (yield "start", name, attributes, slash):
+                close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I | re.A).search(html, end)
+                at = begin = close.start() if close else n
+        elif kind == "end":
+            yield "end", NAME.match(html, found + 2)[0].translate(LOWER)
+    if begin < n:
+        yield "text", unescape(html[begin:])
+
+
+NAME = re.compile(r"[^\x20\t\n\r\f/>]+")
+ATTRIBUTE = re.compile(r"[\x20\t\n\r\f/]*([^\x20\t\n\r\f/>][^\x20\t\n\r\f/>=]*)(?:[\x20\t\n\r\f]*=[\x20\t\n\r\f]*(\"|'|[^\x20\t\n\r\f>\"'][^\x20\t\n\r\f>]*)?)?")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _attributes(html: str, at: int):
+    """(name, value) of a tag from behind its name on, and last (None, the place behind its end, or 0)."""
+    while True:
+        found = ATTRIBUTE.match(html, at)
+        if not found:
+            end = html.find(">", at)
+            yield None, end + 1
+            return
+        value, at = found[2], found.end()
+        if value in ('"', "'"):
+            end = html.find(value, at)
+            if end < 0:
+                yield None, 0
+                return
+            value, at = html[at:end], end + 1
+        yield found[1].translate(LOWER), value
+
+
+def _tag_end(html: str, at: int) -> int:
+    """The place behind the end of the tag whose name starts at a place; 0 if it is cut off."""
+    name = NAME.match(html, at).end()
+    close = html.find(">", name)
+    if close < 0:
+        return 0
+    if not any(q in html[name:close] for q in "\"'"):
+        return close + 1
+    for key, value in _attributes(html, name):
+        if key is None:
+            return value
+    return 0
+
+
+def _tag(html: str, at: int, close: int) -> tuple[str, dict, bool]:
+    """Name, attributes (the first of each name) and whether a slash ends it, of a tag up to its >."""
+    name = NAME.match(html, at)
+    found: dict[str, str] = {}
+    if name.end() < close:
+        for key, value in _attributes(html, name.end()):
+            if key is not None:
+                found.setdefault(key, unescape(value or ""))
+    return name[0].translate(LOWER), found, html[close - 1] == "/"
+
+
+def _comment_end(html: str, at: int) -> int:
+    """The place behind a comment or declaration; 0 if it is cut off."""
+    if not html.startswith("<!--", at):
+        return html.find(">", at) + 1
+    if html.startswith((">", "->"), at + 4):
+        return html.index(">", at) + 1
+    found = re.compile("--!?>").search(html, at + 4)
+    return found.end() if found else 0
+
+
+class Page:
     """Block nodes in page order (parents first), and runs of text with the node they belong to."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.words, self.labels = ["#root"], [-1], [()], [None]
         self.open = [("#root", 0)]  # names of open elements, with the node each is in
-        self.held: dict[str, int] = {}  # how many are open of each name
+        self.places: dict[str, list[int]] = {}  # where those of each name are in open
+        self.blocks = [0]  # where the open blocks are
         self.runs: list[tuple[int, int, bool, str]] = []  # node, block number, inside a link, text
         self.block, self.links, self.dropped = 0, 0, 0
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
+        found = tokens(html)
+        raw = None
+        while True:
+            try:
+                kind, *rest = found.send(raw)
+            except StopIteration:
+                break
+            raw = None
+            if kind == "text":
+                self._text(*rest)
+            elif kind == "end":
+                self._end(*rest)
+            else:
+                name, attributes, slash = rest
+                foreign = any(self.places.get(f) for f in FOREIGN)
+                self._start(name, attributes)
+                # as browsers do, a slash closes svg, math and what they hold, but no other element
+                if slash and self.open[-1][0] == name and (name in FOREIGN or foreign):
+                    self._pop_to(len(self.open) - 1)
+                else:
+                    raw = name in RAW and (not foreign or name in ("script", "style"))
+
+    def _start(self, tag, attributes):
         if self.dropped:
             if tag not in HEADS:
                 self._end_head()
@@ -72,12 +190,12 @@ class Page(HTMLParser):
             if tag in DROPPED or tag in WITHIN:
                 self._push(tag, self.open[-1][1])
             return
-        if tag in ("html", "body") and self.held.get(tag):
+        if tag in ("html", "body") and self.places.get(tag):
             return  # there is one of each
         if tag not in HEADS and tag not in ("html", "body"):
             self._in_body()
-        if tag in ENDS_P:
-            self._close_within("p", BLOCKS - {"p"})
+        if tag in ENDS_P and self.open[self.blocks[-1]][0] == "p":
+            self._pop_to(self.blocks[-1])
         for name in CLOSES.get(tag, ()):
             self._close_within(name, HOLDS[tag])
         if tag in VOID:
@@ -89,10 +207,9 @@ class Page(HTMLParser):
         node = self.open[-1][1]
         if tag in BLOCKS:
             self.block += 1
-            named = dict(attrs)
-            self.labels.append(named.get("data-main"))
-            hidden = "hidden" in named or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style") or "")
-            said = " ".join(str(named.get(k) or "") for k in ("class", "id", "role", "aria-label"))
+            self.labels.append(attributes.get("data-main"))
+            hidden = "hidden" in attributes or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or "")
+            said = " ".join(attributes.get(k) or "" for k in ("class", "id", "role", "aria-label"))
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower())
             self.tags.append(tag)
             self.parents.append(node)
@@ -100,30 +217,21 @@ class Page(HTMLParser):
             node = len(self.tags) - 1
         self._push(tag, node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        # as browsers do, a slash closes svg, math and what they hold, but no other element
-        if self.open[-1][0] == tag and (tag in FOREIGN or self.open[-2][0] in FOREIGN):
-            self._pop_to(len(self.open) - 1)
-
-    def handle_endtag(self, tag):
+    def _end(self, tag):
         if tag in ("html", "body"):  # what follows is put back into the body
             self.block += 1
             return
         if tag == "br":
-            self.handle_starttag("br", [])
+            self._start("br", {})
             return
-        if not self.held.get(tag):
+        if not self.places.get(tag):
             self.block += tag == "p" and not self.dropped
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._pop_to(at)
-                return
-            if tag not in BLOCKS and tag not in DROPPED and self.open[at][0] in BLOCKS:
-                return  # an inline end tag doesn't close blocks
+        at = self.places[tag][-1]
+        if tag in BLOCKS or tag in DROPPED or at > self.blocks[-1]:  # an inline end tag doesn't close blocks
+            self._pop_to(at)
 
-    def handle_data(self, data):
+    def _text(self, data):
         if data.strip():
             self._end_head()
             if not self.dropped:
@@ -136,32 +244,33 @@ class Page(HTMLParser):
             self._pop_to(len(self.open) - 1)
 
     def _in_body(self):
-        if not self.held.get("body"):
-            self.handle_starttag("body", [])
+        if not self.places.get("body"):
+            self._start("body", {})
 
     def _push(self, tag, node):
+        at = len(self.open)
         self.open.append((tag, node))
-        self.held[tag] = self.held.get(tag, 0) + 1
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
         self.links += tag == "a"
         self.dropped += tag in DROPPED
 
     def _pop_to(self, at):
         while len(self.open) > at:
             tag, _ = self.open.pop()
-            self.held[tag] -= 1
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
             self.links -= tag == "a"
             self.dropped -= tag in DROPPED
             self.block += tag in BLOCKS
 
     def _close_within(self, name, until):
-        if not self.held.get(name):
-            return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == name:
-                self._pop_to(at)
-                return
-            if self.open[at][0] in until:
-                return
+        """Closes the last open element of a name, unless one of the others was opened after it."""
+        last = lambda x: (self.places.get(x) or [-1])[-1]
+        if last(name) > max(map(last, until)):
+            self._pop_to(last(name))
 
 
 def features(page: Page) -> list[list[str]]:
@@ -368,9 +477,16 @@ def labelled_page(seed: int) -> str:
         cells = [f'<td{named("menu nav links left right side", 0.5)} data-main="0">{rng.choice(("<br>", " | ", "<p>")).join(link() for _ in range(rng.randint(2, 8)))}</td>']
         cells.insert(rng.randint(0, 1), f'<td{named(MAIN[1], 0.5)} data-main="1">{title}{"".join(inner)}</td>')
         return f'{head}<body data-main="0"><table>{rng.choice(("", f"<tr><td data-main=0 colspan=2>{link()} {word()}</td></tr>"))}<tr>{"".join(cells)}</tr></table></body></html>'
+    if layout < 0.25:  # elements without names
+        around = lambda made: "".join(f"<div>{x}</div>" for x in made)
+        menu = f'<div data-main="0">{rng.choice((around, " ".join, lambda made: around([" | ".join(made)])))([link() for _ in range(rng.randint(2, 8))])}</div>'
+        written = f'<div data-main="1">{rng.choice((title, f"<div>{sentence()}</div>"))}{around(prose() for _ in range(rng.randint(1, 6)))}</div>'
+        below = rng.choice(("", f'<div data-main="0">{around([link(), f"{word()} {word()}"])}</div>', f'<div data-main="0">{word()} {link()}</div>'))
+        body = rng.choice((menu + written + below, written + menu + below))
+        return f'{rng.choice((head, ""))}<body data-main="0">{rng.choice((body, f"<div>{body}</div>"))}</body></html>'
     tag = rng.choice(MAIN[0].split())
     main = f'<{tag}{named(MAIN[1], 0.5 if tag in ("article", "main") else 1)} data-main="1">{title}{"".join(inner)}</{tag}>'
-    if layout < 0.25:  # more than one container
+    if layout < 0.29:  # more than one container
         main += f'<{tag}{named(MAIN[1], 0.5)} data-main="1">{"".join(block() for _ in range(3))}</{tag}>'
     body = "".join(before) + main + "".join(after)
     for _ in range(rng.choice((0, 1, 2))):

@@ -74,21 +74,37 @@ PAGES = [
 ]
 
 
+#: Written after the trainer was last changed, and not used to change it.
+FRESH = [
+    (f'<body><div class="wrapper"><div class="sidebar-left"><h4>Topics</h4><a href=1>One</a><br><a href=2>Two</a></div><div class="story-body"><h1>The old bridge</h1><p>{S}</p><p>{T}</p></div></div></body>', ["The old bridge", S, T]),
+    (f'<body><p><a href=1>Home</a> &gt; <a href=2>Bridges</a></p><h2>The old bridge</h2><p>{S}</p><p>{U}</p><p><a href=3>Next</a></p></body>', ["The old bridge", S, U]),
+    (f'<div id="app"><header role="banner"><a href=/>Site</a></header><main><article><header><h1>The old bridge</h1><p class="byline">By me</p></header><p>{S}</p><p>{T}</p></article></main></div>', ["The old bridge", S, T]),
+    (f'<body><center><h1>Old bridge</h1></center><p>{S}<p>{T}<p>{U}<hr><address>me at home</address></body>', ["Old bridge", S, T, U]),
+    (f'<body><form action=search><input><button>Search</button></form><div class="article-text"><p>{S}</p><ul><li>{T}</li><li>{U}</li></ul></div><div class="social-icons"><a href=1>a</a></div></body>', [S, T, U]),
+    (f'<body><article class="recipe"><h1>Soup</h1><p>{S}</p><h2>What you need</h2><ul><li>Water</li><li>Salt</li></ul><p>{T}</p></article><div class="comments-area"><h3>2 replies</h3><p>{U}</p></div></body>', ["Soup", S, "What you need", "Water", "Salt", T]),
+    (f'<body><div class="page"><div class="breadcrumbs"><a href=1>Home</a></div><div class="text"><div>{S}</div><div>{T}</div></div><div class="cookie-consent">We store things. <a href=2>More</a></div></div></body>', [S, T]),
+    (f'<table width=100%><tr><td colspan=2><a href=1>Home</a> | <a href=2>Map</a></td></tr><tr><td><a href=3>One</a><br><a href=4>Two</a></td><td><h1>Old bridge</h1>{S}<br>{T}</td></tr></table>', ["Old bridge", f"{S} {T}"]),
+    (f'<body><section id="post-17"><h1>Old bridge</h1><p>{S}</p><figure><img src=x><figcaption>The bridge.</figcaption></figure><p>{T}</p></section><nav class="pagination"><a href=1>Older</a></nav></body>', ["Old bridge", S, "The bridge.", T]),
+    (f'<body><div><h1>Old bridge</h1></div><div><p>{S}</p></div><div><p>{T}</p></div><div><p><a href=1>Imprint</a> <a href=2>Contact</a></p></div></body>', ["Old bridge", S, T]),
+]
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return html_extract.train(html_extract.labelled_pages(spark))
 
 
-def test_accuracy_on_other_layouts(model):
+@pytest.mark.parametrize("pages", [PAGES, FRESH])
+def test_accuracy_on_other_layouts(model, pages):
     wrong = []
     hit = found = there = 0
-    for html, want in PAGES:
+    for html, want in pages:
         got = html_extract.main_text(html, model)
         blocks = got.split("\n\n") if got else []
         hit, found, there = hit + len(set(blocks) & set(want)), found + len(blocks), there + len(want)
         if blocks != want:
             wrong.append((html, blocks))
-    print(f"{len(PAGES) - len(wrong)} of {len(PAGES)} pages, precision {hit / found:.3f}, recall {hit / there:.3f}")
+    print(f"{len(pages) - len(wrong)} of {len(pages)} pages, precision {hit / found:.3f}, recall {hit / there:.3f}")
     for w in wrong:
         print(w)
     assert len(wrong) <= 4 and hit / found > 0.9 and hit / there > 0.9
