@@ -1,4 +1,8 @@
-"""Forward and reverse derivatives of the refinement in noise, initial values and covariance."""
+"""Forward and reverse derivatives of the refinement in noise, initial values and covariance.
+
+With ``shared``, batches are noises under one covariance, as in ``refine``: factors and their derivatives are computed
+once for all noises, which flow along each edge together.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from ..sources.points import coordinates
 from ..storage import materialize
 from .factor import blocks, conditional, distances, local_sets
 from .graph import Graph
-from .refine import solve_backward, solve_forward
+from .refine import KEYS, back, bars, columns, each_pass, names, of, rows, scaled, solve_forward, union
 
 
 def _tangent_factors(graph: Graph, cov: Covariance, dcov: Covariance) -> DataFrame:
@@ -39,59 +43,76 @@ def _tangent_factors(graph: Graph, cov: Covariance, dcov: Covariance) -> DataFra
     return local_sets(graph).mapInArrow(run, "batch int, idx long, nbs array<long>, dw array<double>, ds double")
 
 
-def refine_jvp(graph, cov, factors, values, xi, dcov, dinitial, dxi) -> DataFrame:
+def refine_jvp(graph, cov, factors, values, xi, dcov, dinitial, dxi, shared: bool = False) -> DataFrame:
     """batch, idx, v: the derivative of the values at (values, xi) along dcov (None: only the linear
     inputs vary), dinitial (batch, idx, v) and dxi (batch, idx, dxi)."""
-    source = factors.select("batch", "idx", "s").join(dxi, ["batch", "idx"], "left").select("batch", "idx", (F.col("s") * F.coalesce("dxi", F.lit(0.0))).alias("source"))
-    if dcov is not None:
-        tangents = materialize(_tangent_factors(graph, cov, dcov))
-        each = tangents.select("batch", "idx", F.explode(F.arrays_zip("nbs", "dw")).alias("e")).select("batch", "idx", F.col("e.nbs").alias("nb"), F.col("e.dw").alias("dw"))
-        moved = each.join(values.select("batch", F.col("idx").alias("nb"), "v"), ["batch", "nb"]).groupBy("batch", "idx").agg(F.sum(F.col("dw") * F.col("v")).alias("moved"))
-        own = tangents.select("batch", "idx", "ds").join(xi, ["batch", "idx"]).join(moved, ["batch", "idx"])
-        term = own.select("batch", "idx", (F.col("moved") + F.col("ds") * F.col("xi")).alias("term"))
-        source = source.join(term, ["batch", "idx"]).select("batch", "idx", (F.col("source") + F.col("term")).alias("source"))
-    return solve_forward(factors, source, dinitial)
-
-
-def refine_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, cotangent: DataFrame):
-    """(batch, bin_id, cov_bar), (batch, idx, initial_bar), (batch, idx, xi_bar).
+    own = of(factors, shared)
+    tangents = materialize(_tangent_factors(graph, cov, dcov)) if dcov is not None else None
 
-    Only the flow of the cotangent needs levels; the bins receive theirs in one pass.
-    """
-    vbar = materialize(solve_backward(factors, cotangent))
-    own = factors.select("batch", "idx", "s")
-    initial_bar = vbar.join(own, ["batch", "idx"], "left_anti").select("batch", "idx", F.col("vbar").alias("initial_bar"))
-    xi_bar = own.join(vbar, ["batch", "idx"], "left").select("batch", "idx", (F.col("s") * F.coalesce("vbar", F.lit(0.0))).alias("xi_bar"))
-    slots = factors.select("batch", "idx", F.posexplode("nbs").alias("slot", "nb"))
-    held = slots.join(values.select("batch", F.col("idx").alias("nb"), "v"), ["batch", "nb"]).groupBy("batch", "idx").agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("l"))
-    rows = held.join(vbar, ["batch", "idx"]).join(xi, ["batch", "idx"]).join(local_sets(graph).select("idx", "at"), "idx")
-    rows = rows.select("batch", F.col("l.v").alias("v"), "vbar", "xi", "at")
-    k, d = graph.k, len(coordinates(graph.points))
+    def make(ids):
+        value = names(ids)
+        source = scaled(own, columns(dxi, "dxi", ids), value)
+        if tangents is not None:
+            each = tangents.select(*KEYS, F.explode(F.arrays_zip("nbs", "dw")).alias("e")).select(*KEYS, F.col("e.nbs").alias("nb"), F.col("e.dw").alias("dw"))
+            met = each.join(columns(values, "v", ids).withColumnRenamed("idx", "nb"), ["batch", "nb"])
+            moved = met.groupBy(*KEYS).agg(*(F.sum(F.col("dw") * F.col(c)).alias(f"moved_{c}") for c in value))
+            noise = columns(xi, "xi", ids).select(*KEYS, *(F.col(c).alias(f"xi_{c}") for c in value))
+            all_ = source.join(tangents.select(*KEYS, "ds"), KEYS).join(noise, KEYS).join(moved, KEYS)
+            source = all_.select(*KEYS, *((F.col(c) + F.col(f"moved_{c}") + F.col("ds") * F.col(f"xi_{c}")).alias(c) for c in value))
+        return rows(solve_forward(own, source, columns(dinitial, "v", ids), value), "v", ids)
+
+    return each_pass(shared, [values, dxi, dinitial], make)
+
+
+def _bins(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, vbar: DataFrame, ids) -> DataFrame:
+    """batch, bin_id, cov_bar: what the bins receive, in one pass without levels."""
+    value = names(ids)
+    k, d, m = graph.k, len(coordinates(graph.points)), len(value)
+    slots = factors.select(*KEYS, F.posexplode("nbs").alias("slot", "nb"))
+    known = columns(values, "v", ids).select("batch", F.col("idx").alias("nb"), F.array(*value).alias("v"))
+    held = slots.join(known, ["batch", "nb"]).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("slot", "v"))).alias("l"))
+    met = held.join(vbar.select(*KEYS, F.array(*value).alias("vbar")), KEYS).join(columns(xi, "xi", ids).select(*KEYS, F.array(*value).alias("xi")), KEYS)
+    met = met.join(local_sets(graph).select("idx", "at"), "idx").select("batch", F.flatten("l.v").alias("v"), "vbar", "xi", "at")
     bins, tables = np.array(cov.bins), [np.array(v) for v in cov.values]
+    # of each covariance, or of each noise under the one
+    out_ids = list(range(len(tables))) if ids is None else ids
 
     def run(batches):
-        total = np.zeros((len(tables), len(bins)))
+        total = np.zeros((len(out_ids), len(bins)))
         for batch in batches:
             for part, at in blocks(batch, k, d):
                 which = part.column("batch").to_numpy()
-                vs = np.asarray(part.column("v").flatten()).reshape(-1, k)
-                back, noise = part.column("vbar").to_numpy(), part.column("xi").to_numpy()
+                vs = np.asarray(part.column("v").flatten()).reshape(-1, k, m)
+                backs, noises = (np.asarray(part.column(c).flatten()).reshape(-1, m) for c in ("vbar", "xi"))
                 r = distances(at)
                 for b, values_ in enumerate(tables):
-                    m = which == b
-                    if not m.any():
+                    rows_ = which == b
+                    if not rows_.any():
                         continue
-                    K = lookup(bins, values_, r[m])
+                    K = lookup(bins, values_, r[rows_])
                     w, s = conditional(K)
-                    y = np.linalg.solve(K[:, :-1, :-1], (back[m, None] * vs[m])[:, :, None])[:, :, 0]
-                    sigma = (back[m] * noise[m] / s)[:, None]
-                    Kbar = np.zeros_like(K)
-                    Kbar[:, -1, :-1] = y - sigma * w
-                    Kbar[:, :-1, :-1] = -y[:, :, None] * w[:, None, :] + (sigma / 2)[:, :, None] * w[:, :, None] * w[:, None, :]
-                    Kbar[:, -1, -1] = sigma[:, 0] / 2
-                    total[b] += scatter(bins, r[m], Kbar)
-        for b in range(len(tables)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), b, np.int32)), pa.array(np.arange(len(bins), dtype=np.int32)), pa.array(total[b])], ["batch", "bin_id", "part"])
-
-    cov_bar = rows.mapInArrow(run, "batch int, bin_id int, part double").groupBy("batch", "bin_id").agg(F.sum("part").alias("cov_bar"))
-    return cov_bar, initial_bar, xi_bar
+                    y = np.linalg.solve(K[:, :-1, :-1], backs[rows_, None, :] * vs[rows_])
+                    for c in range(m):
+                        sigma = (backs[rows_, c] * noises[rows_, c] / s)[:, None]
+                        Kbar = np.zeros_like(K)
+                        Kbar[:, -1, :-1] = y[:, :, c] - sigma * w
+                        Kbar[:, :-1, :-1] = -y[:, :, c, None] * w[:, None, :] + (sigma / 2)[:, :, None] * w[:, :, None] * w[:, None, :]
+                        Kbar[:, -1, -1] = sigma[:, 0] / 2
+                        total[b if ids is None else c] += scatter(bins, r[rows_], Kbar)
+        for b, row in zip(out_ids, total, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), b, np.int32)), pa.array(np.arange(len(bins), dtype=np.int32)), pa.array(row)], ["batch", "bin_id", "part"])
+
+    return met.mapInArrow(run, "batch int, bin_id int, part double").groupBy("batch", "bin_id").agg(F.sum("part").alias("cov_bar"))
+
+
+def refine_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, cotangent: DataFrame, shared: bool = False):
+    """(batch, bin_id, cov_bar), (batch, idx, initial_bar), (batch, idx, xi_bar).
+
+    Only the flow of the cotangent needs levels; the bins receive theirs in one pass.  With shared factors
+    each noise has its own cov_bar.
+    """
+    own = of(factors, shared)
+    flows = back(factors, cotangent, shared)
+    parts = [bars(own, ids, vbar) for ids, vbar in flows]
+    cov_bar = [_bins(graph, cov, own, values, xi, vbar, ids) for ids, vbar in flows]
+    return union(cov_bar), union([p[0] for p in parts]), union([p[1] for p in parts])

@@ -1,113 +1,75 @@
 """Whole fields: a dense start of n0 points, then the refinement; their inverse and derivatives.
 
-The dense part is a matrix of n0 * n0 covariances, so n0 is limited to MOST_INITIAL (a matrix of 32 MB);
-it is the parameter of the method that stays fixed as the data grow, and any n0 >= k will do.
+The dense part is a table of tiles (``dense``), so n0 is bounded by the work, n0**3 / 3, and by a row of tiles in
+a task.  Its factor can be made once (``start_factor``) and handed to all functions here as ``start``.
+
+With ``shared``, batches are noises under one covariance, the first one of cov; else batch b has covariance b.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariance import Covariance, lookup, scatter
-from ..sources.points import coordinates
+from ..functions.covariance import Covariance
+from ..storage import materialize
+from . import dense
 from .deriv import refine_jvp, refine_vjp
-from .factor import distances
 from .graph import Graph
-from .refine import refine, refine_inv, refine_logdet
-
-MOST_INITIAL = 2000
-
-
-def _distances(graph: Graph) -> np.ndarray:
-    if graph.n0 > MOST_INITIAL:
-        raise ValueError(f"n0 = {graph.n0} is above {MOST_INITIAL}, the most for the dense start")
-    first = graph.points.where(F.col("idx") < graph.n0).orderBy("idx").select(*coordinates(graph.points)).toPandas().to_numpy()
-    return distances(first[None])[0]
-
-
-def _dense(graph: Graph, cov: Covariance) -> list[np.ndarray]:
-    r = _distances(graph)
-    return [np.linalg.cholesky(lookup(np.array(cov.bins), np.array(v), r)) for v in cov.values]
-
+from .refine import refine, refine_inv, refine_logdet, union
 
-def half(a: np.ndarray) -> np.ndarray:
-    """The lower triangle with half of the diagonal."""
-    return np.tril(a) - np.diag(np.diag(a)) / 2
 
+def _tables(cov: Covariance | None, shared: bool) -> Covariance | None:
+    return replace(cov, values=cov.values[:1]) if cov and shared else cov
 
-def cholesky_jvp(L: np.ndarray, dK: np.ndarray) -> np.ndarray:
-    """The derivative of the Cholesky factor L of K along the symmetric dK."""
-    inner = np.linalg.solve(L, np.linalg.solve(L, dK).T)
-    return L @ half(inner)
 
+def start_factor(graph: Graph, cov: Covariance, dcov: Covariance | None = None, tile: int = dense.TILE) -> DataFrame:
+    """Tiles of the Cholesky factor of the first n0 points' covariance, and of its derivative along dcov."""
+    return dense.factorize_tiles(dense.covariance_tiles(graph.points, graph.n0, cov, dcov, tile), graph.n0, tile)
 
-def cholesky_vjp(L: np.ndarray, L_bar: np.ndarray) -> np.ndarray:
-    """The symmetric cotangent of K from the cotangent of its Cholesky factor (lower triangle)."""
-    inner = np.linalg.solve(L.T, half(L.T @ np.tril(L_bar)))
-    whole = np.linalg.solve(L.T, inner.T).T
-    return (whole + whole.T) / 2
 
-
-def _by_batch(df: DataFrame, name: str, n0: int, n_batches: int) -> np.ndarray:
-    rows = df.where(F.col("idx") < n0).select("batch", "idx", name).toPandas()
-    out = np.zeros((n_batches, n0))
-    out[rows["batch"], rows["idx"]] = rows[name]
-    return out
-
-
-def _frame(like: DataFrame, values: np.ndarray, name: str) -> DataFrame:
-    rows = [(b, i, float(v)) for b, row in enumerate(values) for i, v in enumerate(row)]
-    return like.sparkSession.createDataFrame(rows, f"batch int, idx long, {name} double")
-
-
-def generate(graph: Graph, cov: Covariance, factors: DataFrame, xi: DataFrame) -> DataFrame:
+def generate(graph: Graph, cov: Covariance, factors: DataFrame, xi: DataFrame, shared: bool = False, start: DataFrame | None = None, tile: int = dense.TILE) -> DataFrame:
     """batch, idx, v from noise xi (batch, idx, xi) for all points."""
-    noise = _by_batch(xi, "xi", graph.n0, len(cov.values))
-    initial = np.stack([L @ x for L, x in zip(_dense(graph, cov), noise, strict=True)])
-    return refine(factors, _frame(xi, initial, "v"), xi)
+    L = start_factor(graph, _tables(cov, shared), tile=tile) if start is None else start
+    first = dense.times(L, dense.sides(xi, "xi", graph.n0, shared, tile), graph.n0, tile=tile)
+    return refine(factors, materialize(dense.unpack(first, "v", tile)), xi.where(F.col("idx") >= graph.n0), shared)
 
 
-def generate_inv(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame) -> DataFrame:
+def generate_inv(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, shared: bool = False, start: DataFrame | None = None, tile: int = dense.TILE) -> DataFrame:
     """batch, idx, xi of all points."""
-    first, xi = refine_inv(factors, values)
-    v = _by_batch(first, "v", graph.n0, len(cov.values))
-    noise = np.stack([np.linalg.solve(L, x) for L, x in zip(_dense(graph, cov), v, strict=True)])
-    return _frame(values, noise, "xi").unionByName(xi)
+    L = start_factor(graph, _tables(cov, shared), tile=tile) if start is None else start
+    first, xi = refine_inv(factors, values, shared)
+    noise = dense.solve(L, dense.sides(first, "v", graph.n0, shared, tile), graph.n0, tile=tile)
+    return dense.unpack(noise, "xi", tile).unionByName(xi)
 
 
-def generate_logdet(graph: Graph, cov: Covariance, factors: DataFrame) -> DataFrame:
-    """batch, logdet of the whole map from noise to values."""
-    dense = np.array([[np.log(np.diag(L)).sum()] for L in _dense(graph, cov)])
-    first = _frame(factors, dense, "dense").select("batch", "dense")
-    return refine_logdet(factors).join(F.broadcast(first), "batch").select("batch", (F.col("logdet") + F.col("dense")).alias("logdet"))
+def generate_logdet(graph: Graph, cov: Covariance, factors: DataFrame, start: DataFrame | None = None, tile: int = dense.TILE) -> DataFrame:
+    """batch, logdet of the whole map from noise to values, for each covariance."""
+    L = start_factor(graph, cov, tile=tile) if start is None else start
+    return union([refine_logdet(factors), dense.logdet(L)]).groupBy("batch").agg(F.sum("logdet").alias("logdet"))
 
 
-def generate_jvp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, dcov: Covariance | None, dxi: DataFrame) -> DataFrame:
+def generate_jvp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, dcov: Covariance | None, dxi: DataFrame, shared: bool = False, tile: int = dense.TILE) -> DataFrame:
     """batch, idx, v: the derivative of ``generate`` at noise xi, which gave values, along dcov (None: the
     covariance is constant) and dxi (batch, idx, dxi), for all points."""
-    noise, dnoise = (_by_batch(x, c, graph.n0, len(cov.values)) for x, c in ((xi, "xi"), (dxi, "dxi")))
-    r, bins, first = _distances(graph), np.array(cov.bins), []
-    for b, values_ in enumerate(cov.values):
-        L = np.linalg.cholesky(lookup(bins, np.array(values_), r))
-        moved = L @ dnoise[b]
-        if dcov is not None:
-            moved = moved + cholesky_jvp(L, lookup(bins, np.array(dcov.values[b]), r)) @ noise[b]
-        first.append(moved)
-    return refine_jvp(graph, cov, factors, values, xi, dcov, _frame(xi, np.array(first), "v"), dxi)
-
-
-def generate_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, cotangent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n0, cov, dcov = graph.n0, _tables(cov, shared), _tables(dcov, shared)
+    L = start_factor(graph, cov, dcov, tile)
+    parts = [dense.times(L, dense.sides(dxi, "dxi", n0, shared, tile), n0, tile=tile)]
+    if dcov is not None:
+        parts.append(dense.times(L, dense.sides(xi, "xi", n0, shared, tile), n0, column="moved", tile=tile))
+    first = union([dense.unpack(p, "v", tile) for p in parts]).groupBy("batch", "idx").agg(F.sum("v").alias("v"))
+    later = F.col("idx") >= n0
+    return refine_jvp(graph, cov, factors, values, xi.where(later), dcov, materialize(first), dxi.where(later), shared)
+
+
+def generate_vjp(graph: Graph, cov: Covariance, factors: DataFrame, values: DataFrame, xi: DataFrame, cotangent: DataFrame, shared: bool = False, start: DataFrame | None = None, tile: int = dense.TILE) -> tuple[DataFrame, DataFrame]:
     """(batch, bin_id, cov_bar) and (batch, idx, xi_bar) of all points from a cotangent (batch, idx, vbar)."""
-    cov_bar, initial_bar, xi_bar = refine_vjp(graph, cov, factors, values, xi, cotangent)
-    back, noise = _by_batch(initial_bar, "initial_bar", graph.n0, len(cov.values)), _by_batch(xi, "xi", graph.n0, len(cov.values))
-    r, bins, dense, first = _distances(graph), np.array(cov.bins), [], []
-    for b, values_ in enumerate(cov.values):
-        L = np.linalg.cholesky(lookup(bins, np.array(values_), r))
-        first.append(L.T @ back[b])
-        received = scatter(bins, r, cholesky_vjp(L, np.outer(back[b], noise[b])))
-        dense += [(b, i, float(x)) for i, x in enumerate(received)]
-    added = xi.sparkSession.createDataFrame(dense, "batch int, bin_id int, cov_bar double")  # a row for each bin
-    total = cov_bar.unionByName(added).groupBy("batch", "bin_id").agg(F.sum("cov_bar").alias("cov_bar"))
-    return total, _frame(xi, np.array(first), "xi_bar").unionByName(xi_bar)
+    n0, cov = graph.n0, _tables(cov, shared)
+    L = start_factor(graph, cov, tile=tile) if start is None else start
+    cov_bar, initial_bar, xi_bar = refine_vjp(graph, cov, factors, values, xi.where(F.col("idx") >= n0), cotangent, shared)
+    back, noise = dense.sides(initial_bar, "initial_bar", n0, shared, tile), dense.sides(xi, "xi", n0, shared, tile)
+    received = dense.factor_cotangent(L, dense.outer(back, noise, n0, each=shared, tile=tile), n0, tile)
+    total = cov_bar.unionByName(dense.to_bins(graph.points, n0, received, cov, tile)).groupBy("batch", "bin_id").agg(F.sum("cov_bar").alias("cov_bar"))
+    return total, dense.unpack(dense.times(L, back, n0, transpose=True, tile=tile), "xi_bar", tile).unionByName(xi_bar)

@@ -1,7 +1,7 @@
 """SQL for another engine that derives the same results from the same tables, step by step.
 
 Each function gives the text of common table expressions; ``query`` puts a chain of them together.
-The forms are unrolled for three dimensions, two or four neighbours and, for whole fields, a start of
+The forms are unrolled for three dimensions (two with the third at 0), two or four neighbours and, for whole fields, a start of
 three points.  Trees and graphs that are deeper than the unrolling raise an error.
 """
 
@@ -20,10 +20,16 @@ def points() -> str:
     return f"p AS (SELECT vec_id::BIGINT AS point_id, {at} FROM embeddings)"
 
 
-def tree() -> str:
+def order_points() -> str:
+    """Orders as points in a plane: the third coordinate is 0."""
+    return """p AS (SELECT o_orderkey::BIGINT AS point_id, o_totalprice / 500000.0::DOUBLE AS x0,
+      date_diff('day', DATE '1995-01-01', o_orderdate::DATE) / 2500.0::DOUBLE AS x1, 0.0::DOUBLE AS x2 FROM orders)"""
+
+
+def tree(levels: int = LEVELS) -> str:
     """t: node, point_id, x0, x1, x2, split_dim."""
     out = ["s0 AS MATERIALIZED (SELECT *, 0::BIGINT AS tag FROM p)"]
-    for level in range(LEVELS):
+    for level in range(levels):
         out += [
             f"""g{level} AS (SELECT *, max(x0) OVER w - min(x0) OVER w AS g0, max(x1) OVER w - min(x1) OVER w AS g1,
                 max(x2) OVER w - min(x2) OVER w AS g2, count(*) OVER w AS n FROM s{level} WINDOW w AS (PARTITION BY tag))""",
@@ -33,8 +39,8 @@ def tree() -> str:
             f"""s{level + 1} AS MATERIALIZED (SELECT point_id, x0, x1, x2, tag + CASE WHEN rk < n // 2 THEN {1 << level} ELSE {2 << level} END AS tag
                 FROM k{level} WHERE rk <> n // 2)""",
         ]
-    placed = " UNION ALL ".join(f"SELECT tag AS node, point_id, x0, x1, x2, split_dim FROM k{level} WHERE rk = n // 2" for level in range(LEVELS))
-    whole = f"(SELECT count(*) FROM s{LEVELS}) = 0 OR error('more than {LEVELS} levels')"
+    placed = " UNION ALL ".join(f"SELECT tag AS node, point_id, x0, x1, x2, split_dim FROM k{level} WHERE rk = n // 2" for level in range(levels))
+    whole = f"(SELECT count(*) FROM s{levels}) = 0 OR error('more than {levels} levels')"
     return ",\n".join([*out, f"t AS MATERIALIZED (SELECT * FROM ({placed}) WHERE {whole})"])
 
 
@@ -48,9 +54,15 @@ def neighbors(k: int, n0: int) -> str:
       FROM t a JOIN t b ON b.node < a.node WHERE a.node >= {n0}) WHERE slot < {k})"""
 
 
-def graph(k: int, n0: int) -> str:
+def least_neighbors(k: int, n0: int) -> str:
+    """As ``neighbors``, keeping the k least of each node only while all pairs are compared."""
+    return f"""l0 AS (SELECT a.node AS idx, min({{'d2': {D2}, 'nb': b.node}}, {k}) AS l FROM t a JOIN t b ON b.node < a.node WHERE a.node >= {n0} GROUP BY a.node),
+    e0 AS MATERIALIZED (SELECT idx, k AS slot, l[k + 1].nb AS nb, l[k + 1].d2 AS d2 FROM l0, (SELECT unnest(range({k})) AS k))"""
+
+
+def graph(k: int, n0: int, found=neighbors) -> str:
     """gp: idx, old, point_id, x0..x2, depth; ge: idx, slot, nb, in the order by depth."""
-    return neighbors(k, n0) + f""",
+    return found(k, n0) + f""",
     walk AS (SELECT node AS idx, 0 AS depth FROM t WHERE node < {n0}
              UNION SELECT e0.idx, walk.depth + 1 FROM e0 JOIN walk ON e0.nb = walk.idx),
     dep AS MATERIALIZED (SELECT idx, max(depth)::INTEGER AS depth FROM walk GROUP BY idx),

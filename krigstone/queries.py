@@ -13,18 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.covariance import Covariance, lookup, lookup_column, matern, scatter_rows
+from .functions.band import band, scatter_rows
+from .functions.covariance import Covariance, lookup, matern
 from .functions.geometry import left_child, level_of, parent, right_child, square_distance
 from .operators.deriv import refine_jvp, refine_vjp
 from .operators.factor import blocks, distances, factorize, local_sets
-from .operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp
+from .operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp, start_factor
 from .operators.graph import Graph, build_graph
 from .operators.neighbors import query_neighbors, query_preceding_neighbors
 from .operators.refine import refine, refine_inv, refine_logdet, refine_transpose
 from .operators.sorting import sort_positions
 from .operators.tree import build_tree
 from .plans import oracle as sql
-from .sources.points import embedding_points
+from .sources.points import embedding_points, order_points
 from .storage import materialize
 
 N0, K = 50, 2
@@ -33,6 +34,12 @@ START = 3
 BINS = tuple(i / 20 for i in range(41))
 COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-5 * (r == 0) for r in BINS),))
 BOTH = Covariance(BINS, (COV.values[0], tuple(round(2 * math.exp(-r / 0.5), 9) + 1e-5 * (r == 0) for r in BINS)))
+#: 1000 bins whose gaps grow, and values without transcendental functions.
+FINE = Covariance(tuple(i * i / 400000.0 for i in range(1000)), (tuple(1.0 / (1.0 + i * i / 100000.0) for i in range(1000)),))
+#: For orders, whose plane is about one wide: exponential, with more jitter, as many orders are close.
+ORDER_COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-3 * (r == 0) for r in BINS),))
+#: Noises under one covariance.
+NOISES = 5
 DCOV = Covariance(BINS, (tuple(((i * 37) % 11) / 100 for i in range(41)),))
 
 _kept: dict[tuple, object] = {}
@@ -59,6 +66,15 @@ def _graph(spark, sf_dir, k=K, n0=N0) -> Graph:
     return _once(spark, sf_dir, f"graph{k}-{n0}", lambda: build_graph(embedding_points(spark, sf_dir), n0, k))
 
 
+def _order_tree(spark, sf_dir) -> DataFrame:
+    """15000 orders at sf0.01, enough for segments, tiles and levels beyond one task."""
+    return _once(spark, sf_dir, "order tree", lambda: build_tree(order_points(spark, sf_dir)))
+
+
+def _order_graph(spark, sf_dir) -> Graph:
+    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K))
+
+
 def _factors(spark, sf_dir, cov=COV, name="one", n0=N0) -> DataFrame:
     return _once(spark, sf_dir, f"factors-{name}-{n0}", lambda: factorize(_graph(spark, sf_dir, n0=n0), cov))
 
@@ -134,6 +150,28 @@ def offsets(spark, sf_dir):
     return _graph(spark, sf_dir, 4).offsets.select(F.col("depth").cast("int").alias("depth"), F.col("end").cast("long").alias("end_idx"))
 
 
+# beyond one task
+
+
+def order_tree(spark, sf_dir):
+    return _order_tree(spark, sf_dir).select("node", "point_id", F.col("split_dim").cast("int").alias("split_dim"))
+
+
+def order_neighbors(spark, sf_dir):
+    found = query_preceding_neighbors(_order_tree(spark, sf_dir), N0, 3)
+    return found.select("idx", F.col("slot").cast("int").alias("slot"), "nb", _rounded("d2", 12).alias("d2"))
+
+
+def order_depths(spark, sf_dir):
+    return _order_graph(spark, sf_dir).points.select("idx", "point_id", F.col("depth").cast("int").alias("depth"))
+
+
+def order_refine(spark, sf_dir):
+    graph = _order_graph(spark, sf_dir)
+    factors = _once(spark, sf_dir, "order factors", lambda: factorize(graph, ORDER_COV))
+    return refine(factors, *_initial_and_noise(graph)).select("idx", _rounded("v", 5).alias("v"))
+
+
 # sorting
 
 SORTS = {
@@ -164,6 +202,14 @@ def parent_distance(spark, sf_dir):
     return tree.join(up, "parent").select("node", "parent", _rounded(d2, 9).alias("d2"))
 
 
+def _order_distances(spark, sf_dir):
+    """node and r: how far each node but the root is from its parent."""
+    tree = _order_tree(spark, sf_dir).withColumn("parent", parent(F.col("node")))
+    up = tree.select(F.col("node").alias("parent"), *(F.col(f"x{i}").alias(f"y{i}") for i in range(2)))
+    d2 = square_distance([F.col(f"x{i}") for i in range(2)], [F.col(f"y{i}") for i in range(2)])
+    return tree.join(up, "parent").select("node", F.sqrt(d2).alias("r"))
+
+
 def _edge_distances(graph):
     at = lambda p: [F.col(f"{p}.x{i}") for i in range(3)]
     joined = graph.edges.alias("e").join(graph.points.alias("q"), F.col("e.idx") == F.col("q.idx")).join(graph.points.alias("n"), F.col("e.nb") == F.col("n.idx"))
@@ -171,7 +217,17 @@ def _edge_distances(graph):
 
 
 def cov_lookup(spark, sf_dir):
-    return _edge_distances(_graph(spark, sf_dir)).select("idx", F.col("slot").cast("int").alias("slot"), _rounded(lookup_column(COV, F.col("r"))).alias("val"))
+    return band(_edge_distances(_graph(spark, sf_dir)), COV, "r").select("idx", F.col("slot").cast("int").alias("slot"), _rounded("val").alias("val"))
+
+
+def cov_lookup_fine(spark, sf_dir):
+    """1000 bins, at the distances of orders to their parents in the tree."""
+    return band(_order_distances(spark, sf_dir), FINE, "r").select("node", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), _rounded("val", 9).alias("val"))
+
+
+def cov_lookup_vjp_fine(spark, sf_dir):
+    rows = _order_distances(spark, sf_dir).withColumn("bar", 1 / (1.0 + F.col("node") % 7))
+    return scatter_rows(rows, FINE, "r", "bar").select(F.col("bin_id").cast("int").alias("bin_id"), _rounded("val").alias("val"))
 
 
 def cov_lookup_vjp(spark, sf_dir):
@@ -349,12 +405,46 @@ def field_cotangent_noise(spark, sf_dir):
     return xi_bar.select("idx", _rounded("xi_bar").alias("xi_bar"))
 
 
+def _many(spark, sf_dir):
+    """Five noises under one covariance."""
+    graph, factors = _graph(spark, sf_dir, n0=START), _factors(spark, sf_dir, n0=START)
+    start = _once(spark, sf_dir, "start", lambda: materialize(start_factor(graph, COV)))
+    xi = _over(graph, "xi", _noises(0), NOISES)
+    return graph, factors, xi, start, _once(spark, sf_dir, "fields", lambda: materialize(generate(graph, COV, factors, xi, shared=True, start=start)))
+
+
+def _noises(shift: int) -> Column:
+    """Noise of each batch."""
+    return ((F.col("idx") * 7919 + (13 + shift + 11 * F.col("batch"))) % 2003) / 1001.0 - 1.0
+
+
+def many_fields(spark, sf_dir):
+    return _many(spark, sf_dir)[-1].select("batch", "idx", _rounded("v").alias("v"))
+
+
+def many_inverses(spark, sf_dir):
+    graph, factors, _, start, _ = _many(spark, sf_dir)
+    return generate_inv(graph, COV, factors, _over(graph, "v", _noises(3), NOISES), shared=True, start=start).select("batch", "idx", _rounded("xi").alias("xi"))
+
+
+def many_tangents(spark, sf_dir):
+    graph, factors, xi, _, values = _many(spark, sf_dir)
+    return generate_jvp(graph, COV, factors, values, xi, DCOV, _over(graph, "dxi", _noises(9), NOISES), shared=True).select("batch", "idx", _rounded("v", 5).alias("dv"))
+
+
+def many_cotangents(spark, sf_dir):
+    graph, factors, xi, start, values = _many(spark, sf_dir)
+    cov_bar, _ = generate_vjp(graph, COV, factors, values, xi, _over(graph, "vbar", _noises(5), NOISES), shared=True, start=start)
+    return cov_bar.select("batch", F.col("bin_id").cast("int").alias("bin_id"), _rounded("cov_bar", 4).alias("cov_bar"))
+
+
 def queries() -> dict:
     found = (
         tree_build, tree_split_dims, tree_navigation, knn_preceding, knn_bounded, knn_padded, depths, order_by_depth, build_graph_edges, offsets,
         parent_distance, cov_lookup, cov_lookup_vjp, matern_table, cov_matrix, cholesky, apply_cholesky, solve_forward, solve_backward, factor_weights,
         refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_tangent_linear, refine_cotangent,
         refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
+        order_tree, order_neighbors, order_depths, order_refine, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
 
@@ -371,11 +461,11 @@ def oracle_sql() -> dict[str, str]:
     chol = f"SELECT *, {low} AS l00, b / {low} AS l10, sqrt(kk - (b / {low}) * (b / {low})) AS l11 FROM f"
     refined = sql.forward(sql.noise("idx"), f"s * ({sql.noise('f.idx')})")
 
-    def cotangent(parts: tuple, more: str, digits: int) -> str:
+    def cotangent(parts: tuple, more: str, digits: int, shift: int = 0) -> str:
         """What the bins receive through the conditional weights, and more (distance, cotangent)."""
         return sql.query(
             *parts,
-            f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx')}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
+            f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx', shift)}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
                 FROM f JOIN z USING (idx) JOIN u a ON a.idx = f.n0 JOIN u c ON c.idx = f.n1)""",
             f"""parts AS (SELECT 0.0::DOUBLE AS r, -y0 * w0 + sg / 2 * w0 * w0 - y1 * w1 + sg / 2 * w1 * w1 + sg / 2 AS bar FROM y
                 UNION ALL SELECT r01, -y0 * w1 - y1 * w0 + sg * w0 * w1 FROM y UNION ALL SELECT r0, y0 - sg * w0 FROM y UNION ALL SELECT r1, y1 - sg * w1 FROM y {more})""",
@@ -434,36 +524,60 @@ def oracle_sql() -> dict[str, str]:
     out["refine_cotangent_bars"] = out["refine_transpose_bars"]
     again = sql.forward(sql.noise("idx", 11), f"s * ({sql.noise('f.idx', 11)})", "m")
     out["shared_refine"] = sql.query(*fact, refined, again, select=f"SELECT 0 AS batch, idx, {r('v')} AS v FROM u UNION ALL SELECT 1, idx, {r('v')} FROM m")
-    # whole fields
+    # whole fields, and the same for each of several noises
     three = (*base, sql.graph(K, START))
     whole = (*three, sql.factors(COV), sql.start(COV))
-    x, dx = ([sql.noise(str(i), shift) for i in range(3)] for shift in (0, 9))
-    made = sql.forward(sql.times("l", x), f"s * ({sql.noise('f.idx')})")
-    out["field_generate"] = sql.query(*whole, made, select=f"SELECT idx, {r('v')} AS v FROM u")
-    v = [sql.noise(str(i), 3) for i in range(3)]
-    x0 = f"(({v[0]}) / l00)"
-    x1 = f"((({v[1]}) - l10 * {x0}) / l11)"
-    x2 = f"((({v[2]}) - l20 * {x0} - l21 * {x1}) / l22)"
-    later = "((" + sql.noise("idx", 3) + ") - w0 * (" + sql.noise("f.n0", 3) + ") - w1 * (" + sql.noise("f.n1", 3) + ")) / s"
-    out["field_invert"] = sql.query(*whole, select=f"SELECT idx, {r(later)} AS xi FROM f UNION ALL SELECT 0, {r(x0)} FROM dn UNION ALL SELECT 1, {r(x1)} FROM dn UNION ALL SELECT 2, {r(x2)} FROM dn")
+
+    def fields(more: int) -> dict[str, str]:
+        noise = lambda idx, shift=0: sql.noise(idx, shift + more)
+        x, dx = ([noise(str(i), shift) for i in range(3)] for shift in (0, 9))
+        made = sql.forward(sql.times("l", x), f"s * ({noise('f.idx')})")
+        found = {"generate": sql.query(*whole, made, select=f"SELECT idx, {r('v')} AS v FROM u")}
+        v = [noise(str(i), 3) for i in range(3)]
+        x0 = f"(({v[0]}) / l00)"
+        x1 = f"((({v[1]}) - l10 * {x0}) / l11)"
+        x2 = f"((({v[2]}) - l20 * {x0} - l21 * {x1}) / l22)"
+        later = "((" + noise("idx", 3) + ") - w0 * (" + noise("f.n0", 3) + ") - w1 * (" + noise("f.n1", 3) + ")) / s"
+        found["invert"] = sql.query(*whole, select=f"SELECT idx, {r(later)} AS xi FROM f UNION ALL SELECT 0, {r(x0)} FROM dn UNION ALL SELECT 1, {r(x1)} FROM dn UNION ALL SELECT 2, {r(x2)} FROM dn")
+        found["tangent"] = sql.query(
+            *three, sql.factors(COV, DCOV), sql.start(COV, DCOV), made,
+            "src AS MATERIALIZED (SELECT df.idx, dw0 * a.v + dw1 * b.v + ds * (" + noise("df.idx") + ") + s * (" + noise("df.idx", 9) + ") AS q FROM df JOIN u a ON a.idx = df.n0 JOIN u b ON b.idx = df.n1)",
+            sql.forward(sql.times("l", dx) + " + " + sql.times("dl", x), "(SELECT q FROM src WHERE src.idx = f.idx)", "j"), select=f"SELECT idx, {r('v', 5)} AS dv FROM j")
+        back = sql.backward(noise("g.idx", 5))
+        found["cotangent_noise"] = sql.query(*whole, back, """zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z)""", select=f"""
+            SELECT idx, {r('s * vbar')} AS xi_bar FROM z JOIN f USING (idx) UNION ALL SELECT 0, {r('l00 * z0 + l10 * z1 + l20 * z2')} FROM dn, zz
+            UNION ALL SELECT 1, {r('l11 * z1 + l21 * z2')} FROM dn, zz UNION ALL SELECT 2, {r('l22 * z2')} FROM dn, zz""")
+        # the dense factor in reverse, entry by entry
+        reverse = f"""zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z),
+            b0 AS (SELECT *, z2 * ({x[2]}) / (2 * l22) AS t22 FROM dn, zz),
+            b1 AS (SELECT *, z2 * ({x[1]}) - 2 * l21 * t22 AS g21 FROM b0),
+            b2 AS (SELECT *, z2 * ({x[0]}) - 2 * l20 * t22 - l10 * g21 / l11 AS g20, z1 * ({x[1]}) - l21 * g21 / l11 AS g11 FROM b1),
+            b3 AS (SELECT *, g11 / (2 * l11) AS t11 FROM b2),
+            b4 AS (SELECT *, z1 * ({x[0]}) - l20 * g21 / l11 - 2 * l10 * t11 AS g10 FROM b3),
+            b5 AS MATERIALIZED (SELECT *, (z0 * ({x[0]}) - l20 * g20 / l00 - l10 * g10 / l00) / (2 * l00) AS t00 FROM b4)"""
+        dense = "UNION ALL SELECT 0.0::DOUBLE, t22 + t11 + t00 FROM b5 UNION ALL SELECT q01, g10 / l00 FROM b5 UNION ALL SELECT q02, g20 / l00 FROM b5 UNION ALL SELECT q12, g21 / l11 FROM b5"
+        found["cotangent"] = cotangent((*whole, made, back, reverse), dense, 4, more)
+        return found
+
+    out |= {f"field_{name}": text for name, text in fields(0).items()}
     out["field_log_determinant"] = sql.query(*whole, select=f"SELECT {r('sum(ln(s)) + (SELECT ln(l00) + ln(l11) + ln(l22) FROM dn)')} AS logdet FROM f")
-    out["field_tangent"] = sql.query(
-        *three, sql.factors(COV, DCOV), sql.start(COV, DCOV), made,
-        "src AS MATERIALIZED (SELECT df.idx, dw0 * a.v + dw1 * b.v + ds * (" + sql.noise("df.idx") + ") + s * (" + sql.noise("df.idx", 9) + ") AS q FROM df JOIN u a ON a.idx = df.n0 JOIN u b ON b.idx = df.n1)",
-        sql.forward(sql.times("l", dx) + " + " + sql.times("dl", x), "(SELECT q FROM src WHERE src.idx = f.idx)", "j"), select=f"SELECT idx, {r('v', 5)} AS dv FROM j")
-    back = sql.backward(sql.noise("g.idx", 5))
-    out["field_cotangent_noise"] = sql.query(*whole, back, """zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z)""", select=f"""
-        SELECT idx, {r('s * vbar')} AS xi_bar FROM z JOIN f USING (idx) UNION ALL SELECT 0, {r('l00 * z0 + l10 * z1 + l20 * z2')} FROM dn, zz
-        UNION ALL SELECT 1, {r('l11 * z1 + l21 * z2')} FROM dn, zz UNION ALL SELECT 2, {r('l22 * z2')} FROM dn, zz""")
-    # the dense factor in reverse, entry by entry
-    reverse = f"""zz AS MATERIALIZED (SELECT max(vbar) FILTER (idx = 0) AS z0, max(vbar) FILTER (idx = 1) AS z1, max(vbar) FILTER (idx = 2) AS z2 FROM z),
-        b0 AS (SELECT *, z2 * ({x[2]}) / (2 * l22) AS t22 FROM dn, zz),
-        b1 AS (SELECT *, z2 * ({x[1]}) - 2 * l21 * t22 AS g21 FROM b0),
-        b2 AS (SELECT *, z2 * ({x[0]}) - 2 * l20 * t22 - l10 * g21 / l11 AS g20, z1 * ({x[1]}) - l21 * g21 / l11 AS g11 FROM b1),
-        b3 AS (SELECT *, g11 / (2 * l11) AS t11 FROM b2),
-        b4 AS (SELECT *, z1 * ({x[0]}) - l20 * g21 / l11 - 2 * l10 * t11 AS g10 FROM b3),
-        b5 AS MATERIALIZED (SELECT *, (z0 * ({x[0]}) - l20 * g20 / l00 - l10 * g10 / l00) / (2 * l00) AS t00 FROM b4)"""
-    dense = "UNION ALL SELECT 0.0::DOUBLE, t22 + t11 + t00 FROM b5 UNION ALL SELECT q01, g10 / l00 FROM b5 UNION ALL SELECT q02, g20 / l00 FROM b5 UNION ALL SELECT q12, g21 / l11 FROM b5"
-    out["field_cotangent"] = cotangent((*whole, made, back, reverse), dense, 4)
+    each = [fields(11 * b) for b in range(NOISES)]
+    for name, kind in (("many_fields", "generate"), ("many_inverses", "invert"), ("many_tangents", "tangent"), ("many_cotangents", "cotangent")):
+        out[name] = "\nUNION ALL ".join(f"SELECT {b} AS batch, q.* FROM ({found[kind]}) q" for b, found in enumerate(each))
+    # orders
+    plane = (sql.order_points(), sql.tree(15))
+    orders = (*plane, sql.graph(K, N0, sql.least_neighbors), sql.factors(ORDER_COV))
+    out["order_tree"] = sql.query(*plane, select="SELECT node, point_id, split_dim FROM t")
+    out["order_neighbors"] = sql.query(*plane, sql.least_neighbors(3, N0), select=f"SELECT idx, slot::INTEGER AS slot, nb, {r('d2', 12)} AS d2 FROM e0")
+    out["order_depths"] = sql.query(*plane, sql.graph(K, N0, sql.least_neighbors), select="SELECT idx, point_id, depth FROM gp")
+    out["order_refine"] = sql.query(*orders, refined, select=f"SELECT idx, {r('v', 5)} AS v FROM u")
+    up = """up AS (SELECT a.node, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS r FROM (SELECT *, length(bin(node + 1)) - 1 AS l FROM t WHERE node > 0) a JOIN t b
+        ON b.node = (a.node + 1 - (1::BIGINT << a.l::INTEGER)) % (1::BIGINT << (a.l - 1)::INTEGER) + (1::BIGINT << (a.l - 1)::INTEGER) - 1)"""
+    bins = "fb AS (SELECT i AS bin_id, (i * i)::DOUBLE / 400000.0::DOUBLE AS r0, 1.0::DOUBLE / (1.0::DOUBLE + (i * i)::DOUBLE / 100000.0::DOUBLE) AS val FROM (SELECT unnest(range(1000)) AS i))"
+    near = """nr AS (SELECT up.node, up.r, coalesce(b.bin_id, 0) AS lo, CASE WHEN b.bin_id IS NULL THEN 0 ELSE least(b.bin_id + 1, 999) END AS hi FROM up ASOF LEFT JOIN fb b ON up.r > b.r0),
+        nt AS (SELECT nr.*, a.val AS v0, b.val AS v1, CASE WHEN b.r0 > a.r0 THEN (nr.r - a.r0) / (b.r0 - a.r0) ELSE 0 END AS t FROM nr JOIN fb a ON a.bin_id = lo JOIN fb b ON b.bin_id = hi)"""
+    out["cov_lookup_fine"] = sql.query(*plane, up, bins, near, select=f"SELECT node, lo::INTEGER AS lo, hi::INTEGER AS hi, {r('v0 + (v1 - v0) * t', 9)} AS val FROM nt")
+    out["cov_lookup_vjp_fine"] = sql.query(*plane, up, bins, near, select=f"""SELECT bin_id::INTEGER AS bin_id, {r('sum(val)')} AS val FROM (
+        SELECT lo AS bin_id, (1 - t) / (1.0::DOUBLE + node % 7) AS val FROM nt UNION ALL SELECT hi, t / (1.0::DOUBLE + node % 7) FROM nt) GROUP BY bin_id""")
     out["batch_refine"] = sql.query(*two, sql.factors(BOTH, batch=0), refined, select=f"SELECT 0 AS batch, idx, {r('v')} AS v FROM u") + "\nUNION ALL SELECT * FROM (" + sql.query(*two, sql.factors(BOTH, batch=1), refined, select=f"SELECT 1 AS batch, idx, {r('v')} AS v FROM u") + ")"
     return out | {name: _sort_sql(name) for name in SORTS}

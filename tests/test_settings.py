@@ -8,7 +8,8 @@ from krigstone.functions import covariance as C
 from krigstone.operators import depth
 from krigstone.operators import refine as refine_module
 from krigstone.operators.factor import factorize
-from krigstone.operators.generate import cholesky_jvp, cholesky_vjp, generate, generate_inv, generate_jvp, generate_logdet, generate_vjp
+from krigstone.operators.dense import cholesky_jvp, cholesky_vjp
+from krigstone.operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp
 from krigstone.operators.graph import build_graph, check_points
 from krigstone.operators.refine import refine, refine_inv, refine_logdet, refine_transpose
 from krigstone.storage import materialize
