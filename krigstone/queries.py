@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.band import band, scatter_rows
 from .functions.covariance import Covariance, lookup, matern
 from .functions.geometry import left_child, level_of, parent, right_child, square_distance
-from .operators.deriv import refine_jvp, refine_vjp
+from .operators.deriv import log_likelihood, log_likelihood_gradient, refine_inv_jvp, refine_jvp, refine_logdet_jvp, refine_vjp
 from .operators.factor import blocks, distances, factorize, local_sets
 from .operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp, start_factor
 from .operators.graph import Graph, build_graph
@@ -360,6 +360,34 @@ def refine_cotangent_bars(spark, sf_dir):
     return first.select("idx", F.col("initial_bar").alias("bar")).unionByName(later.select("idx", F.col("xi_bar").alias("bar"))).select("idx", _rounded("bar").alias("bar"))
 
 
+def refine_inverse_tangent(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
+    moved = refine_inv_jvp(graph, COV, factors, _over(graph, "v", _noise(3)), DCOV, _over(graph, "v", _noise(7)))
+    return moved.select("idx", _rounded("dxi", 5).alias("dxi"))
+
+
+def log_determinant_tangent(spark, sf_dir):
+    return refine_logdet_jvp(_graph(spark, sf_dir), COV, _factors(spark, sf_dir), DCOV).select(_rounded("dlogdet", 5).alias("dlogdet"))
+
+
+def likelihood(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
+    return log_likelihood(factors, _over(graph, "v", _noise(3))).select(_rounded("log_likelihood", 4).alias("log_likelihood"))
+
+
+def likelihood_gradient(spark, sf_dir):
+    """In the covariance's bins."""
+    graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
+    found, _ = log_likelihood_gradient(graph, COV, factors, _over(graph, "v", _noise(3)))
+    return found.select(F.col("bin_id").cast("int").alias("bin_id"), _rounded("cov_bar", 3).alias("gradient"))
+
+
+def likelihood_gradient_values(spark, sf_dir):
+    graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
+    _, found = log_likelihood_gradient(graph, COV, factors, _over(graph, "v", _noise(3)))
+    return found.select("idx", _rounded("v_bar", 4).alias("gradient"))
+
+
 def shared_refine(spark, sf_dir):
     """Two noises under one covariance, whose factors are kept once."""
     graph, factors = _graph(spark, sf_dir), _factors(spark, sf_dir)
@@ -444,6 +472,7 @@ def queries() -> dict:
         parent_distance, cov_lookup, cov_lookup_vjp, matern_table, cov_matrix, cholesky, apply_cholesky, solve_forward, solve_backward, factor_weights,
         refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_tangent_linear, refine_cotangent,
         refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
+        refine_inverse_tangent, log_determinant_tangent, likelihood, likelihood_gradient, likelihood_gradient_values,
         order_tree, order_neighbors, order_depths, order_refine, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
@@ -461,19 +490,23 @@ def oracle_sql() -> dict[str, str]:
     chol = f"SELECT *, {low} AS l00, b / {low} AS l10, sqrt(kk - (b / {low}) * (b / {low})) AS l11 FROM f"
     refined = sql.forward(sql.noise("idx"), f"s * ({sql.noise('f.idx')})")
 
-    def cotangent(parts: tuple, more: str, digits: int, shift: int = 0) -> str:
-        """What the bins receive through the conditional weights, and more (distance, cotangent)."""
+    def to_bins(parts: tuple, y: str, more: str, digits: int, name: str = "cov_bar") -> str:
+        """What the bins receive through the conditional weights, and more (distance, cotangent); y: f with what the scale
+        receives over s (sg) and what the weights do, solved against the neighbours' covariance (y0, y1)."""
         return sql.query(
-            *parts,
-            f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx', shift)}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
-                FROM f JOIN z USING (idx) JOIN u a ON a.idx = f.n0 JOIN u c ON c.idx = f.n1)""",
+            *parts, y,
             f"""parts AS (SELECT 0.0::DOUBLE AS r, -y0 * w0 + sg / 2 * w0 * w0 - y1 * w1 + sg / 2 * w1 * w1 + sg / 2 AS bar FROM y
                 UNION ALL SELECT r01, -y0 * w1 - y1 * w0 + sg * w0 * w1 FROM y UNION ALL SELECT r0, y0 - sg * w0 FROM y UNION ALL SELECT r1, y1 - sg * w1 FROM y {more})""",
             f"placed AS (SELECT *, {j} AS j FROM parts)",
             f"tt AS (SELECT *, CASE WHEN j = 0 OR j = {len(BINS)} THEN 0 ELSE (r - (j - 1) / 20.0::DOUBLE) * 20 END AS t FROM placed)",
-            select=f"""SELECT b.bin_id::INTEGER AS bin_id, {r('coalesce(sum(val), 0)', digits)} AS cov_bar FROM (SELECT unnest(range({len(BINS)})) AS bin_id) b LEFT JOIN
+            select=f"""SELECT b.bin_id::INTEGER AS bin_id, {r('coalesce(sum(val), 0)', digits)} AS {name} FROM (SELECT unnest(range({len(BINS)})) AS bin_id) b LEFT JOIN
                 (SELECT greatest(j - 1, 0) AS bin_id, bar * (1 - t) AS val FROM tt UNION ALL SELECT least(j, {len(BINS) - 1}), bar * t FROM tt) x ON x.bin_id = b.bin_id GROUP BY b.bin_id""")
 
+    def cotangent(parts: tuple, more: str, digits: int, shift: int = 0) -> str:
+        y = f"""y AS MATERIALIZED (SELECT f.*, vbar * ({sql.noise('f.idx', shift)}) / s AS sg, vbar * (kk * a.v - b * c.v) / (kk * kk - b * b) AS y0, vbar * (kk * c.v - b * a.v) / (kk * kk - b * b) AS y1
+            FROM f JOIN z USING (idx) JOIN u a ON a.idx = f.n0 JOIN u c ON c.idx = f.n1)"""
+        return to_bins(parts, y, more, digits)
+
     out = {
         "tree_build": sql.query(*base, select="SELECT node, point_id FROM t"),
         "tree_split_dims": sql.query(*base, select="SELECT node, split_dim FROM t"),
@@ -524,6 +557,17 @@ def oracle_sql() -> dict[str, str]:
     out["refine_cotangent_bars"] = out["refine_transpose_bars"]
     again = sql.forward(sql.noise("idx", 11), f"s * ({sql.noise('f.idx', 11)})", "m")
     out["shared_refine"] = sql.query(*fact, refined, again, select=f"SELECT 0 AS batch, idx, {r('v')} AS v FROM u UNION ALL SELECT 1, idx, {r('v')} FROM m")
+    # the inverse, the log-determinant and the likelihood of values
+    v, va, vb = sql.noise("f.idx", 3), sql.noise("f.n0", 3), sql.noise("f.n1", 3)
+    inverse = f"xs AS MATERIALIZED (SELECT f.*, {v} AS v, {va} AS va, {vb} AS vb, (({v}) - w0 * ({va}) - w1 * ({vb})) / s AS xi FROM f)"
+    moved = " - ".join([f"({sql.noise('idx', 7)})", f"w0 * ({sql.noise('n0', 7)})", f"w1 * ({sql.noise('n1', 7)})", "dw0 * va", "dw1 * vb", "ds * xi"])
+    out["refine_inverse_tangent"] = sql.query(*two, sql.factors(COV, DCOV), inverse, select=f"SELECT idx, {r(f'({moved}) / s', 5)} AS dxi FROM xs JOIN (SELECT idx, dw0, dw1, ds FROM df) USING (idx)")
+    out["log_determinant_tangent"] = sql.query(*two, sql.factors(COV, DCOV), select=f"SELECT {r('sum(ds / s)', 5)} AS dlogdet FROM df")
+    out["likelihood"] = sql.query(*fact, inverse, select=f"SELECT {r('-sum(xi * xi) / 2 - sum(ln(s))', 4)} AS log_likelihood FROM xs")
+    y = """y AS MATERIALIZED (SELECT *, (xi * xi - 1) / s / s AS sg, xi / s * (kk * va - b * vb) / (kk * kk - b * b) AS y0, xi / s * (kk * vb - b * va) / (kk * kk - b * b) AS y1 FROM xs)"""
+    out["likelihood_gradient"] = to_bins((*fact, inverse), y, "", 3, "gradient")
+    out["likelihood_gradient_values"] = sql.query(*fact, inverse, select=f"""SELECT idx, {r('sum(g)', 4)} AS gradient FROM (
+        SELECT idx, -xi / s AS g FROM xs UNION ALL SELECT n0, w0 * xi / s FROM xs UNION ALL SELECT n1, w1 * xi / s FROM xs) GROUP BY idx""")
     # whole fields, and the same for each of several noises
     three = (*base, sql.graph(K, START))
     whole = (*three, sql.factors(COV), sql.start(COV))
