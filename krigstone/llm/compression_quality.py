@@ -4,10 +4,10 @@ One zstandard dictionary is built from good and one from bad labelled texts.  Ev
 is compressed with each.  The difference of the two sizes, normalised by the length of the text, is
 the only input of the score; a logistic calibration maps it to (0, 1).
 
-The fit uses a bounded sample of labelled rows: at most ``per_class`` rows a class, in the order of a
-digest of their doc_id, of those with a text of 1 to ``most_bytes`` bytes.  Texts are whole wherever they
-are used.  The driver receives at most 2 * per_class * most_bytes bytes (192 MB) of them, in general some
-MB.  The calibration is fitted to differences of texts that were not in the dictionaries: each half of the
+The fit uses a bounded sample of labelled rows that have a text, whatever its length: of each class the first
+in the order of a digest of their doc_id, at most ``per_class`` rows and, of these, as many as hold ``most_bytes`` bytes
+together.  Texts are whole wherever they are used.  The driver receives at most 2 * most_bytes bytes of them.
+The calibration is fitted to differences of texts that were not in the dictionaries: each half of the
 sample is compressed with dictionaries of the other half.
 
 Defined results: a null or empty text has the difference 0 and the score of that; if a class has fewer
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import materialize, slices, texts
 
 PER_CLASS = 3000
-MOST_BYTES = 32 << 10
+MOST_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 MIN_TEXTS = 16
@@ -89,18 +89,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=PER_CLASS, most_bytes=MOST
     )
     count = {q: int(n) for q, n in marked.groupBy("quality").count().collect()}
     share = (count.get(1, 0) / sum(count.values())) if count else 0.5
-    size = F.octet_length("text")
-    eligible = texts(docs).where((size > 0) & (size <= most_bytes)).withColumn("which", F.xxhash64("text"))
-    keys = []
+    held = texts(docs).where("text <> ''")
+    # ids, digests and sizes of all rows with a label; of their texts, only the sample's go further
+    rows = held.select("doc_id", F.xxhash64("text").alias("which"), F.octet_length("text").alias("n_bytes")).join(marked, "doc_id").distinct()
+    rows, keys = materialize(rows), []
     for q in (0, 1):
-        # candidates among the labels, bounded before the join; ids of sampled rows, bounded after it
-        chosen = marked.where(F.col("quality") == q).distinct().orderBy("turn", "doc_id").limit(2 * per_class)
-        rows = eligible.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", "which").distinct()
-        keys += [(r["doc_id"], r["which"], q, i) for i, r in enumerate(rows.orderBy("turn", "doc_id", "which").limit(per_class).collect())]
+        first = rows.where(F.col("quality") == q).orderBy("turn", "doc_id", "which").limit(per_class).collect()
+        total = 0
+        for i, r in enumerate(first):
+            total += r["n_bytes"]
+            if total > most_bytes:
+                break
+            keys.append((r["doc_id"], r["which"], q, i))
     if min(sum(k[2] == q for k in keys) for q in (0, 1)) < MIN_TEXTS:
         return {"share": share}
     wanted = docs.sparkSession.createDataFrame(keys, "doc_id long, which long, quality int, turn int")
-    found = eligible.join(F.broadcast(wanted), ["doc_id", "which"]).dropDuplicates(["doc_id", "which", "quality"])
+    found = held.withColumn("which", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "which"]).dropDuplicates(["doc_id", "which", "quality"])
     sample = sorted((r["quality"], r["turn"], r["text"].encode("utf-8", "replace")) for r in found.select("quality", "turn", "text").collect())
     rows = {q: [t for x, _, t in sample if x == q] for q in (0, 1)}
     x, y = [], []
