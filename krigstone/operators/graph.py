@@ -11,7 +11,7 @@ from ..sources.points import coordinates
 from ..storage import materialize
 from .depth import compute_depths, offsets, order_by_depth
 from .neighbors import query_preceding_neighbors
-from .tree import build_tree
+from .tree import LEAF, build_tree
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,10 @@ def check_points(points: DataFrame) -> DataFrame:
     return points
 
 
-def build_graph(points: DataFrame, n0: int, k: int) -> Graph:
+def build_graph(points: DataFrame, n0: int, k: int, leaf: int = LEAF) -> Graph:
     if n0 < k:
         raise ValueError(f"n0 = {n0} must be at least k = {k}")
-    tree = build_tree(check_points(points))
+    tree = build_tree(check_points(points), leaf)
     edges = materialize(query_preceding_neighbors(tree, n0, k).select("idx", "slot", "nb"))
     nodes = tree.withColumnRenamed("node", "idx").drop("split_dim")
     ordered, moved = order_by_depth(nodes, edges, compute_depths(edges, nodes, n0), n0)

@@ -36,6 +36,8 @@ COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-5 * (r == 0) for
 BOTH = Covariance(BINS, (COV.values[0], tuple(round(2 * math.exp(-r / 0.5), 9) + 1e-5 * (r == 0) for r in BINS)))
 #: 1000 bins whose gaps grow, and values without transcendental functions.
 FINE = Covariance(tuple(i * i / 400000.0 for i in range(1000)), (tuple(1.0 / (1.0 + i * i / 100000.0) for i in range(1000)),))
+#: Segments of orders that a task finishes: small, so that they are split by counting before.
+ORDER_LEAF = 2048
 #: For orders, whose plane is about one wide: exponential, with more jitter, as many orders are close.
 ORDER_COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-3 * (r == 0) for r in BINS),))
 #: Noises under one covariance.
@@ -67,12 +69,12 @@ def _graph(spark, sf_dir, k=K, n0=N0) -> Graph:
 
 
 def _order_tree(spark, sf_dir) -> DataFrame:
-    """15000 orders at sf0.01, enough for segments, tiles and levels beyond one task."""
-    return _once(spark, sf_dir, "order tree", lambda: build_tree(order_points(spark, sf_dir)))
+    """15000 orders at sf0.01: segments are split by counting, and neighbours are sought in more than the top tile."""
+    return _once(spark, sf_dir, "order tree", lambda: build_tree(order_points(spark, sf_dir), ORDER_LEAF))
 
 
 def _order_graph(spark, sf_dir) -> Graph:
-    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K))
+    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K, ORDER_LEAF))
 
 
 def _factors(spark, sf_dir, cov=COV, name="one", n0=N0) -> DataFrame:

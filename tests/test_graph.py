@@ -48,9 +48,17 @@ def test_tree(spark, n, d, kind, leaf):
     assert found == plain_tree(x)
 
 
-def test_tree_of_large_segments(spark, monkeypatch):
-    monkeypatch.setattr(tree, "WINDOW_ROWS", 50)
-    x = cloud(200, 3, "ties")
+@pytest.mark.parametrize("kind,few", [("ties", 1 << 16), ("normal", 1 << 16), ("one place", 1), ("far away", 1 << 16)])
+def test_medians_of_refined_histograms(spark, monkeypatch, kind, few):
+    """Cells of few points, so that histograms are refined several times, also by point_id."""
+    monkeypatch.setattr(tree, "SELECT", 3)
+    monkeypatch.setattr(tree, "CELLS", 16)
+    monkeypatch.setattr(tree, "FEW", few)
+    x = cloud(200, 3, "ties" if kind == "ties" else "normal")
+    if kind == "one place":
+        x[20:180] = x[0]
+    elif kind == "far away":
+        x[7], x[8:12] = 1e200, -1e-300
     found = {r["node"]: (r["point_id"], r["split_dim"]) for r in tree.build_tree(points_of(spark, x), 40).collect()}
     assert found == plain_tree(x)
 
