@@ -8,13 +8,15 @@ lexicon is one row: a bit set of 32 to 64 bits for each of its terms, of which a
 term is taken as a member where both of its bits are set, with probability below 1 / 256 at any size, and
 everywhere alike.
 
-Randomised subsets: a term's hash deals it at random into one of 64 subsets of the lexicon and, of one
-term in 16, into one of 64 more, as a short text needs dense subsets and a long text sparse ones.  Subsets
+Randomised subsets: a term's hash deals it at random into one of 256 subsets of the lexicon and, of one
+term in 16, into one of 256 more, as a short text needs dense subsets and a long text sparse ones.  Subsets
 of a level are disjoint: drawn independently of each other at the same cost, they told an edited text from
 another one in 82 to 95 of 100 cases, disjoint ones in 99 (1000 documents).
 A signature is the hash of a subset's distinct terms in the text, in sorted order; a fingerprint has one
 for every subset with terms in the text.  The likeness of two fingerprints is the share of subsets with
-equal signatures among those where either has terms.
+equal signatures among those where either has terms, at the dense level if either has terms in at most half of its
+subsets, else at the sparse one.  Then most subsets hold one term, and the likeness is near the share of common
+terms: 0.34 on average against 0.37 between 1000 texts and their half-replaced ones.
 
 Defined results: a text without a lexicon term uses all of its terms; a text without terms (null,
 empty, only signs) has the fingerprint of no signatures, which is like itself only (1) and unlike
@@ -32,10 +34,11 @@ from .common import materialize, partitions, texts
 
 LOW, HIGH = 1e-3, 0.2
 #: A level has 2**CELL_BITS subsets, which hold one term in 2**(CELL_BITS + shift) each.
-CELL_BITS = 6
+CELL_BITS = 8
 SHIFTS = (0, 4)
 #: A signature's low bits are its subset's number.
-PLACE = 0xFF
+PLACE_BITS = CELL_BITS + 1
+PLACE = (1 << PLACE_BITS) - 1
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -76,7 +79,7 @@ def _dealt(terms: Column) -> Column:
         bits = lambda t, start, n: F.shiftrightunsigned(t, start).bitwiseAND((1 << n) - 1)
         kept = F.filter(terms, lambda t: bits(t, skip, shift) == 0) if shift else terms
         place = lambda t: bits(t, skip + shift, CELL_BITS) + (level << CELL_BITS)
-        return F.transform(kept, lambda t: F.call_function("shiftleft", place(t), F.lit(56)).bitwiseOR(F.shiftrightunsigned(t, 8)))
+        return F.transform(kept, lambda t: F.call_function("shiftleft", place(t), F.lit(63 - PLACE_BITS)).bitwiseOR(F.shiftrightunsigned(t, PLACE_BITS + 1)))
 
     return F.sort_array(F.concat(*(one(level, shift) for level, shift in enumerate(SHIFTS))))
 
@@ -100,7 +103,7 @@ def fingerprints(frame: DataFrame, words: DataFrame, name: str, column: str) ->
     frame = frame.select(*keep, chosen.alias("_terms"))
     frame = frame.select(*keep, _dealt(F.col("_terms")).alias("_dealt"))
     # a signature is the hash of a slice: from where a place begins to where the next one does
-    place = lambda i: F.shiftright(F.get("_dealt", i), 56)
+    place = lambda i: F.shiftright(F.get("_dealt", i), 63 - PLACE_BITS)
     n = F.size("_dealt")
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (place(i) != place(i - 1)))
     frame = frame.select(*keep, "_dealt", F.when(n > 0, begins).otherwise(F.array().cast("array<int>")).alias("_begins"))
@@ -114,13 +117,18 @@ def fingerprints(frame: DataFrame, words: DataFrame, name: str, column: str) ->
 
 def as_text(signatures: Column) -> Column:
     """Subset number and signature in hexadecimal, e.g. 3:1f00, by number."""
-    return F.array_join(F.transform(signatures, lambda s: F.concat_ws(":", s.bitwiseAND(PLACE), F.lower(F.hex(F.shiftrightunsigned(s, 8))))), " ")
+    return F.array_join(F.transform(signatures, lambda s: F.concat_ws(":", s.bitwiseAND(PLACE), F.lower(F.hex(F.shiftrightunsigned(s, PLACE_BITS))))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    places = lambda x: F.transform(x, lambda s: s.bitwiseAND(PLACE))
-    either = F.size(F.array_union(places(a), places(b)))
-    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Of two fingerprints, from 0 to 1; see the module."""
+    sparse = lambda s: s.bitwiseAND(PLACE) >= (1 << CELL_BITS)
+    union = F.array_union(F.transform(a, lambda s: s.bitwiseAND(PLACE)), F.transform(b, lambda s: s.bitwiseAND(PLACE)))
+    either, both = F.size(union), F.array_intersect(a, b)
+    either_sparse, both_sparse = F.size(F.filter(union, sparse)), F.size(F.filter(both, sparse))
+    either_dense = either - either_sparse
+    use_dense = (either_dense <= 1 << (CELL_BITS - 1)) | (either_sparse == 0)
+    return F.when(either == 0, 1.0).when(use_dense, (F.size(both) - both_sparse) / either_dense).otherwise(both_sparse / either_sparse)
 
 
 def with_next(docs: DataFrame, *columns: str, more=None) -> DataFrame:

@@ -162,10 +162,10 @@ def plain_fingerprints(rows, low=imatch.LOW, high=imatch.HIGH):
         subsets = {}
         for t in {t for t in own if places(t) <= held} or own:
             t %= 1 << 64
-            subsets.setdefault(t & 63, []).append(t >> 8)
-            if t >> 6 & 15 == 0:
-                subsets.setdefault(64 + (t >> 10 & 63), []).append(t >> 8)
-        return {s: chain([(s << 56) | t for t in sorted(subsets[s])]) % (1 << 64) >> 8 for s in sorted(subsets)}
+            subsets.setdefault(t & 255, []).append(t >> 10)
+            if t >> 8 & 15 == 0:
+                subsets.setdefault(256 + (t >> 12 & 255), []).append(t >> 10)
+        return {s: chain([(s << 54) | t for t in sorted(subsets[s])]) % (1 << 64) >> 9 for s in sorted(subsets)}
 
     out = {}
     for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
@@ -179,7 +179,12 @@ def test_imatch_equals_brute_force(documents, high):
     rows = [(r["doc_id"], r["text"] or "") for r in documents.orderBy("doc_id").collect()]
     want = plain_fingerprints(rows, high=high)
     written = lambda f: " ".join(f"{s}:{x:x}" for s, x in f.items())
-    alike = lambda a, b: sum(a[s] == b.get(s) for s in a) / len(a.keys() | b.keys()) if a or b else 1.0
+
+    def alike(a, b):
+        levels = [[s for s in a.keys() | b.keys() if (s >= 256) == sparse] for sparse in (False, True)]
+        chosen = levels[0] if len(levels[0]) <= 128 or not levels[1] else levels[1]
+        return sum(a.get(s) == b.get(s) for s in chosen) / len(chosen) if chosen else 1.0
+
     better = 0
     for i, r in rows_of(imatch.compare_edits(documents, high=high)).items():
         own, edited, after = want[i]
