@@ -15,20 +15,20 @@ from ..storage import Growing, materialize, numbered
 FEW = 1 << 20
 
 
-def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int) -> DataFrame:
+def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int, few: int | None = None) -> DataFrame:
     """idx and depth of every node: 0 below n0, else one more than its deepest neighbour.
 
     Round r finds the nodes of depth r or more: those with a neighbour of depth r - 1 or more.  They are a
     part of those of the round before, so only edges between these are looked at again, and an edge is
     read as often as the node that it leads to is deep.  Each round adds its nodes to a growing table,
-    in which a node's last round is its depth.  When few edges are left, one task goes on alone.  If a round
+    in which a node's last round is its depth.  When few (FEW) edges are left, one task goes on alone.  If a round
     finds as many nodes as the last one, the graph has a cycle.
     """
     found = Growing(edges.sparkSession, "idx long", by="depth")
     found.add(nodes.select("idx", F.when(F.col("idx") < n0, 0).otherwise(1).cast("int").alias("depth")))
     live = materialize(edges.select("idx", "nb").where((F.col("idx") >= n0) & (F.col("nb") >= n0)))
     depth, before = 2, None
-    while live.count() > FEW:
+    while live.count() > (FEW if few is None else few):
         deeper = materialize(live.select("idx").distinct())
         n = deeper.count()
         if n == before:

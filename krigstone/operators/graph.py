@@ -38,11 +38,12 @@ def check_points(points: DataFrame) -> DataFrame:
     return points
 
 
-def build_graph(points: DataFrame, n0: int, k: int, leaf: int = LEAF) -> Graph:
+def build_graph(points: DataFrame, n0: int, k: int, leaf: int = LEAF, few: int | None = None) -> Graph:
+    """The graph of k nearest preceding neighbours in the order by depth; leaf and few bound what single tasks finish of tree and depths."""
     if n0 < k:
         raise ValueError(f"n0 = {n0} must be at least k = {k}")
     tree = build_tree(check_points(points), leaf)
     edges = materialize(query_preceding_neighbors(tree, n0, k).select("idx", "slot", "nb"))
     nodes = tree.withColumnRenamed("node", "idx").drop("split_dim")
-    ordered, moved = order_by_depth(nodes, edges, compute_depths(edges, nodes, n0), n0)
+    ordered, moved = order_by_depth(nodes, edges, compute_depths(edges, nodes, n0, few), n0)
     return Graph(ordered, moved, n0, k)

@@ -69,11 +69,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _levels(factors: DataFrame) -> list[list[int]]:
+def _levels(factors: DataFrame, together: int | None) -> list[list[int]]:
     """The depths that occur, ascending, in groups of those that are settled together."""
-    groups, held = [], 0
+    groups, held, most = [], 0, TOGETHER if together is None else together
     for r in factors.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth").collect():  # a row a level
-        if groups and held + r["n"] <= TOGETHER:
+        if groups and held + r["n"] <= most:
             groups[-1].append(r["depth"])
             held += r["n"]
         else:
@@ -126,14 +126,14 @@ def _flow(value: list[str]) -> list:
     return [F.sum(F.col("w") * F.col(c)).alias(c) for c in value]
 
 
-def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame, value: list[str]) -> DataFrame:
+def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame, value: list[str], together: int | None = None) -> DataFrame:
     """batch, idx, values v with v = initial, and above it v_i = sum_j w_ij v_nb(j) + source_i."""
     edges = _edges(factors, "nb_depth")
     own = source.join(factors.select(*KEYS, "depth"), KEYS)
     # what each point receives, laid out by its depth: its source, then the flows from below
     received = _received(factors, value)
     received.add(own.select(*KEYS, *value, "depth").unionByName(initial.select(*KEYS, *value, F.lit(0).alias("depth"))))
-    groups = _levels(factors)
+    groups = _levels(factors, together)
     for group in [[0], *groups]:
         low, high = group[0], group[-1]
         if low < high:
@@ -145,14 +145,14 @@ def solve_forward(factors: DataFrame, source: DataFrame, initial: DataFrame, val
     return received.read().groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in value))
 
 
-def solve_backward(factors: DataFrame, cotangent: DataFrame, value: list[str]) -> DataFrame:
+def solve_backward(factors: DataFrame, cotangent: DataFrame, value: list[str], together: int | None = None) -> DataFrame:
     """batch, idx, values: cotangent (batch, idx, values) plus what flows back from later points."""
     edges = _edges(factors, "depth")
     own = cotangent.join(factors.select(*KEYS, "depth"), KEYS, "left")
     # what each point receives, laid out by its depth: its cotangent, then the flows from above
     received = _received(factors, value)
     received.add(own.select(*KEYS, *value, F.coalesce("depth", F.lit(0)).alias("depth")))
-    for group in reversed(_levels(factors)):
+    for group in reversed(_levels(factors, together)):
         low, high = group[0], group[-1]
         if low < high:
             received.add(_settled(edges, received, value, group, up=False))
@@ -173,22 +173,22 @@ def each_pass(shared: bool, tables: list[DataFrame], make: Callable[[list[int] |
     return union([make(ids) for ids in passes(shared, *tables)])
 
 
-def refine(factors: DataFrame, initial: DataFrame, xi: DataFrame, shared: bool = False) -> DataFrame:
+def refine(factors: DataFrame, initial: DataFrame, xi: DataFrame, shared: bool = False, together: int | None = None) -> DataFrame:
     """batch, idx, v from initial (batch, idx, v) and noise xi (batch, idx, xi)."""
     own = of(factors, shared)
 
     def make(ids):
         value = names(ids)
         source = own.select(*KEYS, "s").join(columns(xi, "xi", ids), KEYS).select(*KEYS, *((F.col("s") * F.col(c)).alias(c) for c in value))
-        return rows(solve_forward(own, source, columns(initial, "v", ids), value), "v", ids)
+        return rows(solve_forward(own, source, columns(initial, "v", ids), value, together), "v", ids)
 
     return each_pass(shared, [initial, xi], make)
 
 
-def back(factors: DataFrame, cotangent: DataFrame, shared: bool) -> list[tuple[list[int] | None, DataFrame]]:
+def back(factors: DataFrame, cotangent: DataFrame, shared: bool, together: int | None = None) -> list[tuple[list[int] | None, DataFrame]]:
     """The cotangents of all values, as columns, for each pass."""
     own = of(factors, shared)
-    return [(ids, materialize(solve_backward(own, columns(cotangent, "vbar", ids), names(ids)))) for ids in passes(shared, cotangent)]
+    return [(ids, materialize(solve_backward(own, columns(cotangent, "vbar", ids), names(ids), together))) for ids in passes(shared, cotangent)]
 
 
 def bars(factors: DataFrame, ids: list[int] | None, vbar: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,9 +197,9 @@ def bars(factors: DataFrame, ids: list[int] | None, vbar: DataFrame) -> tuple[Da
     return rows(initial_bar, "initial_bar", ids), rows(scaled(factors, vbar, names(ids)), "xi_bar", ids)
 
 
-def refine_transpose(factors: DataFrame, cotangent: DataFrame, shared: bool = False) -> tuple[DataFrame, DataFrame]:
+def refine_transpose(factors: DataFrame, cotangent: DataFrame, shared: bool = False, together: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(batch, idx, initial_bar) and (batch, idx, xi_bar) from a cotangent (batch, idx, vbar)."""
-    found = [bars(of(factors, shared), ids, vbar) for ids, vbar in back(factors, cotangent, shared)]
+    found = [bars(of(factors, shared), ids, vbar) for ids, vbar in back(factors, cotangent, shared, together)]
     return union([f[0] for f in found]), union([f[1] for f in found])
 
 

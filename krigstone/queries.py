@@ -36,8 +36,9 @@ COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-5 * (r == 0) for
 BOTH = Covariance(BINS, (COV.values[0], tuple(round(2 * math.exp(-r / 0.5), 9) + 1e-5 * (r == 0) for r in BINS)))
 #: 1000 bins whose gaps grow, and values without transcendental functions.
 FINE = Covariance(tuple(i * i / 400000.0 for i in range(1000)), (tuple(1.0 / (1.0 + i * i / 100000.0) for i in range(1000)),))
-#: Segments of orders that a task finishes: small, so that they are split by counting before.
-ORDER_LEAF = 2048
+#: What a task finishes of the orders' tree (points), depths (edges) and levels (points): little, so that the ways of large
+#: tables are taken at any size.
+ORDER_LEAF, ORDER_FEW, ORDER_TOGETHER = 2048, 2000, 1000
 #: For orders, whose plane is about one wide: exponential, with more jitter, as many orders are close.
 ORDER_COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-3 * (r == 0) for r in BINS),))
 #: Noises under one covariance.
@@ -74,7 +75,7 @@ def _order_tree(spark, sf_dir) -> DataFrame:
 
 
 def _order_graph(spark, sf_dir) -> Graph:
-    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K, ORDER_LEAF))
+    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K, ORDER_LEAF, ORDER_FEW))
 
 
 def _factors(spark, sf_dir, cov=COV, name="one", n0=N0) -> DataFrame:
@@ -171,7 +172,14 @@ def order_depths(spark, sf_dir):
 def order_refine(spark, sf_dir):
     graph = _order_graph(spark, sf_dir)
     factors = _once(spark, sf_dir, "order factors", lambda: factorize(graph, ORDER_COV))
-    return refine(factors, *_initial_and_noise(graph)).select("idx", _rounded("v", 5).alias("v"))
+    return refine(factors, *_initial_and_noise(graph), together=ORDER_TOGETHER).select("idx", _rounded("v", 5).alias("v"))
+
+
+def order_transpose(spark, sf_dir):
+    graph = _order_graph(spark, sf_dir)
+    factors = _once(spark, sf_dir, "order factors", lambda: factorize(graph, ORDER_COV))
+    first, later = refine_transpose(factors, _over(graph, "vbar", _noise(5)), together=ORDER_TOGETHER)
+    return first.select("idx", F.col("initial_bar").alias("bar")).unionByName(later.select("idx", F.col("xi_bar").alias("bar"))).select("idx", _rounded("bar", 4).alias("bar"))
 
 
 # sorting
@@ -475,7 +483,7 @@ def queries() -> dict:
         refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_tangent_linear, refine_cotangent,
         refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
         refine_inverse_tangent, log_determinant_tangent, likelihood, likelihood_gradient, likelihood_gradient_values,
-        order_tree, order_neighbors, order_depths, order_refine, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
+        order_tree, order_neighbors, order_depths, order_refine, order_transpose, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
 
@@ -617,6 +625,7 @@ def oracle_sql() -> dict[str, str]:
     out["order_neighbors"] = sql.query(*plane, sql.least_neighbors(3, N0), select=f"SELECT idx, slot::INTEGER AS slot, nb, {r('d2', 12)} AS d2 FROM e0")
     out["order_depths"] = sql.query(*plane, sql.graph(K, N0, sql.least_neighbors), select="SELECT idx, point_id, depth FROM gp")
     out["order_refine"] = sql.query(*orders, refined, select=f"SELECT idx, {r('v', 5)} AS v FROM u")
+    out["order_transpose"] = sql.query(*orders, sql.backward(sql.noise("g.idx", 5)), select=f"SELECT z.idx, {r('coalesce(s, 1) * vbar', 4)} AS bar FROM z LEFT JOIN f USING (idx)")
     up = """up AS (SELECT a.node, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS r FROM (SELECT *, length(bin(node + 1)) - 1 AS l FROM t WHERE node > 0) a JOIN t b
         ON b.node = (a.node + 1 - (1::BIGINT << a.l::INTEGER)) % (1::BIGINT << (a.l - 1)::INTEGER) + (1::BIGINT << (a.l - 1)::INTEGER) - 1)"""
     bins = "fb AS (SELECT i AS bin_id, (i * i)::DOUBLE / 400000.0::DOUBLE AS r0, 1.0::DOUBLE / (1.0::DOUBLE + (i * i)::DOUBLE / 100000.0::DOUBLE) AS val FROM (SELECT unnest(range(1000)) AS i))"
