@@ -6,7 +6,8 @@ ties.  Equal windows choose equal anchors, so documents that share a window meet
 anchors.  There each anchor is extended both ways to every window that chose it, and each such window
 is matched with its source: the same window around the same anchor in the document with the smallest
 doc_id.  Matches of one document with one source on one diagonal (the distance of their places) are
-then joined to maximal repeats, of at least a window (``maximal_repeats``).  The words of a document
+then joined to maximal repeats, of at least a window (``maximal_repeats``); they are maximal for their source, so
+a repeat is cut where a part of it occurs in a document with a still smaller doc_id.  The words of a document
 that lie in its repeats with documents of smaller doc_ids are removed.  Windows are judged on the
 input, not on what is left.
 
