@@ -142,27 +142,30 @@ def _files(docs: DataFrame) -> DataFrame:
 
 
 def _owners(listed: DataFrame) -> DataFrame:
-    """media, chunks, sizes, keeps (whether the file's pack holds the chunk: it owns it, and this is its
-    first place) and sends (whether the chunk will be asked for elsewhere), of every different file."""
+    """media, chunks, sizes and own, of every different file: the places of the chunks that it owns (each at its
+    first place in the file), and whether other files have them."""
     contents = listed.groupBy("media").agg(F.first(F.struct("chunks", "sizes")).alias("c")).select("media", "c.*")
     each = contents.select("media", F.posexplode("chunks").alias("at", "digest"))
     # partial aggregation before the shuffle: a chunk in most files is a row a task
     owner = each.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("first"), F.max("media").alias("last"))
     held = owner.select(F.col("first.media").alias("media"), F.struct(F.col("first.at").alias("at"), (F.col("last") != F.col("first.media")).alias("shared")).alias("own"))
     held = held.groupBy("media").agg(F.collect_list("own").alias("own"))  # at most the chunks of a file
-    places = F.transform("own", lambda x: x["at"])
-    shared = F.transform(F.filter("own", lambda x: x["shared"]), lambda x: x["at"])
-    joined = contents.join(held, "media", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<at:int,shared:boolean>>")))
-    keeps = F.transform("chunks", lambda _, i: F.array_contains(places, i))
-    lone = F.size("own") == F.size(F.array_distinct("chunks"))
-    sends = F.transform("chunks", lambda _, i: F.array_contains(places, i) & (~lone | F.array_contains(shared, i)))
-    return joined.select("media", "chunks", "sizes", keeps.alias("keeps"), sends.alias("sends"), lone.alias("whole"))
+    return contents.join(held, "media", "left")
+
+
+def _flags(chunks: list[bytes], own: list[dict] | None) -> tuple[list[bool], list[bool], bool]:
+    """For each place whether the file's pack holds the chunk, and whether the chunk will be asked for elsewhere; and
+    whether the file owns all of its chunks."""
+    shared = {x["at"]: x["shared"] for x in own or ()}
+    whole = len(shared) == len(set(chunks))
+    keeps = [i in shared for i in range(len(chunks))]
+    return keeps, [k and (not whole or shared[i]) for i, k in enumerate(keeps)], whole
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(manifests, packs), both in the shared folder.
 
-    packs: media, chunks, sizes, keeps, sends and whole (see ``_owners``), and pack: the kept chunks one
+    packs: media, chunks, sizes, keeps, sends and whole (see ``_flags``), and pack: the kept chunks one
     after the other, compressed; null where a file keeps none.
     """
     listed = materialize(manifests(docs))
@@ -171,8 +174,10 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches):
         for batch in batches:
-            packs = []
-            for sizes, keeps, packed in zip(*(batch.column(i).to_pylist() for i in (2, 3, 6)), strict=True):
+            packs, flags = [], []
+            for chunks, sizes, own, packed in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                flags.append(_flags(chunks, own))
+                keeps = flags[-1][0]
                 if not any(keeps):
                     packs.append(None)
                 elif all(keeps):
@@ -180,11 +185,12 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 else:
                     data, ends = bz2.decompress(packed), np.cumsum(sizes).tolist()
                     packs.append(bz2.compress(b"".join(data[e - n : e] for e, n, k in zip(ends, sizes, keeps, strict=True) if k)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(packs, pa.binary())], schema=schema)
+            found = [pa.array([f[k] for f in flags], schema.field(3 + k).type) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found, pa.array(packs, pa.binary())], schema=schema)
 
-    fields = "media binary, chunks array<binary>, sizes array<int>, keeps array<boolean>, sends array<boolean>, whole boolean"
-    joined = plan.join(_files(docs), "media").select(*(f.split()[0] for f in fields.split(", ")), "packed")
-    return listed, materialize(joined.mapInArrow(run, fields + ", pack binary"))
+    fields = "media binary, chunks array<binary>, sizes array<int>, keeps array<boolean>, sends array<boolean>, whole boolean, pack binary"
+    joined = plan.join(_files(docs), "media").select("media", "chunks", "sizes", "own", "packed")
+    return listed, materialize(joined.mapInArrow(run, fields))
 
 
 def _kept_chunks(chunks, sizes, keeps, pack) -> dict[bytes, bytes]:
