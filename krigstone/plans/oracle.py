@@ -100,8 +100,8 @@ def factors(cov, dcov=None, batch: int = 0) -> str:
       (dk - 2 * (df0 * w0 + df1 * w1) + w0 * w0 * dk + 2 * w0 * w1 * db + w1 * w1 * dk) / (2 * s) AS ds FROM dr)"""
 
 
-def noise(idx: str, shift: int = 0) -> str:
-    return f"(({idx} * 7919 + {13 + shift}) % 2003) / 1001.0::DOUBLE - 1.0::DOUBLE"
+def noise(idx: str, shift: int | str = 0) -> str:
+    return f"(({idx} * 7919 + {13 + shift if isinstance(shift, int) else f'13 + {shift}'}) % 2003) / 1001.0::DOUBLE - 1.0::DOUBLE"
 
 
 _SHALLOW = f"(SELECT max(depth) FROM gp) <= {DEPTHS} OR error('deeper than {DEPTHS}')"

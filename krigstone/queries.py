@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.band import band, scatter_rows
 from .functions.covariance import Covariance, lookup, matern
 from .functions.geometry import left_child, level_of, parent, right_child, square_distance
+from .operators import dense
 from .operators.deriv import log_likelihood, log_likelihood_gradient, refine_inv_jvp, refine_jvp, refine_logdet_jvp, refine_vjp
 from .operators.factor import blocks, distances, factorize, local_sets
 from .operators.generate import generate, generate_inv, generate_jvp, generate_logdet, generate_vjp, start_factor
@@ -36,6 +37,9 @@ COV = Covariance(BINS, (tuple(round(math.exp(-r / 0.3), 9) + 1e-5 * (r == 0) for
 BOTH = Covariance(BINS, (COV.values[0], tuple(round(2 * math.exp(-r / 0.5), 9) + 1e-5 * (r == 0) for r in BINS)))
 #: 1000 bins whose gaps grow, and values without transcendental functions.
 FINE = Covariance(tuple(i * i / 400000.0 for i in range(1000)), (tuple(1.0 / (1.0 + i * i / 100000.0) for i in range(1000)),))
+#: The usual setting: a start of 100 points in four rows of tiles, 10 neighbours, 1000 bins.
+USUAL_N0, USUAL_K, USUAL_TILE = 100, 10, 32
+USUAL = Covariance(FINE.bins, ((FINE.values[0][0] + 1e-5, *FINE.values[0][1:]),))
 #: What a task finishes of the orders' tree (points), depths (edges) and levels (points): little, so that the ways of large
 #: tables are taken at any size.
 ORDER_LEAF, ORDER_FEW, ORDER_TOGETHER = 2048, 2000, 1000
@@ -476,6 +480,37 @@ def many_cotangents(spark, sf_dir):
     return cov_bar.select("batch", F.col("bin_id").cast("int").alias("bin_id"), _rounded("cov_bar", 4).alias("cov_bar"))
 
 
+def _usual(spark, sf_dir):
+    graph = _graph(spark, sf_dir, USUAL_K, USUAL_N0)
+    factors = _once(spark, sf_dir, "usual factors", lambda: factorize(graph, USUAL))
+    return graph, factors, _once(spark, sf_dir, "usual start", lambda: materialize(start_factor(graph, USUAL, tile=USUAL_TILE)))
+
+
+def usual_round_trip(spark, sf_dir):
+    """Five noises to fields and back, in the usual setting."""
+    graph, factors, start = _usual(spark, sf_dir)
+    values = materialize(generate(graph, USUAL, factors, _over(graph, "xi", _noises(0), NOISES), shared=True, start=start, tile=USUAL_TILE))
+    return generate_inv(graph, USUAL, factors, values, shared=True, start=start, tile=USUAL_TILE).select("batch", "idx", _rounded("xi").alias("xi"))
+
+
+def _start_product(spark, sf_dir):
+    """The covariance of the start times five vectors, as its factor times the factor's transpose."""
+    graph, _, start = _usual(spark, sf_dir)
+    side = dense.sides(_over(graph, "v", _noises(0), NOISES), "v", USUAL_N0, True, USUAL_TILE)
+    return start, dense.times(start, dense.times(start, side, USUAL_N0, transpose=True, tile=USUAL_TILE), USUAL_N0, tile=USUAL_TILE)
+
+
+def dense_product(spark, sf_dir):
+    return dense.unpack(_start_product(spark, sf_dir)[1], "v", USUAL_TILE).select("batch", "idx", _rounded("v").alias("v"))
+
+
+def dense_solve(spark, sf_dir):
+    """Both triangular solves on that product give the vectors back."""
+    start, product = _start_product(spark, sf_dir)
+    once = dense.solve(start, materialize(product), USUAL_N0, tile=USUAL_TILE)
+    return dense.unpack(dense.solve(start, once, USUAL_N0, transpose=True, tile=USUAL_TILE), "v", USUAL_TILE).select("batch", "idx", _rounded("v").alias("v"))
+
+
 def queries() -> dict:
     found = (
         tree_build, tree_split_dims, tree_navigation, knn_preceding, knn_bounded, knn_padded, depths, order_by_depth, build_graph_edges, offsets,
@@ -484,6 +519,7 @@ def queries() -> dict:
         refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
         refine_inverse_tangent, log_determinant_tangent, likelihood, likelihood_gradient, likelihood_gradient_values,
         order_tree, order_neighbors, order_depths, order_refine, order_transpose, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
+        usual_round_trip, dense_product, dense_solve,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
 
@@ -631,6 +667,15 @@ def oracle_sql() -> dict[str, str]:
     bins = "fb AS (SELECT i AS bin_id, (i * i)::DOUBLE / 400000.0::DOUBLE AS r0, 1.0::DOUBLE / (1.0::DOUBLE + (i * i)::DOUBLE / 100000.0::DOUBLE) AS val FROM (SELECT unnest(range(1000)) AS i))"
     near = """nr AS (SELECT up.node, up.r, coalesce(b.bin_id, 0) AS lo, CASE WHEN b.bin_id IS NULL THEN 0 ELSE least(b.bin_id + 1, 999) END AS hi FROM up ASOF LEFT JOIN fb b ON up.r > b.r0),
         nt AS (SELECT nr.*, a.val AS v0, b.val AS v1, CASE WHEN b.r0 > a.r0 THEN (nr.r - a.r0) / (b.r0 - a.r0) ELSE 0 END AS t FROM nr JOIN fb a ON a.bin_id = lo JOIN fb b ON b.bin_id = hi)"""
+    ids = f"(SELECT unnest(range({NOISES}))::INTEGER AS batch)"
+    vector = lambda idx: sql.noise(f"{idx}", "11 * batch")
+    out["usual_round_trip"] = sql.query(*base, select=f"SELECT batch, node AS idx, {r(vector('node'))} AS xi FROM t, {ids}")
+    out["dense_solve"] = sql.query(*base, select=f"SELECT batch, node AS idx, {r(vector('node'))} AS v FROM t, {ids} WHERE node < {USUAL_N0}")
+    pairs = f"""pr AS (SELECT a.node AS i, b.node AS j, sqrt({d2}) AS r FROM t a, t b WHERE a.node < {USUAL_N0} AND b.node < {USUAL_N0}),
+        pn AS (SELECT pr.*, coalesce(b.bin_id, 0) AS lo, CASE WHEN b.bin_id IS NULL THEN 0 ELSE least(b.bin_id + 1, 999) END AS hi FROM pr ASOF LEFT JOIN fb b ON pr.r > b.r0),
+        pk AS MATERIALIZED (SELECT i, j, CASE WHEN b.r0 > a.r0 THEN a.val + (b.val - a.val) * (pn.r - a.r0) / (b.r0 - a.r0) ELSE a.val END AS k FROM pn JOIN fu a ON a.bin_id = lo JOIN fu b ON b.bin_id = hi)"""
+    jittered = "fu AS (SELECT bin_id, r0, val + CASE WHEN bin_id = 0 THEN 1e-5::DOUBLE ELSE 0.0::DOUBLE END AS val FROM fb)"
+    out["dense_product"] = sql.query(*base, bins, jittered, pairs, select=f"SELECT batch, i AS idx, {r('sum(k * (' + vector('j') + '))')} AS v FROM pk, {ids} GROUP BY batch, i")
     out["cov_lookup_fine"] = sql.query(*plane, up, bins, near, select=f"SELECT node, lo::INTEGER AS lo, hi::INTEGER AS hi, {r('v0 + (v1 - v0) * t', 9)} AS val FROM nt")
     out["cov_lookup_vjp_fine"] = sql.query(*plane, up, bins, near, select=f"""SELECT bin_id::INTEGER AS bin_id, {r('sum(val)')} AS val FROM (
         SELECT lo AS bin_id, (1 - t) / (1.0::DOUBLE + node % 7) AS val FROM nt UNION ALL SELECT hi, t / (1.0::DOUBLE + node % 7) FROM nt) GROUP BY bin_id""")
