@@ -8,6 +8,11 @@
    2**TILE nodes each.  The top tile is sent to all tasks; below it, the queries that reach a
    tile meet its nodes in groups of bounded size.
 3. The k least by (distance, node) of what the descent finds.
+
+At ties of the k-th distance the least nodes are taken; with ``ties="met"`` those that a depth-first search meets which
+goes to the nearer child first, keeps the k least by (distance, node) that it has met, and takes a further node only if it
+is nearer than all but k - 1 of them.  Each visit carries its place in that search, so the outcome follows
+from the pairs up to the k-th distance alone.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from ..sources.points import check_neighbors, coordinates
 from ..storage import materialize
 
 TILE = 12
+#: The bit of a path for the children of the root.
+DEEPEST = 61
 #: Queries of a group that visits one tile.
 GROUP = 50_000
 
@@ -43,8 +50,10 @@ def _first_radius(queries: DataFrame, tree: DataFrame, dims: list[str], k: int)
     return queries.join(radius, ["query", "bound"], "left").withColumn("r2", F.coalesce("r2", F.lit(float("inf"))))
 
 
-def _descend(q: dict, ids, x, split, at: np.ndarray, node: np.ndarray, level: int, levels: int):
-    """Pairs found in a tile and what is left to visit below it.  q: arrays x, r2, bound."""
+def _descend(q: dict, ids, x, split, at: np.ndarray, node: np.ndarray, path: np.ndarray, level: int, levels: int):
+    """Pairs found in a tile and what is left to visit below it.  q: arrays x, r2, bound.
+
+    path: the choices that lead to a node, a bit a level from the highest on, 1 for the child farther from the query."""
     found, order = [], np.argsort(ids)
     ids, x, split = ids[order], x[order], split[order]
     for here in range(level, level + levels):
@@ -52,20 +61,22 @@ def _descend(q: dict, ids, x, split, at: np.ndarray, node: np.ndarray, level: in
             break
         pos = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
         ok = (ids[pos] == node) & (node < q["bound"][at])
-        at, node, pos = at[ok], node[ok], pos[ok]
+        at, node, pos, path = at[ok], node[ok], pos[ok], path[ok]
         gap = q["x"][at] - x[pos]
         d2 = gap[:, 0] * gap[:, 0]
         for j in range(1, gap.shape[1]):
             d2 = d2 + gap[:, j] * gap[:, j]
         hit = d2 <= q["r2"][at]
-        found.append((at[hit], node[hit], d2[hit]))
+        found.append((at[hit], node[hit], d2[hit], path[hit]))
         side = gap[np.arange(len(at)), split[pos]]
         close = side * side <= q["r2"][at]
         left, right = close | (side <= 0), close | (side >= 0)
+        bit = np.int64(1 << (DEEPEST - here))
+        path = np.concatenate([path[left] + bit * (side[left] >= 0), path[right] + bit * (side[right] < 0)])
         node = np.concatenate([node[left] + (1 << here), node[right] + (2 << here)])
         at = np.concatenate([at[left], at[right]])
-    pairs = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)]
-    return pairs, (at, node)
+    pairs = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+    return pairs, (at, node, path)
 
 
 def _rows(q, table, dims, pairs, rest):
@@ -73,7 +84,8 @@ def _rows(q, table, dims, pairs, rest):
     at = np.concatenate([pairs[0], rest[0]]).astype(np.int64)
     node = np.concatenate([pairs[1], rest[1]]).astype(np.int64)
     d2 = pa.array(np.concatenate([pairs[2], np.zeros(len(rest[0]))]), mask=np.arange(len(at)) >= len(pairs[0]))
-    return pa.table({"query": q["query"][at], "bound": q["bound"][at], **{f"q_{c}": q["x"][at, i] for i, c in enumerate(dims)}, "r2": q["r2"][at], "node": node, "d2": d2})
+    path = np.concatenate([pairs[3], rest[2]]).astype(np.int64)
+    return pa.table({"query": q["query"][at], "bound": q["bound"][at], **{f"q_{c}": q["x"][at, i] for i, c in enumerate(dims)}, "r2": q["r2"][at], "node": node, "d2": d2, "path": path})
 
 
 def _arrays(table, dims):
@@ -85,14 +97,35 @@ def _visitor(dims, level, n):
         q = _arrays(left, dims)
         at, node = np.arange(left.num_rows), left.column("node").to_numpy()
         x = np.column_stack([right.column(c).to_numpy() for c in dims])
-        pairs, rest = _descend(q, right.column("node").to_numpy(), x, right.column("split_dim").to_numpy(), at, node, level, TILE)
+        pairs, rest = _descend(q, right.column("node").to_numpy(), x, right.column("split_dim").to_numpy(), at, node, left.column("path").to_numpy(), level, TILE)
         keep = rest[1] < np.minimum(q["bound"][rest[0]], n)
-        return _rows(q, left, dims, pairs, (rest[0][keep], rest[1][keep]))
+        return _rows(q, left, dims, pairs, tuple(r[keep] for r in rest))
 
     return visit
 
 
-def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = False) -> DataFrame:
+def _met(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs without those at the k-th distance of their query that the search doesn't keep."""
+    by = ["query", "bound"]
+    ranked = pairs.withColumn("_slot", F.row_number().over(Window.partitionBy(*by).orderBy("d2", "node")))
+    kth = ranked.where(F.col("_slot") == k).select(*by, F.col("d2").alias("kth"))
+    near = pairs.join(kth, by, "left").where(F.col("kth").isNull() | (F.col("d2") <= F.col("kth")))
+    # in the order of the search: a node before its children, the nearer child and all below it before the other one
+    visits = F.sort_array(F.collect_list(F.struct("path", "node", (F.col("d2") == F.col("kth")).alias("tied"))))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("tied"))
+
+    def step(kept, visit):
+        full, tied = kept["n"] == k, kept["tied"]
+        one_less = F.filter(tied, lambda x: x != F.array_max(tied))
+        more = F.struct((kept["n"] + 1).alias("n"), F.when(visit["tied"], F.concat(tied, F.array(visit["node"]))).otherwise(tied).alias("tied"))
+        instead = F.struct(kept["n"].alias("n"), one_less.alias("tied"))
+        return F.when(~full, more).when(visit["tied"], kept).otherwise(instead)
+
+    chosen = near.where("kth is not null").groupBy(*by).agg(F.aggregate(visits, start, step)["tied"].alias("kept"))
+    return near.join(chosen, by, "left").where(F.col("kth").isNull() | (F.col("d2") < F.col("kth")) | F.array_contains("kept", F.col("node"))).select(*pairs.columns)
+
+
+def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = False, ties: str = "least") -> DataFrame:
     """query, slot, nb, d2: the k nodes nearest to each query among nodes before its bound.
 
     queries: query (a node) and bound.  Order within a query is by (d2, nb).  A query counts itself if
@@ -100,6 +133,8 @@ def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = Fal
     of the slots are left out, or filled with node 0 and an infinite distance if pad is set.
     """
     check_neighbors(k)
+    if ties not in ("least", "met"):
+        raise ValueError(f"ties are broken by 'least' or 'met', not {ties!r}")
     dims = coordinates(tree)
     spark, n = tree.sparkSession, tree.count()
     placed = tree.select(F.col("node").alias("query"), *(F.col(c).alias(f"q_{c}") for c in dims))
@@ -107,15 +142,15 @@ def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = Fal
     asked = _first_radius(asked.join(placed, "query"), tree, dims, k)
     top = tree.where(F.col("node") < (1 << TILE) - 1).select("node", *dims, "split_dim").toPandas()  # fewer than 2**TILE rows
     sent = spark.sparkContext.broadcast((top["node"].to_numpy(), top[dims].to_numpy(), top["split_dim"].to_numpy()))
-    schema = f"query long, bound long, {', '.join(f'q_{c} double' for c in dims)}, r2 double, node long, d2 double"
+    schema = f"query long, bound long, {', '.join(f'q_{c} double' for c in dims)}, r2 double, node long, d2 double, path long"
 
     def from_root(batches):
         for batch in batches:
             q = _arrays(batch, dims)
             at = np.arange(batch.num_rows)
-            pairs, rest = _descend(q, *sent.value, at, np.zeros(len(at), np.int64), 0, TILE)
+            pairs, rest = _descend(q, *sent.value, at, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), 0, TILE)
             keep = rest[1] < np.minimum(q["bound"][rest[0]], n)
-            yield from _rows(q, batch, dims, pairs, (rest[0][keep], rest[1][keep])).to_batches()
+            yield from _rows(q, batch, dims, pairs, tuple(r[keep] for r in rest)).to_batches()
 
     state = asked.select("query", "bound", *(f"q_{c}" for c in dims), "r2").mapInArrow(from_root, schema)
     found, level = [], TILE
@@ -135,6 +170,8 @@ def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = Fal
     pairs = state.where("d2 is not null")
     for part in found:
         pairs = pairs.unionByName(part)
+    if ties == "met":
+        pairs = _met(materialize(pairs.select("query", "bound", "node", "d2", "path")), k)
     best = Window.partitionBy("query", "bound").orderBy("d2", "node")
     ranked = pairs.select("query", "bound", "node", "d2", (F.row_number().over(best) - 1).alias("slot")).where(F.col("slot") < k)
     ranked = ranked.select("query", "bound", "slot", F.col("node").alias("nb"), "d2")
@@ -144,9 +181,9 @@ def query_neighbors(tree: DataFrame, queries: DataFrame, k: int, pad: bool = Fal
     return ranked
 
 
-def query_preceding_neighbors(tree: DataFrame, n0: int, k: int, pad: bool = False) -> DataFrame:
+def query_preceding_neighbors(tree: DataFrame, n0: int, k: int, pad: bool = False, ties: str = "least") -> DataFrame:
     """idx, slot, nb, d2 for every node from n0 on: its k nearest among the nodes before it."""
     if n0 < k and not pad:
         raise ValueError(f"n0 = {n0} leaves the first queries fewer than k = {k} candidates; use pad")
     queries = tree.where(F.col("node") >= n0).select(F.col("node").alias("query"), F.col("node").alias("bound"))
-    return query_neighbors(tree, queries, k, pad).select(F.col("query").alias("idx"), "slot", "nb", "d2")
+    return query_neighbors(tree, queries, k, pad, ties).select(F.col("query").alias("idx"), "slot", "nb", "d2")

@@ -26,7 +26,7 @@ from .operators.refine import refine, refine_inv, refine_logdet, refine_transpos
 from .operators.sorting import sort_positions
 from .operators.tree import build_tree
 from .plans import oracle as sql
-from .sources.points import embedding_points, order_points
+from .sources.points import embedding_points, order_points, read_points
 from .storage import materialize
 
 N0, K = 50, 2
@@ -169,6 +169,14 @@ def order_neighbors(spark, sf_dir):
     return found.select("idx", F.col("slot").cast("int").alias("slot"), "nb", _rounded("d2", 12).alias("d2"))
 
 
+def knn_ties_met(spark, sf_dir):
+    """Distances of parts (many at one place) to the neighbours that a search would meet; they are those of the least ones."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tree = _once(spark, sf_dir, "part tree", lambda: build_tree(read_points(parts, "p_partkey", F.floor(F.col("p_size") / 5), F.floor(F.col("p_retailprice") / 100))))
+    found = query_preceding_neighbors(tree, N0, 4, ties="met")
+    return found.select("idx", F.col("slot").cast("int").alias("slot"), _rounded("d2", 9).alias("d2"))
+
+
 def order_depths(spark, sf_dir):
     return _order_graph(spark, sf_dir).points.select("idx", "point_id", F.col("depth").cast("int").alias("depth"))
 
@@ -518,7 +526,7 @@ def queries() -> dict:
         refine_values, batch_refine, refine_transpose_bars, refine_inverse, refine_log_determinant, refine_tangent, refine_tangent_linear, refine_cotangent,
         refine_cotangent_bars, shared_refine, field_generate, field_invert, field_log_determinant, field_tangent, field_cotangent, field_cotangent_noise,
         refine_inverse_tangent, log_determinant_tangent, likelihood, likelihood_gradient, likelihood_gradient_values,
-        order_tree, order_neighbors, order_depths, order_refine, order_transpose, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
+        order_tree, order_neighbors, knn_ties_met, order_depths, order_refine, order_transpose, cov_lookup_fine, cov_lookup_vjp_fine, many_fields, many_inverses, many_tangents, many_cotangents,
         usual_round_trip, dense_product, dense_solve,
     )
     return {f.__name__: f for f in found} | {name: _sort(name) for name in SORTS}
@@ -659,6 +667,8 @@ def oracle_sql() -> dict[str, str]:
     orders = (*plane, sql.graph(K, N0, sql.least_neighbors), sql.factors(ORDER_COV))
     out["order_tree"] = sql.query(*plane, select="SELECT node, point_id, split_dim FROM t")
     out["order_neighbors"] = sql.query(*plane, sql.least_neighbors(3, N0), select=f"SELECT idx, slot::INTEGER AS slot, nb, {r('d2', 12)} AS d2 FROM e0")
+    parts = ("p AS (SELECT p_partkey::BIGINT AS point_id, floor(p_size / 5)::DOUBLE AS x0, floor(p_retailprice / 100)::DOUBLE AS x1, 0.0::DOUBLE AS x2 FROM part)", sql.tree())
+    out["knn_ties_met"] = sql.query(*parts, sql.neighbors(4, N0), select=f"SELECT idx, slot::INTEGER AS slot, {r('d2', 9)} AS d2 FROM e0")
     out["order_depths"] = sql.query(*plane, sql.graph(K, N0, sql.least_neighbors), select="SELECT idx, point_id, depth FROM gp")
     out["order_refine"] = sql.query(*orders, refined, select=f"SELECT idx, {r('v', 5)} AS v FROM u")
     out["order_transpose"] = sql.query(*orders, sql.backward(sql.noise("g.idx", 5)), select=f"SELECT z.idx, {r('coalesce(s, 1) * vbar', 4)} AS bar FROM z LEFT JOIN f USING (idx)")

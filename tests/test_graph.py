@@ -84,6 +84,50 @@ def test_neighbors(spark, monkeypatch, kind, tile):
     assert found == {q: plain_neighbors(x, q, q, 4) for q in range(10, 150)}
 
 
+def searched(x, split, bound, query, k):
+    """Neighbours by a depth-first search of the tree in node order, nearer child first."""
+    kept = []
+
+    def visit(node, level):
+        if node >= bound:
+            return
+        gap = x[query] - x[node]
+        d2 = sum(g * g for g in gap.tolist())
+        if len(kept) < k or d2 < kept[-1][0]:
+            kept.append((d2, node))
+            kept.sort()
+            del kept[k:]
+        side = gap[split[node]]
+        children = (node + 2**level, node + 2 * 2**level)
+        for child in children if side < 0 else children[::-1]:
+            visit(child, level + 1)
+
+    visit(0, 0)
+    return kept
+
+
+@pytest.mark.parametrize("tile", [12, 3])
+def test_ties_as_a_search_meets_them(spark, monkeypatch, tile):
+    monkeypatch.setattr(neighbors, "TILE", tile)
+    x = np.array([(a, b, c) for a in range(5) for b in range(5) for c in range(5)], float)
+    built = tree.build_tree(points_of(spark, x))
+    rows = built.orderBy("node").collect()
+    at, split = np.array([[r[f"x{i}"] for i in range(3)] for r in rows]), [r["split_dim"] for r in rows]
+    n0, k = 10, 6
+    lists = {}
+    for ties in ("least", "met"):
+        found = {}
+        for r in neighbors.query_preceding_neighbors(built, n0, k, ties=ties).collect():
+            found.setdefault(r["idx"], []).append((r["slot"], r["d2"], r["nb"]))
+        lists[ties] = {i: [(d, nb) for _, d, nb in sorted(rows_)] for i, rows_ in found.items()}
+    differ = 0
+    for i in range(n0, len(x)):
+        assert lists["met"][i] == searched(at, split, i, i, k)
+        assert [d for d, _ in lists["met"][i]] == [d for d, _ in lists["least"][i]]
+        differ += lists["met"][i] != lists["least"][i]
+    assert differ > 5
+
+
 def test_bounded_neighbors_and_padding(spark):
     built = tree.build_tree(points_of(spark, cloud(40, 2)))
     asked = spark.createDataFrame([(30, 0), (30, 2), (5, 40), (39, 40)], "query long, bound long")
