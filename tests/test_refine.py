@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from krigstone.functions import covariance as C
+from krigstone.functions.band import band, scatter_rows
 from krigstone.operators.deriv import refine_jvp, refine_vjp
 from krigstone.operators.factor import conditional, factorize
 from krigstone.operators.generate import generate, generate_inv, generate_logdet
@@ -116,8 +117,8 @@ def test_covariance(spark):
     assert np.allclose(C.lookup(bins, values, r), np.interp(r, bins, values))
     cov = C.Covariance(tuple(bins.tolist()), (tuple(values.tolist()),))
     df = spark.createDataFrame([(float(x), 1.0) for x in r], "r double, bar double")
-    assert np.allclose([row["c"] for row in df.select("r", C.lookup_column(cov, F.col("r")).alias("c")).orderBy("r").collect()], np.interp(r, bins, values))
-    rows = C.scatter_rows(df, cov, "r", "bar").collect()
+    assert np.allclose([row["c"] for row in band(df, cov, "r").select("r", F.col("val").alias("c")).orderBy("r").collect()], np.interp(r, bins, values))
+    rows = scatter_rows(df, cov, "r", "bar").collect()
     assert np.allclose([x["val"] for x in sorted(rows, key=lambda x: x["bin_id"])], C.scatter(bins, r, np.ones(6)))
     assert C.Covariance.from_table(cov.table(spark)) == cov
     assert np.isclose(C.matern(1, 2.0, 0.5).values[0][0], 2.0 * (1 + 1e-5))
