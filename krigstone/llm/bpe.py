@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import slices, texts
 
 #: Entries of a worker's memo of pre-tokens; two generations of this size are kept.
-MEMO = 100_000
+MEMO = 400_000
 #: Code points from here on are left to the regex library.
 NARROW = 0x250
 WIDE = re.compile(f"[{chr(NARROW)}-\U0010ffff]").search
