@@ -24,7 +24,7 @@ def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int, few: int | None
     in which a node's last round is its depth.  When few (FEW) edges are left, one task goes on alone.  If a round
     finds as many nodes as the last one, the graph has a cycle.
     """
-    found = Growing(edges.sparkSession, "idx long", by="depth")
+    found = Growing(edges.sparkSession, "idx long", by="depth", merge=_deepest)
     found.add(nodes.select("idx", F.when(F.col("idx") < n0, 0).otherwise(1).cast("int").alias("depth")))
     live = materialize(edges.select("idx", "nb").where((F.col("idx") >= n0) & (F.col("nb") >= n0)))
     depth, before = 2, None
@@ -40,7 +40,11 @@ def compute_depths(edges: DataFrame, nodes: DataFrame, n0: int, few: int | None
     if last.where("depth < 0").limit(1).count():
         raise ValueError("the neighbour graph has a cycle")
     found.add(last)
-    return found.read().groupBy("idx").agg(F.max("depth").alias("depth"))
+    return _deepest(found.read())
+
+
+def _deepest(found: DataFrame) -> DataFrame:
+    return found.groupBy("idx").agg(F.max("depth").alias("depth"))
 
 
 def _finished(live: DataFrame, depth: int) -> DataFrame:

@@ -119,7 +119,9 @@ def _edges(factors: DataFrame, by: str) -> DataFrame:
 
 
 def _received(factors: DataFrame, value: list[str]) -> Growing:
-    return Growing(factors.sparkSession, f"batch int, idx long, {', '.join(f'{c} double' for c in value)}", by="depth")
+    return Growing(
+        factors.sparkSession, f"batch int, idx long, {', '.join(f'{c} double' for c in value)}", by="depth",
+        merge=lambda received: received.groupBy(*KEYS, "depth").agg(*(F.sum(c).alias(c) for c in value)))
 
 
 def _flow(value: list[str]) -> list:

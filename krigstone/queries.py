@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .functions.band import band, scatter_rows
 from .functions.covariance import Covariance, lookup, matern
 from .functions.geometry import left_child, level_of, parent, right_child, square_distance
@@ -53,8 +54,8 @@ _kept: dict[tuple, object] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, make):
-    """What several queries of a session share: tables in the shared folder.  See ``forget``."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, what)
+    """What several queries of a session share: tables in the shared folder, until they are removed.  See ``forget``."""
+    key = (storage.removals, spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, what)
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]

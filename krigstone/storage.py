@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 #: Tables that this process has written.
 _written: list[str] = []
+#: How often tables have been removed, so that what refers to earlier ones can tell.
+removals = 0
+#: A growing table is merged after so many additions.
+MERGE = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +42,8 @@ def _new_table(spark: SparkSession) -> str:
 def remove_tables(spark: SparkSession) -> int:
     """Deletes the tables that this process has put into the shared folder, once results that read them are
     written elsewhere; returns how many."""
+    global removals
+    removals += 1
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     while _written:
@@ -56,17 +63,26 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
 class Growing:
     """A table in the shared folder that rounds add to, laid out by the integer column ``by``.
 
-    Reading it is one scan, however many rounds there have been, and prunes by ``by``.
+    Reading it is one scan, however many rounds there have been, and prunes by ``by``.  Every MERGE additions
+    it is written anew as what ``merge`` makes of it, in files of an even size, so that neither its files nor its rows
+    grow with the rounds; what has been read before keeps the files that it knows.
     """
 
-    def __init__(self, spark: SparkSession, schema: str, by: str):
-        self.spark, self.by = spark, by
+    def __init__(self, spark: SparkSession, schema: str, by: str, merge: Callable[[DataFrame], DataFrame]):
+        self.spark, self.by, self.merge, self.added = spark, by, merge, 0
         self.schema = f"{schema}, {by} int"
         self.path = _new_table(spark)
         spark.createDataFrame([], self.schema).write.partitionBy(by).parquet(self.path)
 
     def add(self, df: DataFrame) -> None:
         df.write.mode("append").partitionBy(self.by).parquet(self.path)
+        self.added += 1
+        if self.added % MERGE == 0:
+            whole = self.read()
+            merged = self.merge(whole).select(*whole.columns).hint("rebalance", self.by)
+            path = _new_table(self.spark)
+            merged.write.partitionBy(self.by).parquet(path)
+            self.path = path
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

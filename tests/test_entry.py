@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from krigstone import queries as graph_queries
@@ -46,3 +47,24 @@ def test_tables_are_removed(spark):
     graph_queries.forget()
     with pytest.raises(Exception, match="(?i)does not exist|no such file|FILE_NOT_EXIST"):
         spark.read.parquet(table.inputFiles()[0]).count()
+
+
+def test_shared_tables_are_built_anew_after_removal(spark):
+    before = graph_queries._tree(spark, SMALL)
+    assert graph_queries._tree(spark, SMALL) is before
+    storage.remove_tables(spark)
+    after = graph_queries._tree(spark, SMALL)
+    assert after is not before and after.count() == 500
+
+
+def test_growing_tables_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(storage, "MERGE", 3)
+    table = storage.Growing(spark, "idx long, v double", "depth", lambda df: df.groupBy("idx", "depth").agg(F.sum("v").alias("v")))
+    paths, old = [], None
+    for i in range(7):
+        table.add(spark.range(4).selectExpr("id as idx", "1D as v", "cast(id % 2 as int) as depth"))
+        paths.append(table.path)
+        old = table.read() if i == 1 else old
+    assert len(set(paths)) == 3 and len(table.read().inputFiles()) < 7 * 4
+    assert {(r["idx"], r["s"]) for r in table.read().groupBy("idx").agg(F.sum("v").alias("s")).collect()} == {(i, 7.0) for i in range(4)}
+    assert table.read().count() == 4 * 2 and old.count() == 4 * 2  # once merged and once more; what was read before stays readable

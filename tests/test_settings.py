@@ -4,6 +4,7 @@ neighbours, 6 dimensions), whole fields with derivatives, and one covariance for
 import numpy as np
 import pytest
 
+from krigstone import storage
 from krigstone.functions import covariance as C
 from krigstone.operators import depth
 from krigstone.operators import refine as refine_module
@@ -119,13 +120,14 @@ def test_shared_factors(spark):
     assert refine_logdet(factors).count() == 1
 
 
-@pytest.mark.parametrize("together,few", [(0, 0), (25, 30), (1 << 16, 1 << 20)])
-def test_levels_alone_and_together(spark, monkeypatch, together, few):
+@pytest.mark.parametrize("together,few,merge", [(0, 0, 16), (0, 0, 2), (25, 30, 3), (1 << 16, 1 << 20, 16)])
+def test_levels_alone_and_together(spark, monkeypatch, together, few, merge):
     """The same depths and values however many levels one task settles."""
     n, n0, k = 150, 8, 3
     one = C.matern(0, 1.0, 1.0, 1e-2, 10.0, 60, 1e-3)
     monkeypatch.setattr(depth, "FEW", few)
     monkeypatch.setattr(refine_module, "TOGETHER", together)
+    monkeypatch.setattr(storage, "MERGE", merge)
     graph, factors, at, nb = make(spark, n, 2, n0, k, C.Covariance(one.bins, one.values * 2))
     levels = np.zeros(n, int)
     for i in range(n0, n):
