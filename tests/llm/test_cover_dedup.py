@@ -71,6 +71,21 @@ def test_equals_the_plain_version(spark, monkeypatch, length, parts, block, chun
     assert found(docs, length) == want
 
 
+@pytest.mark.parametrize("alike", ["whole", "at first"])
+def test_documents_somewhat_shorter_than_the_length(spark, alike):
+    rng, length = random.Random(8), 160
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    texts = []
+    for n in (length - 2, length - 1, length, length + 1, *range(length - cd.V, length - cd.V + 5)):
+        text = word(n)
+        texts += [text, text] if alike == "whole" else [text[:-1] + "x", text[:-1] + "y"]
+    rows = list(enumerate([*texts, word(50), passage := word(300), passage + word(20)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # the first of the block is a short one
+    got = found(docs, length)
+    assert got == plain(rows, length)
+    assert not any(r[2] for r in got if r[1] < length)
+
+
 def test_odd_and_empty_tables(odd, nothing):
     assert found(odd, 400) == plain([(r["doc_id"], r["text"]) for r in odd.collect() if len(r["text"] or "") < 10**6], 400)
     assert found(nothing, 400) == []
