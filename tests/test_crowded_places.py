@@ -67,3 +67,25 @@ def test_work_at_one_place(spark, monkeypatch, ties):
     found = neighbors.query_preceding_neighbors(built, 10, 4, ties=ties)
     assert found.where("d2 = 0").count() > 4 * (n - 40) and found.count() == 4 * (n - 10)
     assert max(rows) <= 8 * n
+
+
+def test_groups_of_deep_trees(spark, monkeypatch):
+    """However deep a tree is, queries meet no more tiles than the lowest level of the top has nodes."""
+    monkeypatch.setattr(neighbors, "TILE", 4)
+    groups, plain = [], neighbors.materialize
+
+    def counted(df, *args):
+        out = plain(df, *args)
+        groups.append(out.count() if "salts" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neighbors, "materialize", counted)
+    n = 2500
+    x = np.random.default_rng(6).standard_normal((n, 2))
+    built = tree.build_tree(points_of(spark, x))
+    at = np.array([[r["x0"], r["x1"]] for r in built.orderBy("node").collect()])
+    found = {}
+    for r in neighbors.query_preceding_neighbors(built, 10, 3).orderBy("idx", "slot").collect():
+        found.setdefault(r["idx"], []).append((r["nb"], r["d2"]))
+    assert 0 < max(groups) <= 1 << 4
+    assert all(found[q] == plain_neighbors(at, q, q, 3) for q in range(10, n, 7)) and len(found) == n - 10
