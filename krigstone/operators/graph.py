@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,11 +39,14 @@ def check_points(points: DataFrame) -> DataFrame:
     return points
 
 
-def build_graph(points: DataFrame, n0: int, k: int, leaf: int = LEAF, few: int | None = None) -> Graph:
-    """The graph of k nearest preceding neighbours in the order by depth; leaf and few bound what single tasks finish of tree and depths."""
+def build_graph(points: DataFrame, n0: int, k: int, leaf: int = LEAF, few: int | None = None, tree: Callable[[], DataFrame] | None = None) -> Graph:
+    """The graph of k nearest preceding neighbours in the order by depth; leaf and few bound what single tasks finish of tree and depths.
+
+    tree: gives the tree of the points, where others share it."""
     if n0 < k:
         raise ValueError(f"n0 = {n0} must be at least k = {k}")
-    tree = build_tree(check_points(points), leaf)
+    points = check_points(points)
+    tree = build_tree(points, leaf) if tree is None else tree()
     edges = materialize(query_preceding_neighbors(tree, n0, k).select("idx", "slot", "nb"))
     nodes = tree.withColumnRenamed("node", "idx").drop("split_dim")
     ordered, moved = order_by_depth(nodes, edges, compute_depths(edges, nodes, n0, few), n0)

@@ -80,7 +80,7 @@ def _order_tree(spark, sf_dir) -> DataFrame:
 
 
 def _order_graph(spark, sf_dir) -> Graph:
-    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K, ORDER_LEAF, ORDER_FEW))
+    return _once(spark, sf_dir, "order graph", lambda: build_graph(order_points(spark, sf_dir), N0, K, few=ORDER_FEW, tree=lambda: _order_tree(spark, sf_dir)))
 
 
 def _factors(spark, sf_dir, cov=COV, name="one", n0=N0) -> DataFrame:
