@@ -37,3 +37,35 @@ def test_rounds_of_depths(spark, monkeypatch):
     found = depth.compute_depths(edges, spark.range(N).withColumnRenamed("id", "idx"), N0, 5)
     assert [r["depth"] for r in found.orderBy("idx").collect()] == levels(nb)
     assert sum(rows) <= CHAIN * CHAIN * 2
+
+
+@pytest.mark.parametrize("up", [True])
+def test_levels_of_values(spark, monkeypatch, up):
+    rows, plain = [], Growing.add
+
+    def counted(self, df):
+        rows.append(df.count())
+        plain(self, df)
+
+    monkeypatch.setattr(Growing, "add", counted)
+    nb, rng = graph(), np.random.default_rng(2)
+    deep, w, x = levels(nb), rng.standard_normal((len(nb), 2)) / 3, rng.standard_normal(N)
+    factors = spark.createDataFrame(
+        [(0, i + N0, deep[i + N0], list(p), [deep[j] for j in p], [float(c) for c in w[i]], 0.5) for i, p in enumerate(nb)],
+        "batch int, idx long, depth int, nbs array<long>, nb_depths array<int>, w array<double>, s double")
+    values = lambda name, lo, hi: spark.createDataFrame([(0, i, float(x[i])) for i in range(lo, hi)], f"batch int, idx long, {name} double")
+    want = x.copy()
+    if up:
+        for i, p in enumerate(nb):
+            want[i + N0] = w[i] @ want[list(p)] + 0.5 * x[i + N0]
+        found = refine_module.refine(factors, values("v", 0, N0), values("xi", N0, N), together=0).collect()
+        got = {r["idx"]: r["v"] for r in found}
+    else:
+        for i in range(len(nb) - 1, -1, -1):
+            for c, j in zip(w[i], nb[i], strict=True):
+                want[j] += c * want[i + N0]
+        want[N0:] *= 0.5
+        first, later = refine_module.refine_transpose(factors, values("vbar", 0, N), together=0)
+        got = {r["idx"]: r["initial_bar"] for r in first.collect()} | {r["idx"]: r["xi_bar"] for r in later.collect()}
+    assert len(got) == N and np.allclose([got[i] for i in range(N)], want)
+    assert sum(rows) < N
