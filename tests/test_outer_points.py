@@ -39,7 +39,7 @@ def test_rounds_of_depths(spark, monkeypatch):
     assert sum(rows) <= CHAIN * CHAIN * 2
 
 
-@pytest.mark.parametrize("up", [True])
+@pytest.mark.parametrize("up", [True, False])
 def test_levels_of_values(spark, monkeypatch, up):
     rows, plain = [], Growing.add
 
